@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Rows of an Arrow batch handed to Python. Texts can be long, so batches are short; ``pieces`` cuts
 #: them further by bytes.
 BATCH_ROWS = 512
@@ -25,6 +27,7 @@ PIECE_BYTES = 4 << 20
 
 def prepare(spark: SparkSession) -> None:
     """Short Arrow batches for the Python stages, and a checkpoint folder if the cluster names none."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.pythonUDF.arrow.enabled", "true")
     if spark.sparkContext.getCheckpointDir() is None:

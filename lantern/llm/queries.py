@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, rankmerge
+from . import bpe, common, rankmerge, sstable
 
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +20,13 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, BYTE_VOCAB, keep=["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def op4_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    folder = common.scratch(spark, "sstables")
+    manifest = sstable.write_shards(common.table(spark, sf_dir, "documents"), WORD_VOCAB, folder, end_id=1)
+    return sstable.read_shards(spark, folder, manifest)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     return rankmerge.count_tokens(common.table(spark, sf_dir, "documents"), WORD_VOCAB, limit=2048)
@@ -28,6 +35,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
+        "op4_sstable_shards": op4_sstable_shards,
         "op6_token_counts": op6_token_counts,
     }
 
