@@ -100,6 +100,51 @@ def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """From rows that are sorted by ``keys`` (integers): batches of whole groups, and where in them groups start and end."""
+    kept: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return kept[0] if len(kept) == 1 else pa.concat_batches(kept)
+
+    def starts(batch: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(batch.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            values = batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
+            new[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(new)
+
+    def last_key(batch: pa.RecordBatch, row: int) -> tuple:
+        return tuple(batch.column(batch.schema.get_field_index(k))[row].as_py() for k in keys)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = starts(batch)
+        if kept and last_key(kept[-1], kept[-1].num_rows - 1) != last_key(batch, 0):
+            whole = joined()
+            yield whole, np.append(starts(whole), whole.num_rows)
+            kept = []
+        if len(at) > 1 or not kept:
+            cut = int(at[-1])
+            if cut:
+                kept.append(batch.slice(0, cut))
+                whole = joined()
+                yield whole, np.append(starts(whole), whole.num_rows)
+            kept = [batch.slice(cut)]
+        else:
+            kept.append(batch)
+    if kept:
+        whole = joined()
+        yield whole, np.append(starts(whole), whole.num_rows)
+
+
+def fixed_bytes(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column whose values all have ``width`` bytes, as rows of bytes."""
+    return column_bytes(column)[0].reshape(len(column), width)
+
+
 # --- bytes, words and hashes -------------------------------------------------------------------
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, rankmerge, sstable
+from . import bpe, common, minhash, rankmerge, sstable
 
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -32,11 +32,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankmerge.count_tokens(common.table(spark, sf_dir, "documents"), WORD_VOCAB, limit=2048)
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return minhash.near_duplicates(common.table(spark, sf_dir, "documents"), percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
         "op4_sstable_shards": op4_sstable_shards,
         "op6_token_counts": op6_token_counts,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
     }
 
 
