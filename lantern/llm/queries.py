@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, minhash, rankmerge, sstable, suffixes
+from . import bpe, common, contamination, minhash, rankmerge, sstable, suffixes
 
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +43,12 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.table(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    found = contamination.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), share=0.8)
+    return found.select("doc_id", "n_items", F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -50,8 +56,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sstable_shards": op4_sstable_shards,
         "op6_token_counts": op6_token_counts,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
 
 
+#: Items in documents: at least four fifths of an item's distinct runs of five words are in the document.
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM benchmark
+), bs AS (
+  SELECT DISTINCT item_id, len(w) AS n_words, least(5, len(w)) AS k, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), size AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id
+), ds AS (
+  SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bs) WHERE len(w) >= k)
+), hit AS (
+  SELECT doc_id, item_id FROM ds JOIN bs USING (k, s) JOIN size USING (item_id)
+  GROUP BY doc_id, item_id, size.n HAVING count(*) >= 0.8 * size.n
+), agg AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids FROM hit GROUP BY doc_id)
+SELECT doc_id, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, n_items IS NOT NULL AS contaminated
+FROM documents LEFT JOIN agg USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_benchmark_decontamination": OP10_SQL,
+    }
