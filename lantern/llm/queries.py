@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, contamination, minhash, rankmerge, sstable, suffixes
+from . import bpe, common, contamination, minhash, rankmerge, sstable, suffixes, toxicity
 
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -33,6 +33,11 @@ def op4_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(spark, folder, manifest)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return toxicity.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     return rankmerge.count_tokens(common.table(spark, sf_dir, "documents"), WORD_VOCAB, limit=2048)
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": op1_suffix_dedup,
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
         "op4_sstable_shards": op4_sstable_shards,
+        "op5_toxicity": op5_toxicity,
         "op6_token_counts": op6_token_counts,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
