@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, contamination, minhash, rankmerge, sstable, suffixes, toxicity
+from . import bpe, common, contamination, language, minhash, rankmerge, sstable, suffixes, toxicity
 
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -48,6 +48,17 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.table(spark, sf_dir, "documents"), percent=85)
 
 
+def _remainder(divisor: int):
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    docs = common.table(spark, sf_dir, "documents")
+    profiles = language.learn(docs.where(_remainder(5) != 0))
+    return language.predict(docs, profiles).select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     found = contamination.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), share=0.8)
@@ -62,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_token_counts": op6_token_counts,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op9_language_id": op9_language_id,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
 
