@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, contamination, language, minhash, rankmerge, sstable, suffixes, toxicity
+from . import bilinear, bpe, common, contamination, language, minhash, rankmerge, sstable, suffixes, toxicity
 
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -52,6 +52,13 @@ def _remainder(divisor: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    docs = common.table(spark, sf_dir, "documents")
+    scored = bilinear.score(docs, docs.where(_remainder(7) != 2))
+    return scored.select("doc_id", (_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     docs = common.table(spark, sf_dir, "documents")
@@ -73,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_token_counts": op6_token_counts,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_language_id": op9_language_id,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
