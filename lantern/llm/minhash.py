@@ -166,9 +166,8 @@ def star_edges(ids: np.ndarray, sigs: np.ndarray, weight: np.ndarray, side: np.n
     return edges
 
 
-def _blocks(df: DataFrame, key: str, size: DataFrame, id_col: str) -> DataFrame:
-    """Rows with (key, pair) such that all rows of a key meet in blocks of about BLOCK, each block with each other."""
-    sized = df.join(size, key)
+def _blocks(sized: DataFrame, id_col: str) -> DataFrame:
+    """Rows with (key, pair) such that all rows of a key meet in blocks of about BLOCK, each block with each other. sized: has ``members``, the rows of its key."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64(id_col), F.col("n_blocks")).cast("int")
     out = sized.withColumn("n_blocks", blocks).withColumn("block", own)
@@ -179,12 +178,12 @@ def _blocks(df: DataFrame, key: str, size: DataFrame, id_col: str) -> DataFrame:
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
     """(u, v) star edges between class representatives that meet in buckets. classes: doc_id, keys, sig."""
-    rows = classes.select("doc_id", "sig", F.explode("keys").alias("key"))
+    rows = classes.select("doc_id", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     crowded = common.written(rows.join(sizes, "key"), "buckets")
-    weights = crowded.groupBy("doc_id").agg(F.sum("members").alias("weight"))
-    member = crowded.drop("members").join(weights, "doc_id")
-    dealt = _blocks(member, "key", crowded.select("key", "members").distinct(), "doc_id")
+    # only members of buckets go on, and only they bring their signatures
+    weights = crowded.groupBy("doc_id").agg(F.sum("members").alias("weight")).join(classes.select("doc_id", "sig"), "doc_id")
+    dealt = _blocks(crowded.join(weights, "doc_id"), "doc_id")
 
     def stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, at in common.whole_groups(batches, ["key", "pair"]):
@@ -244,8 +243,8 @@ def confirmed(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tu
 def links(docs: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (u, v) within families. families: id, component_id; docs: doc_id, text, one row for each id."""
     size = families.groupBy("component_id").agg(F.count(F.lit(1)).alias("members"))
-    member = common.texts(docs).join(families, F.col("doc_id") == F.col("id")).drop("id")
-    dealt = _blocks(member, "component_id", size, "doc_id").select("component_id", "pair", "side", "doc_id", "text")
+    member = common.texts(docs).join(families.join(size, "component_id"), F.col("doc_id") == F.col("id"))
+    dealt = _blocks(member, "doc_id").select("component_id", "pair", "side", "doc_id", "text")
 
     def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, at in common.whole_groups(batches, ["component_id", "pair"]):
