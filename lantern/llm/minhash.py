@@ -166,7 +166,7 @@ def star_edges(ids: np.ndarray, sigs: np.ndarray, weight: np.ndarray, side: np.n
     return edges
 
 
-def _blocks(sized: DataFrame, id_col: str) -> DataFrame:
+def meeting_blocks(sized: DataFrame, id_col: str) -> DataFrame:
     """Rows with (key, pair) such that all rows of a key meet in blocks of about BLOCK, each block with each other. sized: has ``members``, the rows of its key."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64(id_col), F.col("n_blocks")).cast("int")
@@ -183,7 +183,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     crowded = common.written(rows.join(sizes, "key"), "buckets")
     # only members of buckets go on, and only they bring their signatures
     weights = crowded.groupBy("doc_id").agg(F.sum("members").alias("weight")).join(classes.select("doc_id", "sig"), "doc_id")
-    dealt = _blocks(crowded.join(weights, "doc_id"), "doc_id")
+    dealt = meeting_blocks(crowded.join(weights, "doc_id"), "doc_id")
 
     def stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, at in common.whole_groups(batches, ["key", "pair"]):
@@ -244,7 +244,7 @@ def links(docs: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (u, v) within families. families: id, component_id; docs: doc_id, text, one row for each id."""
     size = families.groupBy("component_id").agg(F.count(F.lit(1)).alias("members"))
     member = common.texts(docs).join(families.join(size, "component_id"), F.col("doc_id") == F.col("id"))
-    dealt = _blocks(member, "doc_id").select("component_id", "pair", "side", "doc_id", "text")
+    dealt = meeting_blocks(member, "doc_id").select("component_id", "pair", "side", "doc_id", "text")
 
     def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, at in common.whole_groups(batches, ["component_id", "pair"]):

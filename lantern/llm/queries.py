@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bilinear, bpe, common, contamination, language, minhash, rankmerge, sstable, suffixes, toxicity
+from . import bilinear, bpe, common, contamination, language, minhash, neighbours, rankmerge, sstable, suffixes, toxicity
 
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +20,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return neighbours.near_duplicates(common.table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     docs = common.table(spark, sf_dir, "documents")
@@ -75,6 +80,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_embedding_near_dedup": op2_embedding_near_dedup,
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
         "op4_sstable_shards": op4_sstable_shards,
         "op5_toxicity": op5_toxicity,
