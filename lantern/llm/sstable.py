@@ -25,6 +25,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -211,11 +212,13 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 class ChunkEncoder:
     """The library's ids, with the results for chunks between ASCII white space remembered.
 
-    Valid for vocabularies whose pre-tokenizer drops white space, as then no word and no special string
-    reaches across it.
+    Valid for vocabularies whose pre-tokenizer drops white space and parts letters from punctuation, and whose normalizer
+    lowers letters: no word and no special string reaches across white space, and a word's ids are the same
+    whatever punctuation follows and however its letters are written. Only texts that may hold a special string are taken as they stand.
     """
 
-    REMEMBER, LONGEST = 400_000, 64
+    REMEMBER, LONGEST = 900_000, 48
+    ENDS = b".,!?;:"
 
     def __init__(self, path: str):
         import os
@@ -229,21 +232,33 @@ class ChunkEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else 4
         self.known: dict[bytes, bytes] = {}
 
+    def _learn(self, chunks: set[bytes]) -> None:
+        known, kind = self.known, "H" if self.width == 2 else "I"
+        composed, asked = [], set()
+        for c in chunks:
+            word = c.rstrip(self.ENDS)
+            if 0 < len(word) < len(c) and word.decode()[-1].isalpha():
+                composed.append((c, word, c[len(word) :]))
+                asked.add(word)
+                asked.add(c[len(word) :])
+            else:
+                asked.add(c)
+        new = [*(asked - known.keys())]
+        for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
+            known[c] = array(kind, e.ids).tobytes()
+        for c, word, rest in composed:
+            known[c] = known[word] + known[rest]
+
     def encode(self, rows: list[bytes], end: bytes) -> list[bytes]:
-        parts = [r.split() for r in rows]
+        parts = [(r if b"<|" in r else r.lower()).split() for r in rows]
         new = set().union(*parts) - self.known.keys()
         if len(self.known) + len(new) > self.REMEMBER:
             self.known.clear()
             new = set().union(*parts)
-        chunks = [*new]
-        kind = "<u2" if self.width == 2 else "<u4"
-        known = self.known
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)):
-            known[chunk] = np.array(e.ids, kind).tobytes()
-        out = [b"".join([*map(known.__getitem__, p), end]) for p in parts]
-        for c in chunks:
-            if len(c) > self.LONGEST:
-                del known[c]
+        self._learn(new)
+        out = [b"".join([*map(self.known.__getitem__, p), end]) for p in parts]
+        for c in [c for c in self.known if len(c) > self.LONGEST] if any(len(c) > self.LONGEST for c in new) else []:
+            del self.known[c]
         return out
 
 
