@@ -77,6 +77,14 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             at = end
 
 
+def with_text(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``pieces`` of batches with all their columns, and one more at the end: the text, empty where it is null."""
+    for batch in batches:
+        text = batch.column(batch.schema.get_field_index(column)).fill_null("")
+        wide = pa.RecordBatch.from_arrays([*batch.columns, text], schema=batch.schema.append(pa.field("\0text", text.type)))
+        yield from pieces([wide], "\0text", limit)
+
+
 def column_offsets(column: pa.Array) -> np.ndarray:
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     raw = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)

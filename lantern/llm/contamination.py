@@ -136,37 +136,36 @@ def candidates(items: Items, owner: np.ndarray, hashes: np.ndarray) -> set[tuple
     return out
 
 
+def found_in(items: Items, column: pa.Array, share: float) -> list[dict[int, float]]:
+    """For each text the items that it holds, with their containment."""
+    data, offsets = common.column_bytes(column)
+    words = common.Words(data, offsets, common.NOT_ALNUM)
+    owner, hashes = words.shingles(SHINGLE, short=False)
+    first = np.searchsorted(owner, np.arange(len(column) + 1))
+    found: list[dict[int, float]] = [{} for _ in range(len(column))]
+    for text, item in candidates(items, owner, hashes):
+        item_id, _, shingles = items.items[item]
+        part = float(np.isin(shingles, hashes[first[text] : first[text + 1]]).sum()) / len(shingles)
+        if part >= share:
+            found[text][item_id] = max(part, found[text].get(item_id, 0.0))
+    for width, members in items.short.items():
+        owner, _ = words.shingles(width, short=False)
+        runs = _as_short(words, width)
+        wanted = np.array([items.items[k][2][0] for k in members], np.uint64)
+        order = np.argsort(wanted)
+        at = np.minimum(np.searchsorted(wanted[order], runs), len(wanted) - 1)
+        for row in np.flatnonzero(wanted[order][at] == runs).tolist():
+            for k in (m for m, w in zip(members, wanted) if w == runs[row]):
+                found[int(owner[row])][items.items[k][0]] = 1.0
+    return found
+
+
 def _find(docs: DataFrame, items: Items, share: float) -> DataFrame:
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(items)
+    sent = docs.sparkSession.sparkContext.broadcast(items)  # at most PART_SHINGLES shingles
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = sent.value
         for batch in common.pieces(batches, limit=2 << 20):
-            data, offsets = common.column_bytes(batch.column(1))
-            words = common.Words(data, offsets, common.NOT_ALNUM)
-            owner, hashes = words.shingles(SHINGLE, short=False)
-            first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            found: list[dict[int, float]] = [{} for _ in range(batch.num_rows)]
-
-            def confirm(text: int, item: int, own: np.ndarray) -> None:
-                item_id, _, shingles = items.items[item]
-                part = float(np.isin(shingles, own).sum()) / len(shingles)
-                if part >= share:
-                    found[text][item_id] = max(part, found[text].get(item_id, 0.0))
-
-            for text, item in candidates(items, owner, hashes):
-                confirm(text, item, hashes[first[text] : first[text + 1]])
-            for width, members in items.short.items():
-                owner_, hashes_ = words.shingles(width, short=False)
-                if width < SHINGLE:
-                    hashes_ = _as_short(words, width)
-                wanted = np.array([items.items[k][2][0] for k in members], np.uint64)
-                order = np.argsort(wanted)
-                at = np.minimum(np.searchsorted(wanted[order], hashes_), len(wanted) - 1)
-                for row in np.flatnonzero(wanted[order][at] == hashes_).tolist():
-                    for k in (m for m, w in zip(members, wanted) if w == hashes_[row]):
-                        found[int(owner_[row])][items.items[k][0]] = 1.0
+            found = found_in(sent.value, batch.column(1), share)
             ids = [sorted(f) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array([[f[i] for i in own] for f, own in zip(found, ids)], pa.list_(pa.float64())), pa.array([bool(i) for i in ids])],
@@ -176,6 +175,30 @@ def _find(docs: DataFrame, items: Items, share: float) -> DataFrame:
     return common.arrow_map(common.texts(docs), run, "doc_id long, n_items long, item_ids array<long>, containments array<double>, contaminated boolean")
 
 
+def _parts(benchmark: DataFrame) -> Iterator[Items]:
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    size = items.agg(F.sum(F.size(F.split("text", " "))).alias("n")).first().n or 0
+    parts = max(1, -(-int(size) // PART_SHINGLES))
+    for p in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p).orderBy("item_id", "text").collect()
+        yield Items([r.item_id for r in rows], [r.text for r in rows])
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item."""
+    out = docs
+    for items in _parts(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in common.with_text(batches, limit=2 << 20):
+                found = found_in(sent.value, batch.column(batch.num_columns - 1), share)
+                yield batch.select(batch.schema.names[:-1]).filter(pa.array([not f for f in found]))
+
+        out = common.arrow_map(out, run, docs.schema)
+    return out
+
+
 def _as_short(words: common.Words, width: int) -> np.ndarray:
     """Hashes of runs of ``width`` words, made as those of texts with just so many words."""
     count = np.diff(words.first)
@@ -191,16 +214,10 @@ def _as_short(words: common.Words, width: int) -> np.ndarray:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFrame:
     """For each row of docs: doc_id, n_items, item_ids (ascending), containments (of these), contaminated."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.size(F.split("text", " "))).alias("n")).first().n or 0
-    parts = max(1, -(-int(size) // PART_SHINGLES))
-    if parts == 1:
-        rows = items.orderBy("item_id", "text").collect()
-        return _find(docs, Items([r.item_id for r in rows], [r.text for r in rows]), share)
-    results = []
-    for p in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p).collect()
-        results.append(_find(docs, Items([r.item_id for r in rows], [r.text for r in rows]), share).where("n_items > 0"))
+    results = [_find(docs, items, share) for items in _parts(benchmark)]
+    if len(results) == 1:
+        return results[0]
+    results = [r.where("contaminated") for r in results]
     hits = reduce(DataFrame.unionByName, results).select("doc_id", F.explode(F.arrays_zip("item_ids", "containments")).alias("h")).groupBy("doc_id", F.col("h.item_ids").alias("i")).agg(F.max("h.containments").alias("c"))
     hits = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("h"))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(hits, "doc_id", "left")

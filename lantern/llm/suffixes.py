@@ -29,7 +29,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -529,13 +529,22 @@ def merge_runs(routed: DataFrame) -> DataFrame:
     return common.arrow_map(grouped, merge, "doc_id long, disc long, blob binary")
 
 
+def whole_characters(kept: Column) -> Column:
+    """Bytes as text; what is left of characters that were cut in two goes."""
+    return F.coalesce(F.try_validate_utf8(kept.cast("string")), F.regexp_replace(F.make_valid_utf8(kept.cast("string")), "\ufffd+", ""))
+
+
 # --- the operator -------------------------------------------------------------------------------------
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """For each row of docs: doc_id, n_bytes, n_removed, n_spans, spans (array of struct<start,end>), kept (binary: the bytes that stay)."""
+def dedup(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """For each row of docs: doc_id, n_bytes, n_removed, n_spans, spans (array of struct<start,end>), kept (binary: the bytes that stay).
+
+    ``carry`` names further columns of docs that come along, in a struct named ``carried``.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text"))
+    more = [F.struct(*carry).alias("carried")] if carry else []
+    rows = docs.select(*more, F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text"))
     twice = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
     rows = rows.withColumn("disc", F.xxhash64("text") if twice else F.lit(0).cast("long"))
     marks = rows.select("doc_id", "disc", F.unhex(F.md5("text")).alias("mark"), F.octet_length("text").alias("n")).where(F.col("n") >= LENGTH)
@@ -576,7 +585,8 @@ def dedup(docs: DataFrame) -> DataFrame:
                 out.append((len(text), sum(e - s for s, e in pairs_), [{"start": s, "end": e} for s, e in pairs_], b"".join(kept)))
             n, removed, spans_, kept_ = zip(*out)
             ids = pa.array(np.where(batch.column(1).to_numpy(zero_copy_only=False), None, batch.column(0).to_numpy(zero_copy_only=False)).tolist(), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans_], pa.int64()), pa.array(spans_, span_type), pa.array(kept_, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[4:], ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans_], pa.int64()), pa.array(spans_, span_type), pa.array(kept_, pa.binary())], [*batch.schema.names[4:], "doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    final = rows.join(spans, ["doc_id", "disc"], "left").select("doc_id", "no_id", "text", "blobs")
-    return common.arrow_map(final, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
+    final = rows.join(spans, ["doc_id", "disc"], "left").select("doc_id", "no_id", "text", "blobs", *(["carried"] if carry else []))
+    carried = f"carried {final.schema['carried'].dataType.simpleString()}, " if carry else ""
+    return common.arrow_map(final, cut, carried + "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")

@@ -190,42 +190,58 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str]],
     return fit(rows, y, [name for name, _ in categories], folds)
 
 
+def probabilities(chain: Chain, texts: list[bytes]) -> np.ndarray:
+    """A column of probabilities for each category."""
+    n, get = len(chain.vocabulary), chain.vocabulary.get
+    x = np.zeros((len(texts), 2 * n), np.float32)
+    some = np.zeros(len(texts), bool)
+    for r, text in enumerate(texts):
+        words = WORD.findall(text.lower())
+        some[r] = bool(words)
+        own = x[r]
+        for w in words:
+            k = get(w)
+            if k is not None:
+                own[n + k] += 1
+            if len(w) > STEM:
+                k = get(b"*" + w[:STEM])
+                if k is not None:
+                    own[n + k] += 1
+        own[:n] = own[n:] > 0
+        if words:
+            own[n:] /= len(words) / 100
+    p = chain.predict(x)
+    p[~some] = 0.0
+    return p
+
+
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id and p_<category> double for each row of docs."""
     names = [f"p_{link.category}" for link in chain.links]
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(chain)  # FEATURES words and as many weights for each category
+    sent = docs.sparkSession.sparkContext.broadcast(chain)  # FEATURES words and as many weights for each category
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain = sent.value
-        get = chain.vocabulary.get
-        n = len(chain.vocabulary)
         for batch in common.pieces(batches):
-            rows = common.cut_rows(*common.column_bytes(batch.column(1)))
-            x = np.zeros((len(rows), 2 * n), np.float32)
-            some = np.zeros(len(rows), bool)
-            for r, text in enumerate(rows):
-                words = WORD.findall(text.lower())
-                some[r] = bool(words)
-                own = x[r]
-                for w in words:
-                    k = get(w)
-                    if k is not None:
-                        own[n + k] += 1
-                    if len(w) > STEM:
-                        k = get(b"*" + w[:STEM])
-                        if k is not None:
-                            own[n + k] += 1
-                own[:n] = own[n:] > 0
-                if words:
-                    own[n:] /= len(words) / 100
-            p = chain.predict(x)
-            p[~some] = 0.0
+            p = probabilities(sent.value, common.cut_rows(*common.column_bytes(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(len(names)))], ["doc_id", *names])
 
     return common.arrow_map(common.texts(docs), run, ", ".join(["doc_id long", *(f"{c} double" for c in names)]))
 
 
+def without_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", limit: float | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose probability of the category is under the limit."""
+    sent = docs.sparkSession.sparkContext.broadcast(chain)
+    column = [link.category for link in chain.links].index(category)
+    least = LIMIT if limit is None else limit
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.with_text(batches):
+            p = probabilities(sent.value, common.cut_rows(*common.column_bytes(batch.column(batch.num_columns - 1))))
+            yield batch.select(batch.schema.names[:-1]).filter(pa.array(p[:, column] < least))
+
+    return common.arrow_map(docs, run, docs.schema)
+
+
 #: The chain over the labels table: documents of low quality first, then toxic ones, then toxic ones of low quality.
 CATEGORIES = [("low_quality", "1 - quality"), ("toxic", "toxic"), ("toxic_low_quality", "toxic * (1 - quality)")]
 #: Labelled rows that train.
