@@ -556,7 +556,7 @@ def dedup(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     sample = sorted(b[i : i + GRAM] for (b,) in found.where("kind = 2").select("blob").collect() for i in range(0, len(b), GRAM))
     borders = sorted({sample[i * len(sample) // places] for i in range(1, places)}) if sample else []
 
-    marked = found.where("kind = 1").join(copies.select("doc_id", "disc"), ["doc_id", "disc"], "left_anti").groupBy("doc_id", "disc").agg(F.collect_list("blob").alias("marks"))
+    marked = found.where("kind = 1").groupBy("doc_id", "disc").agg(F.collect_list("blob").alias("marks")).join(copies.select("doc_id", "disc"), ["doc_id", "disc"], "left_anti")
     joined = rows.select("doc_id", "disc", "text").dropDuplicates(["doc_id", "disc"]) if twice else rows.select("doc_id", "disc", "text")
     joined = joined.join(marked, ["doc_id", "disc"]).select("doc_id", "disc", "text", "marks")
     spans = merge_runs(make_runs(joined, borders, len(borders) + 1))
