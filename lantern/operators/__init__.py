@@ -1 +1 @@
-"""Lantern: operators."""
+"""Table operators: detection, assessment, redaction, history."""

@@ -1,0 +1,381 @@
+"""Queries over the driver's tables that apply the operators, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .. import catalog
+from ..functions import ocr_text, redact, score
+from ..functions.dialect import translate
+from ..operators import assess, history, ner, ocr
+from ..sources import text as sources
+from ..streaming import live
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents")
+
+
+def _only(*types: str) -> list[catalog.Pattern]:
+    return [p for p in catalog.default_patterns() if p.type in types]
+
+
+def spans_of(type_: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = assess.scan(_documents(spark, sf_dir), patterns=_only(type_))
+        return assess.findings_rows(found, ["doc_id"]).select("doc_id", "value", "start_index", "end_index")
+
+    return query
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = assess.assess(_documents(spark, sf_dir), ["doc_id"])
+    return assess.findings_rows(found, ["doc_id"]).select("doc_id", "type", "value", "start_index", "end_index", "severity", "confidence", F.concat_ws(",", F.coalesce("detector_sources", F.array("source"))).alias("sources"))
+
+
+def doc_risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess.assess(_documents(spark, sf_dir), ["doc_id"]).select("doc_id", "score", "level", "finding_count")
+
+
+def risk_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_risk_score(spark, sf_dir).groupBy("level").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("finding_count").cast("long").alias("n_findings"), F.max("score").alias("max_score"))
+
+
+def top_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = assess.assess(_documents(spark, sf_dir), ["doc_id"]).select("doc_id", F.posexplode_outer("top_risks").alias("p", "f")).where("f is not null")
+    return found.select("doc_id", (F.col("p") + 1).alias("place"), F.col("f.type").alias("type"), F.col("f.value").alias("value"))
+
+
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = assess.assess(_documents(spark, sf_dir), ["doc_id"]).select("doc_id", F.posexplode_outer("suggestions").alias("p", "suggestion")).where("suggestion is not null")
+    return found.select("doc_id", (F.col("p") + 1).alias("place"), "suggestion")
+
+
+def breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess.assess(_documents(spark, sf_dir), ["doc_id"]).select("doc_id", "breakdown.*", F.array_join("finding_types", ",").alias("finding_types"))
+
+
+def redacted(mask: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return assess.redacted(_documents(spark, sf_dir), ["doc_id"], mask=mask)
+
+    return query
+
+
+def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess.highlights(_documents(spark, sf_dir), ["doc_id"])
+
+
+def nik_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw matches of the 16-digit pattern, before context."""
+    nik = [catalog.Pattern(p.type, p.regex, p.severity) for p in _only("ID_NIK")]
+    return assess.findings_rows(assess.scan(_documents(spark, sf_dir), patterns=nik), ["doc_id"]).select("doc_id", "value", "start_index")
+
+
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", sources.html_to_text(F.col("html")).alias("text"))
+
+
+def html_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = assess.assess(html_text(spark, sf_dir), ["page_id"])
+    return assess.findings_rows(found, ["page_id"]).select("page_id", "type", "value")
+
+
+def file_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, [".html", ".txt", ".pdf", ".docx", ".jpeg", ".exe"]))
+    pages = _table(spark, sf_dir, "pages").withColumn("name", F.concat(F.lit("f"), F.col("page_id").cast("string"), F.element_at(kinds, (F.col("page_id") % 6 + 1).cast("int"))))
+    size = F.length("html") * 1000
+    return pages.select("page_id", "name", sources.file_route(F.col("name"), F.lit(None).cast("string")).alias("route"), sources.admitted(F.col("name"), F.lit(None).cast("string"), size).alias("admitted"))
+
+
+def source_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sources of assessments: one for each source and language."""
+    docs = _documents(spark, sf_dir).withColumn("assessment", F.concat_ws("/", "source", "lang"))
+    found = assess.assess_sources(docs, "assessment", "doc_id", "doc_id", settings=catalog.Settings(dedup_scope="source"))
+    groups = found.select("assessment", F.col("score").alias("overall"), F.explode_outer("source_groups").alias("g")).where("g is not null")
+    return groups.select("assessment", "overall", F.col("g.label").cast("long").alias("doc_id"), F.col("g.score").alias("score"), F.col("g.finding_count").alias("finding_count"))
+
+
+def conversation_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = assess.assess_sources(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "turn")
+    return found.select("conv_id", "score", "level", "finding_count", F.size("source_groups").alias("n_groups"))
+
+
+def risk_by_source_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = assess.assess(_documents(spark, sf_dir), ["source", "lang"])
+    return scored.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("score").cast("long").alias("total_score"), F.max("score").alias("max_score"))
+
+
+def quality_vs_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = doc_risk_score(spark, sf_dir).join(_table(spark, sf_dir, "labels"), "doc_id")
+    return scored.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("score").cast("long").alias("total_score"), F.sum((F.col("level") != "Safe").cast("long")).alias("n_risky"))
+
+
+def debounced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.debounced(_table(spark, sf_dir, "events"), "user_id", "ts", 3600.0, "event_id").select("event_id", "user_id", "event_type")
+
+
+def changed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.changed(_table(spark, sf_dir, "events"), "user_id", "ts", "event_type", "event_id").select("event_id", "user_id", "event_type")
+
+
+def latest_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.latest(_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id").select("user_id", "event_id", "event_type")
+
+
+def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases answer views: only those to a user's latest event count."""
+    events = _table(spark, sf_dir, "events").withColumn("request_id", F.col("event_id"))
+    return live.answered(events.select("user_id", "request_id"), events.select("user_id", "request_id", "event_type"), "user_id", "request_id")
+
+
+def submit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = assess.assess(_documents(spark, sf_dir), ["doc_id", "text"])
+    state = F.element_at(F.array(*map(F.lit, ["ok", "offline", "ok", "error", "ok"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    stale = F.when(F.col("doc_id") % 7 == 0, F.lit("before")).otherwise(F.col("text"))
+    return scored.select("doc_id", assess.may_submit(F.col("doc_id") % 11 == 0, state, stale, F.col("text"), F.col("score")).alias("allowed"))
+
+
+def history_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with findings as history entries, one a second by doc_id."""
+    found = doc_risk_score(spark, sf_dir).where("finding_count > 0").withColumn("timestamp", F.timestamp_seconds("doc_id"))
+    return history.newest(found, 50, "doc_id").select("doc_id", "score", "level", "finding_count")
+
+
+
+def softmax_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 9).alias("logits"))
+    index, confidence = ner.softmax_argmax(F.col("logits"))
+    return rows.select("vec_id", index.alias("label_id"), F.round(confidence, 6).alias("confidence"))
+
+
+def ctc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: F.slice("embedding", t * 4 + 1, 4)).alias("steps"))
+    return rows.select("vec_id", ocr.ctc_text(F.col("steps"), ["a", "b", "c"]).alias("text"))
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64 made-up tokens of each vector: two a word, labels by the size of components."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("pos", "x"))
+    label = F.when(F.col("x") > 0.12, "B-PERSON").when(F.col("x") > 0, "I-ADDR").otherwise("O")
+    return rows.select("vec_id", "pos", F.floor(F.col("pos") / 2).cast("int").alias("word_id"), label.alias("label"), (F.floor(F.abs("x") * 1000 + 0.5) / 1000).alias("confidence"), (F.col("pos") * 3).alias("start"), (F.col("pos") * 3 + 3).alias("end"))
+
+
+def word_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ner.words(_tokens(spark, sf_dir), ["vec_id"]).select("vec_id", "word_id", "tag", "confidence", F.col("start").alias("start_index"), F.col("end").alias("end_index"))
+
+
+def bio_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ner.islands(ner.words(_tokens(spark, sf_dir), ["vec_id"]), ["vec_id"])
+    return found.select("vec_id", "tag", F.col("start").alias("start_index"), F.col("end").alias("end_index"), F.round("mean", 6).alias("mean_confidence"), "n_words")
+
+
+def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", F.md5(ocr_text.repair(F.col("text"))).alias("repaired_md5"))
+
+
+def ocr_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table as an image reader might give it, one for each document: helper lines for identifiers."""
+    n = F.lpad((F.col("doc_id") * 7919 % 1000000).cast("string"), 6, "0")
+    text = F.concat(F.lit("Nama NIK\nBudi"), F.lit("3201234567"), n, F.lit("\nHP +62.812.3456."), F.substring(n, 1, 4), F.lit("\nNPWP: O1.234.567.8-"), F.substring(n, 1, 3), F.lit(".OOO\nend"))
+    return _documents(spark, sf_dir).select("doc_id", text.alias("t")).select("doc_id", ocr_text.normalize(F.col("t")).alias("text"))
+
+
+def context_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 13-digit number in a sentence with or without a bank word near it, for each document."""
+    number = F.concat(F.lit("9"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    word = F.element_at(F.array(*map(F.lit, ["bank account", "order", "rekening", "parcel", "BANK"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    gap = F.repeat(F.lit("x "), (F.col("doc_id") % 60).cast("int"))
+    docs = _documents(spark, sf_dir).select("doc_id", F.concat(word, F.lit(" "), gap, number).alias("text"))
+    found = assess.findings_rows(assess.scan(docs, patterns=_only("BANK_ACCT")), ["doc_id"])
+    return found.select("doc_id", "value", "start_index")
+
+
+def postcode_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings that overlap: a national number, an account and a card that are the same digits; the earliest pattern wins."""
+    digits = F.concat(F.lit("4111"), F.lpad((F.col("doc_id") * 104729 % 1000000000000).cast("string"), 12, "0"))
+    docs = _documents(spark, sf_dir).select("doc_id", F.concat(F.lit("nik bank "), digits).alias("text"))
+    found = assess.findings_rows(assess.assess(docs, ["doc_id"]), ["doc_id"])
+    return found.select("doc_id", "type", "value", F.concat_ws(",", "detector_sources").alias("sources"))
+
+
+def nearest_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 2000).alias("t"))
+    return docs.select("doc_id", redact.nearest_occurrence(F.col("t"), F.lit("e"), F.lit(100)).alias("place"))
+
+
+def utf16_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.dialect import to_utf16_offset
+
+    docs = _documents(spark, sf_dir).select("doc_id", F.concat(F.repeat(F.lit("😀"), (F.col("doc_id") % 4).cast("int")), F.lit("a@b.co")).alias("text"))
+    found = assess.findings_rows(assess.scan(docs, patterns=_only("EMAIL")), ["doc_id"]).join(docs, "doc_id")
+    return found.select("doc_id", "start_index", to_utf16_offset(F.col("text"), F.col("start_index")).alias("utf16_index"))
+
+
+def file_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select("user_id", "event_id", F.concat(F.col("event_type"), F.lit(".txt")).alias("name"))
+    last = sources.accumulate_by_name(events, ["user_id"], "name", "event_id")
+    return last.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "name", F.col("event_id").cast("string")))), "\n").alias("file_set"))
+
+
+def weight_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(s,) for s in [*catalog.WEIGHTS, "other"]], "severity string")
+    return rows.select("severity", score.weight(F.col("severity")).alias("weight"), redact.bucket(F.col("severity")).alias("bucket"))
+
+
+def raw_pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw matches of every pattern, without context or checks: a row for each pattern that matches."""
+    text = F.col("text")
+    counts = [F.sum(F.size(F.regexp_extract_all(text, F.lit(translate(p.regex, p.ignore_case)), F.lit(0))).cast("long")).alias(p.type) for p in _only("ID_NIK", "PH_NATIONAL_ID", "EMAIL", "BANK_ACCT", "CREDIT_CARD", "MY_VEHICLE", "IP_ADDRESS", "PH_POSTCODE")]
+    row = _documents(spark, sf_dir).agg(*counts)
+    return row.select(F.expr(f"stack({len(counts)}, " + ", ".join(f"'{c}', `{c}`" for c in row.columns) + ") as (type, n)"))
+
+
+def windowed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How findings are spread: each finding's distance to the one before in its document."""
+    found = assess.findings_rows(assess.assess(_documents(spark, sf_dir), ["doc_id"]), ["doc_id"])
+    gap = F.col("start_index") - F.lag("end_index").over(W.partitionBy("doc_id").orderBy("start_index"))
+    return found.select("doc_id", "type", "start_index", gap.alias("gap"))
+
+
+def queries() -> dict[str, Query]:
+    return {
+        "email_spans": spans_of("EMAIL"), "ip_spans": spans_of("IP_ADDRESS"), "card_spans": spans_of("CREDIT_CARD"),
+        "findings": findings, "doc_risk_score": doc_risk_score, "risk_level_counts": risk_level_counts, "top_risks": top_risks, "suggestions": suggestions, "breakdown": breakdown,
+        "redacted_brackets": redacted("brackets"), "redacted_asterisks": redacted("asterisks"), "redacted_marker": redacted("redacted"), "highlights": highlights,
+        "nik_runs": nik_runs, "raw_pattern_hits": raw_pattern_hits, "context_gated": context_gated, "postcode_overlaps": postcode_overlaps,
+        "html_text": html_text, "html_findings": html_findings, "file_routes": file_routes, "file_sets": file_sets,
+        "source_groups": source_groups, "conversation_risk": conversation_risk, "risk_by_source_lang": risk_by_source_lang, "quality_vs_risk": quality_vs_risk, "windowed_findings": windowed_findings,
+        "debounced_events": debounced_events, "changed_events": changed_events, "latest_request": latest_request, "answered_requests": answered_requests, "submit_gate": submit_gate, "history_top50": history_top50,
+        "softmax_argmax": softmax_argmax, "ctc_decode": ctc_decode, "word_tags": word_tags, "bio_islands": bio_islands,
+        "ocr_repair": ocr_repair, "ocr_normalized": ocr_normalized, "nearest_highlight": nearest_highlight, "utf16_offsets": utf16_offsets, "weight_by_severity": weight_by_severity,
+    }
+
+
+# --- SQL ----------------------------------------------------------------------------------------------
+
+#: Patterns that need no context and that RE2 can run; (type, order, pattern, severity, weight).
+_SQL_TYPES = ["IC_NUMBER", "ID_NPWP", "EMAIL", "CREDIT_CARD", "US_SSN", "IBAN", "IP_ADDRESS", "AWS_KEY", "GITHUB_PAT", "GOOGLE_API_KEY", "SLACK_TOKEN", "STRIPE_KEY", "JWT", "PRIVATE_KEY"]
+
+
+def _found_sql(table: str, key: str, text: str, types: list[str] = _SQL_TYPES) -> str:
+    """Common table expressions; the last, ``f``, has every finding with offsets. Overlaps don't occur in these data."""
+    every = {p.type: (i, p) for i, p in enumerate(catalog.default_patterns(), 1)}
+    parts = []
+    for t in types:
+        i, p = every[t]
+        pattern = ("(?i)" if p.ignore_case else "") + p.regex.replace("'", "''")
+        parts.append(
+            f"SELECT {key}, {i} AS o, '{t}' AS type, '{p.severity}' AS severity, {catalog.WEIGHTS[p.severity]} AS weight, "
+            f"regexp_extract_all({text}, '{pattern}') AS m, string_split_regex({text}, '{pattern}') AS s FROM {table} WHERE regexp_matches({text}, '{pattern}')"
+        )
+    return f"""
+WITH h AS ({' UNION ALL '.join(parts)}),
+r AS (
+  SELECT {key}, o, type, severity, weight, m[i] AS value, i,
+    CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS start_index
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM h)
+),
+l AS (SELECT *, string_split(reverse(regexp_replace(value, '[^0-9]', '', 'g')), '') AS d FROM r),
+f AS (
+  SELECT {key}, o, type, severity, weight, value, start_index, CAST(start_index + length(value) AS INTEGER) AS end_index FROM l
+  WHERE type <> 'CREDIT_CARD' OR list_sum(list_transform(range(1, len(d) + 1), lambda k: CASE WHEN k % 2 = 1 THEN try_cast(d[k] AS INT) ELSE (2 * try_cast(d[k] AS INT)) // 10 + (2 * try_cast(d[k] AS INT)) % 10 END)) % 10 = 0
+)"""
+
+
+_SCORED = """,
+t AS (SELECT {key}, type, any_value(weight) AS weight, count(*) AS n FROM f GROUP BY {key}, type),
+sc AS (SELECT {key}, CAST(least(100, floor(sum(weight * log2(1 + n)) + 0.5)) AS INTEGER) AS score, CAST(sum(n) AS INTEGER) AS finding_count FROM t GROUP BY {key}),
+a AS (SELECT d.*, coalesce(score, 0) AS score, coalesce(finding_count, 0) AS finding_count,
+  CASE WHEN coalesce(score, 0) < 20 THEN 'Safe' WHEN score < 50 THEN 'Caution' WHEN score < 80 THEN 'High' ELSE 'Critical' END AS level
+  FROM {table} d LEFT JOIN sc USING ({key}))"""
+
+#: Trailing and leading white space doesn't occur in documents but for line breaks, which both sides trim.
+_DOCS = "documents"
+_TEXT = "trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')"
+
+
+def oracle_sql() -> dict[str, str]:
+    found, docs = _found_sql(_DOCS, "doc_id", _TEXT), _SCORED.format(key="doc_id", table=_DOCS)
+    pages_text = "html"
+    for pattern, by in ((r"(?i)<script\b[^>]*>[\s\S]*?</script>", " "), (r"(?i)<style\b[^>]*>[\s\S]*?</style>", " "), ("<[^>]+>", " "), ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("&#39;", "''")):
+        pages_text = f"regexp_replace({pages_text}, '{pattern}', '{by}', 'g')"
+    pages = f"(SELECT page_id, {pages_text} AS text FROM pages)"
+    span = lambda t: found + f" SELECT doc_id, value, start_index, end_index FROM f WHERE type = '{t}'"
+
+    def masked(mask: str) -> str:
+        # the pieces between findings and the masks, in order
+        return found + f""",
+o AS (SELECT doc_id, start_index AS s, end_index AS e, {mask} AS r, coalesce(lag(end_index) OVER (PARTITION BY doc_id ORDER BY start_index), 0) AS b FROM f),
+p AS (SELECT doc_id, string_agg(substr({_TEXT}, b + 1, s - b) || r, '' ORDER BY s) AS head, max(e) AS last, CAST(count(*) AS INTEGER) AS n FROM o JOIN documents USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, coalesce(head, '') || substr({_TEXT}, coalesce(last, 0) + 1) AS redacted_text, coalesce(n, 0) AS redactions FROM documents LEFT JOIN p USING (doc_id)"""
+
+    verb = "CASE severity WHEN 'critical' THEN 'Redact ' || replace(type, '_', ' ') || ' \"' || v || '\" before submitting' WHEN 'high' THEN 'Consider removing ' || replace(type, '_', ' ') || ' \"' || v || '\"' ELSE 'Review ' || replace(type, '_', ' ') || ' mention: \"' || v || '\"' END"
+    tokens = """
+WITH e AS (SELECT vec_id, i - 1 AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+k AS (SELECT vec_id, pos, pos // 2 AS word_id, CASE WHEN x > 0.12 THEN 'PERSON' WHEN x > 0 THEN 'ADDR' ELSE 'O' END AS tag, floor(abs(x) * 1000 + 0.5) / 1000 AS c FROM e),
+g AS (SELECT vec_id, word_id, tag, sum(c) AS total, max(c) AS confidence, min(pos) AS first FROM k GROUP BY ALL),
+w AS (SELECT vec_id, word_id, tag, confidence, row_number() OVER (PARTITION BY vec_id, word_id ORDER BY tag = 'O', total DESC, first) AS n FROM g),
+wd AS (SELECT vec_id, CAST(word_id AS INTEGER) AS word_id, tag, confidence, CAST(word_id * 6 AS INTEGER) AS start_index, CAST(word_id * 6 + 6 AS INTEGER) AS end_index FROM w WHERE n = 1)"""
+    number = "'9' || lpad(CAST(doc_id AS VARCHAR), 12, '0')"
+    digits16 = "'4111' || lpad(CAST(doc_id * 104729 % 1000000000000 AS VARCHAR), 12, '0')"
+    n6 = "lpad(CAST(doc_id * 7919 % 1000000 AS VARCHAR), 6, '0')"
+    raw = " UNION ALL ".join(
+        f"SELECT '{t}' AS type, CAST(sum(len(regexp_extract_all(text, '{p}'))) AS BIGINT) AS n FROM documents"
+        for t, p in ((p.type, ("(?i)" if p.ignore_case else "") + (p.regex if p.type != "ID_NIK" else r"\d+")) for p in _only("PH_NATIONAL_ID", "EMAIL", "BANK_ACCT", "CREDIT_CARD", "MY_VEHICLE", "IP_ADDRESS", "PH_POSTCODE"))
+    )
+    return {
+        "email_spans": span("EMAIL"), "ip_spans": span("IP_ADDRESS"), "card_spans": span("CREDIT_CARD"),
+        "findings": found + " SELECT doc_id, type, value, start_index, end_index, severity, 1.0::DOUBLE AS confidence, 'regex' AS sources FROM f",
+        "doc_risk_score": found + docs + " SELECT doc_id, score, level, finding_count FROM a",
+        "risk_level_counts": found + docs + " SELECT level, count(*) AS n_docs, CAST(sum(finding_count) AS BIGINT) AS n_findings, max(score) AS max_score FROM a GROUP BY level",
+        "top_risks": found + " SELECT doc_id, place, type, value FROM (SELECT doc_id, type, value, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, start_index) AS INTEGER) AS place FROM f) WHERE place <= 3",
+        "suggestions": found + f""", one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY start_index) AS k, CASE WHEN length(value) > 20 THEN substr(value, 1, 20) || '...' ELSE value END AS v FROM f),
+            pl AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, start_index) AS INTEGER) AS place, {verb} AS suggestion FROM one WHERE k = 1)
+            SELECT doc_id, place, suggestion FROM pl WHERE place <= 5""",
+        "breakdown": found + ", ft AS (SELECT doc_id, type, min(start_index) AS p, count(*) AS n FROM f GROUP BY ALL), b AS (SELECT doc_id, CAST(sum(n) AS INTEGER) AS n, string_agg(type, ',' ORDER BY p) AS t FROM ft GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS regex_count, CAST(0 AS INTEGER) AS ner_count, CAST(0 AS INTEGER) AS ocr_count, coalesce(t, '') AS finding_types FROM documents LEFT JOIN b USING (doc_id)",
+        "redacted_brackets": masked("'[' || type || ']'"), "redacted_asterisks": masked("repeat('*', length(value))"), "redacted_marker": masked("'[REDACTED]'"),
+        "highlights": found + " SELECT doc_id, start_index, end_index, CASE WHEN severity IN ('critical', 'high') THEN severity ELSE 'medium' END AS bucket FROM f",
+        "nik_runs": f"WITH h AS (SELECT doc_id, regexp_extract_all({_TEXT}, '[0-9]+') AS m, string_split_regex({_TEXT}, '[0-9]+') AS s FROM documents), r AS (SELECT doc_id, m[i] AS value, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS start_index FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM h)) SELECT doc_id, value, start_index FROM r WHERE length(value) = 16",
+        "raw_pattern_hits": raw + " UNION ALL SELECT 'ID_NIK', CAST(sum(len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) = 16))) AS BIGINT) FROM documents",
+        "context_gated": f"SELECT doc_id, {number} AS value, CAST(length(w) + 1 + 2 * (doc_id % 60) AS INTEGER) AS start_index FROM (SELECT doc_id, (['bank account', 'order', 'rekening', 'parcel', 'BANK'])[CAST(doc_id % 5 + 1 AS INT)] AS w FROM documents) WHERE regexp_matches(substr(w || ' ' || repeat('x ', CAST(doc_id % 60 AS INT)), greatest(length(w) + 1 + 2 * (doc_id % 60) - 80, 0) + 1), '(?i)\\b(account|bank|rekening)\\b')",
+        "postcode_overlaps": f"SELECT doc_id, 'ID_NIK' AS type, {digits16} AS value, 'regex' AS sources FROM documents",
+        "html_text": f"SELECT page_id, {pages_text} AS text FROM pages",
+        "html_findings": _found_sql(pages, "page_id", _TEXT) + " SELECT page_id, type, value FROM f",
+        "file_routes": "WITH p AS (SELECT page_id, 'f' || page_id || (['.html', '.txt', '.pdf', '.docx', '.jpeg', '.exe'])[CAST(page_id % 6 + 1 AS INT)] AS name, (['html', 'text', 'pdf', 'docx', 'image', 'unsupported'])[CAST(page_id % 6 + 1 AS INT)] AS route, length(html) * 1000 AS size FROM pages) SELECT page_id, name, route, route <> 'unsupported' AND size <= 8388608 AS admitted FROM p",
+        "file_sets": "SELECT user_id, string_agg(x, chr(10) ORDER BY x) AS file_set FROM (SELECT user_id, event_type || '.txt:' || max(event_id) AS x FROM events GROUP BY user_id, event_type) GROUP BY user_id",
+        "source_groups": found + docs + """, ga AS (SELECT *, source || '/' || lang AS assessment, length(""" + _TEXT + """) > 0 AS filled FROM a),
+            gt AS (SELECT g.assessment, type, any_value(weight) AS weight, count(*) AS n FROM f JOIN ga g USING (doc_id) GROUP BY ALL),
+            gs AS (SELECT assessment, CAST(least(100, floor(sum(weight * log2(1 + n)) + 0.5)) AS INTEGER) AS overall FROM gt GROUP BY assessment),
+            gn AS (SELECT assessment, count(*) AS k FROM ga WHERE filled GROUP BY assessment)
+            SELECT assessment, coalesce(overall, 0) AS overall, doc_id, score, finding_count FROM ga JOIN gn USING (assessment) LEFT JOIN gs USING (assessment) WHERE filled AND (k > 1 OR finding_count > 0)""",
+        "conversation_risk": "SELECT conv_id, CAST(0 AS INTEGER) AS score, 'Safe' AS level, CAST(0 AS INTEGER) AS finding_count, CAST(CASE WHEN count(*) > 1 THEN count(*) ELSE 0 END AS INTEGER) AS n_groups FROM conversations WHERE length(trim(text)) > 0 GROUP BY conv_id",
+        "risk_by_source_lang": found + docs + " SELECT source, lang, count(*) AS n_docs, CAST(sum(score) AS BIGINT) AS total_score, max(score) AS max_score FROM a GROUP BY source, lang",
+        "quality_vs_risk": found + docs + " SELECT quality, toxic, count(*) AS n_docs, CAST(sum(score) AS BIGINT) AS total_score, CAST(sum(CASE WHEN level <> 'Safe' THEN 1 ELSE 0 END) AS BIGINT) AS n_risky FROM a JOIN labels USING (doc_id) GROUP BY quality, toxic",
+        "windowed_findings": found + " SELECT doc_id, type, start_index, start_index - lag(end_index) OVER (PARTITION BY doc_id ORDER BY start_index) AS gap FROM f",
+        "debounced_events": "SELECT event_id, user_id, event_type FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) WHERE nx IS NULL OR epoch(nx) - epoch(ts) >= 3600",
+        "changed_events": "SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER w AS b, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n = 1 OR b IS DISTINCT FROM event_type",
+        "latest_request": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
+        "answered_requests": "SELECT user_id, max(event_id) AS request_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
+        "submit_gate": found + docs + f" SELECT doc_id, CASE WHEN length({_TEXT}) = 0 THEN true WHEN doc_id % 11 = 0 THEN false WHEN doc_id % 5 IN (1, 3) THEN false WHEN doc_id % 7 = 0 AND text <> 'before' THEN false ELSE score < 20 END AS allowed FROM a",
+        "history_top50": found + docs + " SELECT doc_id, score, level, finding_count FROM a WHERE finding_count > 0 ORDER BY doc_id DESC LIMIT 50",
+        "softmax_argmax": "WITH x AS (SELECT vec_id, list_transform(embedding[1:9], lambda v: CAST(v AS DOUBLE)) AS l FROM embeddings) SELECT vec_id, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS label_id, round(1 / list_sum(list_transform(l, lambda v: exp(v - list_max(l)))), 6) AS confidence FROM x",
+        "ctc_decode": "WITH x AS (SELECT vec_id, t, embedding[t * 4 + 1:t * 4 + 4] AS l FROM (SELECT vec_id, embedding, unnest(range(16)) AS t FROM embeddings)), c AS (SELECT vec_id, t, list_position(l, list_max(l)) - 1 AS c FROM x), b AS (SELECT *, lag(c) OVER (PARTITION BY vec_id ORDER BY t) AS p FROM c) SELECT vec_id, coalesce(string_agg(chr(CAST(96 + c AS INT)), '' ORDER BY t) FILTER (WHERE c <> 0 AND p IS DISTINCT FROM c), '') AS text FROM b GROUP BY vec_id",
+        "word_tags": tokens + " SELECT vec_id, word_id, tag, confidence, start_index, end_index FROM wd",
+        "bio_islands": tokens + ", ch AS (SELECT *, CASE WHEN tag IS DISTINCT FROM lag(tag) OVER (PARTITION BY vec_id ORDER BY word_id) THEN 1 ELSE 0 END AS c FROM wd), il AS (SELECT *, sum(c) OVER (PARTITION BY vec_id ORDER BY word_id) AS g FROM ch) SELECT vec_id, tag, min(start_index) AS start_index, max(end_index) AS end_index, round(avg(confidence), 6) AS mean_confidence, count(*) AS n_words FROM il WHERE tag <> 'O' GROUP BY vec_id, g, tag",
+        "ocr_repair": "SELECT doc_id, md5(translate(text, 'OoIl|!''SsBb', '00111115588')) AS repaired_md5 FROM documents",
+        "ocr_normalized": f"SELECT doc_id, 'Nama NIK' || chr(10) || 'Budi3201234567' || n || chr(10) || 'HP +62.812.3456.' || substr(n, 1, 4) || chr(10) || 'NPWP: O1.234.567.8-' || substr(n, 1, 3) || '.OOO' || chr(10) || 'end' || chr(10) || chr(10) || 'OCR NORMALIZED' || chr(10) || 'NIK: 3201234567' || n || chr(10) || 'NO HP: +62 812 3456 ' || substr(n, 1, 4) || chr(10) || 'NPWP: 01.234.567.8-' || substr(n, 1, 3) || '.000' AS text FROM (SELECT doc_id, {n6} AS n FROM documents)",
+        "nearest_highlight": "WITH x AS (SELECT doc_id, substr(text, 1, 2000) AS t FROM documents), p AS (SELECT doc_id, t, i - 1 AS p FROM (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM x) WHERE substr(t, i, 1) = 'e'), b AS (SELECT doc_id, CAST(arg_min(p, abs(p - 100) * 100000 + p) AS INTEGER) AS place FROM p GROUP BY doc_id) SELECT doc_id, place FROM documents LEFT JOIN b USING (doc_id)",
+        "utf16_offsets": "SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS start_index, CAST(2 * (doc_id % 4) AS INTEGER) AS utf16_index FROM documents",
+        "weight_by_severity": "SELECT * FROM (VALUES ('critical', 40.0::DOUBLE, 'critical'), ('high', 25.0::DOUBLE, 'high'), ('medium', 12.0::DOUBLE, 'medium'), ('low', 5.0::DOUBLE, 'medium'), ('other', 5.0::DOUBLE, 'medium')) AS t(severity, weight, bucket)",
+    }
