@@ -23,6 +23,7 @@ of their ids. Empty table: no files and no rows.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -237,7 +238,8 @@ class ChunkEncoder:
         composed, asked = [], set()
         for c in chunks:
             word = c.rstrip(self.ENDS)
-            if 0 < len(word) < len(c) and word.decode()[-1].isalpha():
+            # a letter may become a letter and a mark, which would go with the punctuation
+            if 0 < len(word) < len(c) and unicodedata.normalize("NFC", word.decode()).lower()[-1].isalpha():
                 composed.append((c, word, c[len(word) :]))
                 asked.add(word)
                 asked.add(c[len(word) :])
