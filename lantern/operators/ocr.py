@@ -130,4 +130,4 @@ def extract_boxes(maps: DataFrame, keys: list[str]) -> DataFrame:
 
 def joined_lines(lines: Column) -> Column:
     """Recognised lines, trimmed, blank ones dropped, one below the other."""
-    return F.array_join(F.filter(F.transform(lines, F.trim), lambda s: s != ""), "\n")
+    return F.array_join(F.filter(F.transform(lines, lambda s: F.trim(s)), lambda s: s != ""), "\n")
