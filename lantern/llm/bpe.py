@@ -36,7 +36,7 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 _ODD = regex.compile(r"[^\S \n]|  | \n|\n |^ | $")
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 #: Pieces and words that a worker remembers at most; then it forgets all.
-REMEMBER = 300_000
+REMEMBER = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -85,18 +85,19 @@ class ByteBpe:
         self.shorter: list[int] = [-1] * size
         for token, i in usable.items():
             self.shorter[i] = next((usable[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in usable), -1)
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._words: dict[str, list[int]] = {}
         self._pieces: dict[str, tuple[str, bytes]] = {}
         self._marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def fits(self, left: int, right: int) -> bool:
         """The pair-compatibility table, filled as it is asked."""
-        known = self._fits.get((left, right))
+        pair = left << 32 | right
+        known = self._fits.get(pair)
         if known is None:
-            if len(self._fits) > 4 * REMEMBER:
+            if len(self._fits) > REMEMBER:
                 self._fits.clear()
-            known = self._fits[left, right] = self._compatible(left, right)
+            known = self._fits[pair] = self._compatible(left, right)
         return known
 
     def _compatible(self, left: int, right: int) -> bool:

@@ -7,7 +7,10 @@ otherwise. Repeated rows give repeated result rows.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
+import sys
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -22,7 +25,7 @@ from ..session import ship_package
 #: them further by bytes.
 BATCH_ROWS = 512
 #: Bytes of text worked on at once inside a batch.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -105,7 +108,36 @@ def sha256(data: bytes) -> str:
 
 
 def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+    """mapInArrow; a worker that another operator has used before forgets that one's tables first."""
+    owner = function.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(owner)
+        yield from function(batches)
+
+    return df.mapInArrow(run, schema)
+
+
+_owner = ""
+
+
+def take_over(owner: str) -> None:
+    """Workers are used again by later stages: what the operator before this one remembers is dropped, and freed memory given back."""
+    global _owner
+    if owner == _owner:
+        return
+    _owner = owner
+    for name in ("bpe", "rankmerge", "sstable", "language"):
+        module = sys.modules.get(f"{__package__}.{name}")
+        for table in ("load", "chunk_encoder", "letters"):
+            if module is not None and module.__name__ != owner and hasattr(module, table):
+                getattr(module, table).cache_clear()
+    Words._up = Words._down = np.zeros(0, np.uint64)
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

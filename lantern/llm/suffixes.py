@@ -37,7 +37,7 @@ from . import common
 LENGTH, GRAM = 50, 20
 _SPAN = LENGTH - GRAM + 1
 #: Anchors in a task's list before it is sent, and bytes of keys in a run.
-LIST_ANCHORS, RUN_KEYS = 3_000_000, 250_000
+LIST_ANCHORS, RUN_KEYS = 1_500_000, 200_000
 _WIDTH = LENGTH + (_SPAN - 1) + 1
 _LOW = np.uint64((1 << 24) - 1)
 _FIRST = -(1 << 63)
@@ -518,7 +518,7 @@ def merge_runs(routed: DataFrame) -> DataFrame:
                     else:
                         group.append((key, members))
                     last = key
-                    if len(out.single) > 500_000:
+                    if len(out.single) > 150_000:
                         yield out.drain()
                 if group:
                     settle(group, out)

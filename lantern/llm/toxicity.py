@@ -183,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str]],
     schema = ", ".join(["doc_id long", *(f"{y} int" for y in ys), "names binary", "counts binary"])
     got = common.arrow_map(joined, features, schema).toArrow()
     order = sorted(range(got.num_rows), key=lambda i: (got.column("doc_id")[i].as_py(), got.column("names")[i].as_py()))
-    rows = [(got.column("names")[i].as_py().split(b" ") if got.column("names")[i].as_py() else [], np.frombuffer(got.column("counts")[i].as_py(), "<u4").tolist()) for i in order]
+    one: dict[bytes, bytes] = {}  # equal names share their bytes
+    rows = [([one.setdefault(x, x) for x in got.column("names")[i].as_py().split(b" ") if x], np.frombuffer(got.column("counts")[i].as_py(), "<u4").tolist()) for i in order]
     y = np.array([[got.column(c)[i].as_py() for c in ys] for i in order], np.int64).reshape(len(rows), len(ys))
     ids = np.array([got.column("doc_id")[i].as_py() for i in order], np.int64)
     folds = (common.mix(ids.view(np.uint64)) % np.uint64(FOLDS)).astype(int)
