@@ -259,8 +259,10 @@ class ChunkEncoder:
             new = set().union(*parts)
         self._learn(new)
         out = [b"".join([*map(self.known.__getitem__, p), end]) for p in parts]
-        for c in [c for c in self.known if len(c) > self.LONGEST] if any(len(c) > self.LONGEST for c in new) else []:
-            del self.known[c]
+        for c in new:
+            if len(c) > self.LONGEST:
+                self.known.pop(c, None)
+                self.known.pop(c.rstrip(self.ENDS), None)
         return out
 
 
