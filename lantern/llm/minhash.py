@@ -17,8 +17,9 @@ Chance of missing a link at similarity 0.85: no band in common 5e-11, and fewer
 bins alike about 1e-7.
 
 Defined results: a document without words has an empty set, links with nothing and is its own component.
-Fewer words than a shingle: the whole sequence is its one shingle. Null text counts as empty. Rows with
-equal doc_id are rows of one document each in the result; they share a component.
+Fewer words than a shingle: the whole sequence is its one shingle. Null text counts as empty. Each row has
+a result; of rows with equal doc_id and different texts one stands for all when links are looked for. Rows
+without doc_id get a component only from rows that have one.
 """
 
 from __future__ import annotations
