@@ -4,9 +4,11 @@ A neighbour list holds the ``LIST`` nearest vectors that are known. The first li
 vectors on the same sides of some planes are compared. Then each vector compares the members of its list with each
 other (neighbours of neighbours meet there), and all lists keep what is nearer than what they have, until few change.
 
-A list whose members are all linked is saturated: there may be more. Lists are then enlarged to all vectors that can be reached
-through near neighbours (at ``REACH`` or more), compared block against block, so that every link within is counted
-and none is written out as a pair. Recall is audited against brute force for a fixed number of vectors; if it is
+Vectors that can be reached through near neighbours (at ``REACH`` or more) are a family, and all of a family are compared
+block against block, so that every link within is counted and none is written out as a pair. A list whose members are all
+linked is saturated: links beyond its last member are in no list, and may lead out of the family. Saturated vectors of
+each family are therefore put into cells, with a centre and a radius; cells of different families that are near enough
+to have a link are compared vector by vector, and families with a link become one. Recall is audited against brute force for a fixed number of vectors; if it is
 below ``RECALL``, it all happens again with twice the trees.
 
 Equal vectors are one class and enter once, with their number. A group of very many near vectors gives more blocks; no
@@ -29,13 +31,15 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .minhash import Forest, meeting_blocks
+from .minhash import BLOCK, Forest, meeting_blocks
 
 LIST, FLOOR, REACH = 10, 0.6, 0.8
 #: Vectors of a tree's leaf on average, and the chance that a link at the threshold is in no common leaf.
 LEAF, MISS = 256, 0.01
 ROUNDS, CHANGED = 6, 0.005
 AUDIT, RECALL = 64, 0.98
+#: Hyperplanes that part the saturated vectors of a family into cells, at most.
+_SIDES = 24
 
 
 def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -147,6 +151,100 @@ def descend(classes: DataFrame, lists: DataFrame) -> DataFrame:
     return lists
 
 
+def _cells(full: DataFrame) -> DataFrame:
+    """full: vec_id, dim, vec, component_id. The same with ``cell``: at most about BLOCK vectors of one family, by sides of hyperplanes and then by hash."""
+    size = full.groupBy("component_id").agg(F.count(F.lit(1)).alias("members"))
+    bits = F.least(F.greatest(F.ceil(F.log2(F.col("members") / BLOCK)), F.lit(0)), F.lit(_SIDES)).cast("int")
+
+    def sides(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, used = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            code = np.zeros(batch.num_rows, np.int64)
+            for d in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == d)
+                planes = np.random.Generator(np.random.PCG64([11, d])).normal(size=(d, _SIDES))
+                on = (_unit(batch.column(3).take(pa.array(rows))) @ planes > 0) & (np.arange(_SIDES) < used[rows][:, None])
+                code[rows] = (on.astype(np.int64) << np.arange(_SIDES)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(code)], ["vec_id", "component_id", "dim", "vec", "code"])
+
+    coded = full.join(size, "component_id").select("vec_id", "component_id", "dim", "vec", bits.alias("bits"))
+    coded = common.written(common.arrow_map(coded, sides, "vec_id long, component_id long, dim int, vec binary, code long"), "sides")
+    parts = coded.groupBy("component_id", "code").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    parts = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    parts = common.written(parts.withColumn("cell", F.monotonically_increasing_id()), "cells")
+    own = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
+    return common.written(coded.join(parts, ["component_id", "code"]).where(F.col("part") == own).select("cell", "vec_id", "component_id", "dim", "vec"), "cells")
+
+
+def _facing(cells: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) cells of different families that are near enough to have a link."""
+
+    def centres(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, at in common.whole_groups(batches, ["cell"]):
+            column = {n: whole.column(whole.schema.get_field_index(n)) for n in ("cell", "component_id", "dim", "vec")}
+            middle, radius = [], []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                x = _unit(column["vec"].slice(a, b - a))
+                c = x.sum(axis=0)
+                size = float(np.sqrt(c @ c))
+                c = c / size if size > 1e-9 else x[0]
+                middle.append(c.astype("<f8").tobytes())
+                radius.append(float(np.arccos(np.clip(x @ c, -1, 1)).max()))
+            rows = pa.array(at[:-1])
+            yield pa.RecordBatch.from_arrays([*(column[n].take(rows) for n in ("cell", "component_id", "dim")), pa.array(middle, pa.binary()), pa.array(radius)], ["cell", "component_id", "dim", "vec", "radius"])
+
+    balls = common.written(common.arrow_map(cells.repartition("cell").sortWithinPartitions("cell"), centres, "cell long, component_id long, dim int, vec binary, radius double"), "balls")
+    size = balls.groupBy("dim").agg(F.count(F.lit(1)).alias("members"))
+    reach = math.acos(min(1.0, max(-1.0, threshold)))
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, at in common.whole_groups(batches, ["dim", "pair"]):
+            column = {n: whole.column(whole.schema.get_field_index(n)) for n in ("cell", "component_id", "side", "vec", "radius")}
+            cell, family, side, radius = (column[n].to_numpy() for n in ("cell", "component_id", "side", "radius"))
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                x, r = _unit(column["vec"].slice(a, b - a)), radius[a:b]
+                near = np.arccos(np.clip(x @ x.T, -1, 1)) <= reach + r[:, None] + r[None, :] + 1e-6
+                near &= family[a:b, None] != family[None, a:b]
+                if side[a:b].any():
+                    near &= side[a:b, None] != side[None, a:b]
+                i, j = np.nonzero(np.triu(near))
+                yield pa.RecordBatch.from_arrays([pa.array(cell[a + i]), pa.array(cell[a + j])], ["a", "b"])
+
+    dealt = meeting_blocks(balls.join(size, "dim"), "cell").select("dim", "pair", "side", "cell", "component_id", "vec", "radius")
+    return common.written(common.arrow_map(dealt.repartition("dim", "pair").sortWithinPartitions("dim", "pair"), meet, "a long, b long"), "facing")
+
+
+def saturated_links(classes: DataFrame, lists: DataFrame, families: DataFrame, threshold: float) -> DataFrame | None:
+    """(u, v): a link for any two cells of saturated vectors of different families that have one; None if no list is saturated."""
+    full = lists.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("least")).where((F.col("n") >= LIST) & (F.col("least") >= threshold))
+    full = full.select(F.col("u").alias("vec_id")).join(families.withColumnRenamed("id", "vec_id"), "vec_id")
+    full = common.written(full.join(classes.select("vec_id", "dim", "vec"), "vec_id"), "saturated")
+    if full.select("component_id").distinct().limit(2).count() < 2:
+        return None
+    cells = _cells(full)
+    pairs = _facing(cells, threshold).withColumn("pair", F.monotonically_increasing_id())
+    pairs = common.written(pairs, "facing")
+    ends = pairs.select("pair", F.col("a").alias("cell"), F.lit(0).alias("side")).unionAll(pairs.select("pair", F.col("b").alias("cell"), F.lit(1).alias("side")))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, at in common.whole_groups(batches, ["pair"]):
+            column = {n: whole.column(whole.schema.get_field_index(n)) for n in ("vec_id", "side", "vec")}
+            ids, side = column["vec_id"].to_numpy(), column["side"].to_numpy()
+            u, v = [], []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                x = _unit(column["vec"].slice(a, b - a))
+                one, two = np.flatnonzero(side[a:b] == 0), np.flatnonzero(side[a:b] == 1)
+                linked = x[one] @ x[two].T >= threshold
+                if linked.any():
+                    i, j = np.unravel_index(int(linked.argmax()), linked.shape)
+                    u.append(ids[a + one[i]])
+                    v.append(ids[a + two[j]])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    met = ends.join(cells.select("cell", "vec_id", "vec"), "cell").select("pair", "side", "vec_id", "vec")
+    return common.written(common.arrow_map(met.repartition("pair").sortWithinPartitions("pair"), run, "u long, v long"), "joined")
+
+
 def count_links(classes: DataFrame, families: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Within families: (vec_id, n) links of each class to others, by number of vectors; and (u, v), a forest of the links."""
     size = families.groupBy("component_id").agg(F.count(F.lit(1)).alias("members"))
@@ -221,7 +319,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     count = classes.count()
     for attempt in range(3):
         lists = descend(classes, first_lists(classes, count, threshold, 2**attempt))
-        families = components(lists.where(F.col("sim") >= min(REACH, threshold)).select("u", "v"))
+        near = lists.where(F.col("sim") >= min(REACH, threshold)).select("u", "v")
+        families = components(near)
+        joined = saturated_links(classes, lists, families, threshold)
+        if joined is not None:
+            families = components(near.unionAll(joined))
         counts, links = count_links(classes, families, threshold)
         if audit(classes, counts, threshold) >= RECALL:
             break

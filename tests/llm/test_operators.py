@@ -138,6 +138,23 @@ def test_embedding_near_dedup(spark):
     assert neighbours.near_duplicates(frame.limit(0), 0.9).count() == 0
 
 
+@pytest.mark.parametrize("size", [40, 700])
+def test_embedding_near_dedup_tight_groups_face_each_other(spark, size):
+    """Lists of ten are full of a vector's own group, and most links are between groups."""
+    common.prepare(spark)
+    rng = np.random.default_rng(size)
+    axes = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    angle = math.acos(0.94)
+    centres = [axes[0], math.cos(angle) * axes[0] + math.sin(angle) * axes[1], math.cos(angle) * axes[0] - math.sin(angle) * axes[1], axes[5]]
+    x = np.concatenate([c + rng.normal(scale=0.008, size=(size, 64)) for c in centres])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = unit @ unit.T >= 0.9
+    assert linked[:size, size : 2 * size].sum() > size * size * 0.9 and not linked[:size, 3 * size :].any()
+    want = [(i, int(linked[i].sum()) - 1, 3 * size if i >= 3 * size else 0, i in (0, 3 * size)) for i in range(4 * size)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(tuple(r) for r in neighbours.near_duplicates(frame, 0.9).collect()) == want
+
+
 def test_bpe_equals_library_and_round_trips(docs, empty):
     library = Tokenizer.from_file(queries.BYTE_VOCAB)
     got = bpe.encode_decode(docs, queries.BYTE_VOCAB).collect()
