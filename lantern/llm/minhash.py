@@ -2,7 +2,8 @@
 
 One hash of each shingle chooses a bin and its value; the least value of each bin is kept, and empty bins
 borrow from full ones by optimal densification: bin i asks bins g(i, 1), g(i, 2), ... of a fixed random
-function until one is full. Bands of four bins are bucket keys.
+function until one is full. Bands of bins are bucket keys; how many bins a band has, and how many must be alike for
+a candidate, follows from the similarity (``plan``).
 
 Documents with the same set of shingles are one class, and only its smallest doc_id goes on. In a bucket,
 members form stars: the member that collides most is a star's centre, and every member whose signature
@@ -13,8 +14,9 @@ family links are confirmed on full sets of shingles, again block against block,
 confirmed links comes out. Components of these are the result. Nothing is capped; a hot bucket or family is
 more blocks.
 
-Chance of missing a link at similarity 0.85: no band in common 5e-11, and fewer than ``AGREE`` of 128
-bins alike about 1e-7.
+Chance of missing a link at the threshold, if bins are alike independently: no band in common under ``NO_BAND``, too few bins
+alike about 1e-11. Sets of few shingles fill few bins, and what bins borrow is alike or not together: the
+standard deviation of the bins alike is then up to 1.26 times as much (measured at 5 to 20 shingles), for which ``SPREAD`` allows.
 
 Defined results: a document without words has an empty set, links with nothing and is its own component.
 Fewer words than a shingle: the whole sequence is its one shingle. Null text counts as empty. Each row has
@@ -24,6 +26,7 @@ without doc_id get a component only from rows that have one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,17 +37,25 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-BINS, ROWS = 128, 4
-BANDS = BINS // ROWS
+BINS = 128
 SHINGLE = 5
-#: Bins that must be alike for two members of a bucket to be put in a family.
-AGREE = 88
+#: The chance that a link at the threshold has no band in common, and how many standard deviations (of short sets) below the mean bins may be alike.
+NO_BAND, SPREAD = 1e-9, 5.2 * 1.3
 #: Members of a block; two blocks meet in a task.
 BLOCK = 512
 _TRIES = 64
 _GUIDE = np.random.Generator(np.random.PCG64(77)).integers(0, BINS, (_TRIES, BINS))
 
 
+def plan(percent: int) -> tuple[int, int]:
+    """Bins of a band, and bins that must be alike for two members of a bucket to be put in a family, for links at percent / 100."""
+    alike = percent / 100
+    rows = max((r for r in range(1, BINS + 1) if (1 - alike**r) ** (BINS // r) <= NO_BAND), default=0)
+    if not rows or alike > 1:
+        raise ValueError(f"near duplicates at {percent} percent can't be found in {BINS} bins")
+    return rows, max(1, math.floor(BINS * alike - SPREAD * math.sqrt(BINS * alike * (1 - alike))))
+
+
 def shingle_sets(batch: pa.RecordBatch, column: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, joined, and the texts' offsets."""
     data, offsets = common.column_bytes(batch.column(column))
@@ -83,32 +94,34 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    """BANDS bucket keys (signed 64-bit) for each row."""
+def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
+    """A bucket key (signed 64-bit) for each band of ``rows`` bins, for each row."""
+    bands = BINS // rows
     with np.errstate(over="ignore"):
-        parts = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
-        key = np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(1)
-        for r in range(ROWS):
+        parts = signature[:, : bands * rows].reshape(len(signature), bands, rows).astype(np.uint64)
+        key = np.arange(bands, dtype=np.uint64)[None, :] + np.uint64(1)
+        for r in range(rows):
             key = common.mix(key * common.BASE + parts[:, :, r])
     return key.view(np.int64)
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_hash, keys (bucket keys), sig (the low byte of each bin)."""
+def profiles(docs: DataFrame, rows: int) -> DataFrame:
+    """doc_id, n_shingles, set_hash, keys (bucket keys of bands of ``rows`` bins), sig (the low byte of each bin)."""
+    bands = BINS // rows
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches):
             sets, offsets = shingle_sets(batch)
             sizes = np.diff(offsets)
             signature = signatures(sets, offsets)
-            keys = band_keys(signature)
+            keys = band_keys(signature, rows)
             with np.errstate(over="ignore"):
                 totals = np.concatenate([[np.uint64(0)], np.cumsum(common.mix(sets ^ np.uint64(0x1234567)))])
                 others = np.concatenate([[np.uint64(0)], np.cumsum(common.mix(sets + np.uint64(0x7654321)))])
             marks = [np.stack([(x[offsets[1:]] - x[offsets[:-1]]) for x in (totals, others)], axis=1)]
             mark = np.ascontiguousarray(marks[0]).view(np.uint8).reshape(len(sizes), 16)
             low = (signature & np.uint32(0xFF)).astype(np.uint8)
-            key_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sizes) + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+            key_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sizes) + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes.astype(np.int64)), pa.array([m.tobytes() for m in mark], pa.binary()), key_lists, pa.array([x.tobytes() for x in low], pa.binary())],
                 ["doc_id", "n_shingles", "set_hash", "keys", "sig"],
@@ -138,7 +151,7 @@ class Forest:
         return True
 
 
-def star_edges(ids: np.ndarray, sigs: np.ndarray, weight: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+def star_edges(ids: np.ndarray, sigs: np.ndarray, weight: np.ndarray, side: np.ndarray, agree: int) -> list[tuple[int, int]]:
     """Candidate edges of a bucket's block, or of two blocks (side 0 and 1), fewer than members.
 
     The heaviest member is the centre of a star and takes all that agree with it. Every member that it doesn't
@@ -154,7 +167,7 @@ def star_edges(ids: np.ndarray, sigs: np.ndarray, weight: np.ndarray, side: np.n
     for k, c in enumerate(order.tolist()):
         if taken[c]:
             continue
-        alike = (sigs == sigs[c]).sum(axis=1, dtype=np.int16) >= AGREE
+        alike = (sigs == sigs[c]).sum(axis=1, dtype=np.int16) >= agree
         if paired:
             alike &= side != side[c]
         alike[c] = False
@@ -177,7 +190,7 @@ def meeting_blocks(sized: DataFrame, id_col: str) -> DataFrame:
     return out.withColumn("side", (F.col("block") > F.col("other")).cast("int"))
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
+def candidate_edges(classes: DataFrame, agree: int) -> DataFrame:
     """(u, v) star edges between class representatives that meet in buckets. classes: doc_id, keys, sig."""
     rows = classes.select("doc_id", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -192,11 +205,11 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
             sigs = common.fixed_bytes(whole.column(whole.schema.get_field_index("sig")), BINS)
             sizes = np.diff(at)
             two = at[:-1][sizes == 2]
-            good = two[(sigs[two] == sigs[two + 1]).sum(axis=1) >= AGREE]
+            good = two[(sigs[two] == sigs[two + 1]).sum(axis=1) >= agree]
             u, v = [ids[good]], [ids[good + 1]]
             for a, n in zip(at[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 own = slice(a, a + n)
-                if edges := star_edges(ids[own], sigs[own], weight[own], side[own]):
+                if edges := star_edges(ids[own], sigs[own], weight[own], side[own], agree):
                     u.append(np.array([e[0] for e in edges], np.int64))
                     v.append(np.array([e[1] for e in edges], np.int64))
             pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)
@@ -267,10 +280,11 @@ def links(docs: DataFrame, families: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
-    found = common.written(profiles(docs), "profiles")
+    band_rows, agree = plan(percent)
+    found = common.written(profiles(docs, band_rows), "profiles")
     classes = found.where("n_shingles > 0").groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("class_id"))
     representatives = common.written(found.join(classes, ["n_shingles", "set_hash"]).where("doc_id = class_id").dropDuplicates(["doc_id"]).select("doc_id", "keys", "sig"), "classes")
-    families = components(candidate_edges(representatives))
+    families = components(candidate_edges(representatives, agree))
     one = docs.join(families.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
     linked = components(links(one, families, percent))
     of_class = classes.join(linked, F.col("class_id") == F.col("id"), "left").select("n_shingles", "set_hash", F.coalesce("component_id", "class_id").alias("component_id"))
