@@ -47,10 +47,16 @@ def clamp(offset: Column, text: Column) -> Column:
 def nearest_occurrence(text: Column, value: Column, start: Column) -> Column:
     """Offset of the occurrence of value that is nearest to start (the first of equals), or null."""
     pieces = F.split(text, F.concat(F.lit("\\Q"), F.regexp_replace(value, r"\\E", r"\\E\\\\E\\Q"), F.lit("\\E")), -1)
-    ends = F.transform(pieces, lambda p, i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + i * F.length(value))
-    places = F.slice(ends, 1, F.size(pieces) - 1)
-    best = F.array_min(F.transform(places, lambda p: F.struct(F.abs(p - start).alias("d"), p.alias("p"))))
-    return best["p"]
+    # one pass: where the piece ends, and the nearest place so far
+    none = F.lit(None).cast("int")
+
+    def step(a: Column, piece: Column) -> Column:
+        p = a["at"] + F.length(piece)
+        nearer = a["p"].isNull() | (F.abs(p - start) < F.abs(a["p"] - start))
+        return F.struct((p + F.length(value)).alias("at"), F.when(nearer, p).otherwise(a["p"]).alias("p"))
+
+    first = F.struct(F.lit(0).alias("at"), none.alias("p"))
+    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), first, step, lambda a: a["p"])
 
 
 def time_label(then: Column, now: Column) -> Column:

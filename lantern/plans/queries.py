@@ -210,8 +210,8 @@ def postcode_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 2000).alias("t"))
-    return docs.select("doc_id", redact.nearest_occurrence(F.col("t"), F.lit("e"), F.lit(100)).alias("place"))
+    """Of whole texts. The SQL looks at 2,000 characters only, so it differs where these have no e."""
+    return _documents(spark, sf_dir).select("doc_id", redact.nearest_occurrence(F.col("text"), F.lit("e"), F.lit(100)).alias("place"))
 
 
 def utf16_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
