@@ -38,6 +38,8 @@ LENGTH, GRAM = 50, 20
 _SPAN = LENGTH - GRAM + 1
 #: Anchors in a task's list before it is sent, and bytes of keys in a run.
 LIST_ANCHORS, RUN_KEYS = 1_500_000, 200_000
+#: Windows looked at at once; positions among them fit in 24 bits.
+PART = 4 << 20
 _WIDTH = LENGTH + (_SPAN - 1) + 1
 _LOW = np.uint64((1 << 24) - 1)
 _FIRST = -(1 << 63)
@@ -87,7 +89,24 @@ _ROUTED_SQL = "place int, kind int, doc_id long, disc long, blob binary"
 
 
 def find_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts under 16 MB in all: (text number, anchor position, first window, last window, 40-bit hash) of each anchor."""
+    """(text number, anchor position, first window, last window, 40-bit hash) of each anchor.
+
+    Positions have 24 bits beside the hash, so longer data are looked at in parts of PART windows. An anchor at a border comes
+    twice, with the windows of each part; every window is in one part.
+    """
+    if len(data) <= PART + LENGTH - 1:
+        return _anchors_of_part(data, offsets)
+    found = []
+    for a in range(0, len(data) - LENGTH + 1, PART):
+        b = min(a + PART + LENGTH - 1, len(data))
+        # the texts' ends within the part; a text that begins or ends outside is cut
+        owner, at, first, last, hashes = _anchors_of_part(data[a:b], np.clip(offsets, a, b) - a)
+        found.append((owner, at + a, first + a, last + a, hashes))
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(5))
+
+
+def _anchors_of_part(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``find_anchors`` of at most PART windows."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
@@ -114,6 +133,8 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     np.add.at(usable, offsets[long], 1)
     np.add.at(usable, offsets[long + 1] - LENGTH + 1, -1)
     windows = np.flatnonzero(np.cumsum(usable[:-1]))
+    if not len(windows):
+        return none, none, none, none, np.zeros(0, np.uint64)
     best = h[windows]
     at = (best & _LOW).astype(np.int64)
     new = np.ones(len(at), bool)
