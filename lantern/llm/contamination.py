@@ -12,7 +12,8 @@ An item in one place is missed with a chance under 1e-5; the more often its shin
 
 Words are runs of letters and digits, A-Z as a-z, all bytes beyond ASCII count as letters; punctuation and white
 space only part words. Shingles are of five words. Items with fewer words are one shingle of all their words, and are
-looked for among the document's runs of as many words.
+looked for among the document's runs of as many words. Items of one or two distinct shingles are candidates wherever one of these
+stands, without MinHash: they are too small a part of a window.
 
 The items are broadcast in parts of at most ``PART_SHINGLES`` shingles; a larger benchmark takes more passes.
 
@@ -57,12 +58,19 @@ class Items:
         self.items = [(ids[i], int(min(SHINGLE, count[i])), values[at[i] : at[i + 1]]) for i in range(len(raw)) if count[i]]
         self.levels: dict[int, list[int]] = {}
         self.short: dict[int, list[int]] = {}
+        few: list[int] = []
         for k, (_, width, own) in enumerate(self.items):
             if width < SHINGLE:
                 self.short.setdefault(width, []).append(k)
+            elif len(own) < 3:
+                few.append(k)
             else:
                 level = max(0, int(np.ceil(np.log2(len(own) / LEAST_BLOCK))))
                 self.levels.setdefault(level, []).append(k)
+        shingles = np.concatenate([np.zeros(0, np.uint64), *(self.items[k][2] for k in few)])
+        order = np.argsort(shingles)
+        #: Shingles of items that have one or two, sorted, and the item of each.
+        self.few = shingles[order], np.repeat(np.array(few, np.int64), [len(self.items[k][2]) for k in few])[order]
         self.tables = {level: self._table(members) for level, members in self.levels.items()}
 
     def _table(self, members: list[int]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -136,6 +144,13 @@ def candidates(items: Items, owner: np.ndarray, hashes: np.ndarray) -> set[tuple
     return out
 
 
+def holders(items: Items, owner: np.ndarray, hashes: np.ndarray) -> set[tuple[int, int]]:
+    """(text number, item) for items of one or two shingles, wherever a text has one of these."""
+    values, item = items.few
+    i, j = np.searchsorted(values, hashes, "left"), np.searchsorted(values, hashes, "right")
+    return {(int(owner[w]), int(k)) for w in np.flatnonzero(j > i).tolist() for k in item[i[w] : j[w]]}
+
+
 def found_in(items: Items, column: pa.Array, share: float) -> list[dict[int, float]]:
     """For each text the items that it holds, with their containment."""
     data, offsets = common.column_bytes(column)
@@ -143,7 +158,7 @@ def found_in(items: Items, column: pa.Array, share: float) -> list[dict[int, flo
     owner, hashes = words.shingles(SHINGLE, short=False)
     first = np.searchsorted(owner, np.arange(len(column) + 1))
     found: list[dict[int, float]] = [{} for _ in range(len(column))]
-    for text, item in candidates(items, owner, hashes):
+    for text, item in candidates(items, owner, hashes) | holders(items, owner, hashes):
         item_id, _, shingles = items.items[item]
         part = float(np.isin(shingles, hashes[first[text] : first[text + 1]]).sum()) / len(shingles)
         if part >= share:
