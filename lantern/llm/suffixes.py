@@ -12,10 +12,14 @@ anchors at equal places, wherever they stand. One suffix in about 16 is an ancho
 3. ``merge``: a range's runs are merged by a loser tree that holds, for each run, the length of the prefix that its
    head shares with the last key put out; heads are compared beyond known prefixes only. Equal keys and keys
    with a common anchor come out next to each other; their windows decide what is covered.
-4. Covered spans go back to their documents by doc_id.
+4. Covered spans go back to their documents.
 
-A string or copy that a great part of all documents holds costs each task one key, whatever its count. Documents with
-equal text are told apart only by doc_id: all but those with the smallest are covered whole and take no part in 2 and 3.
+Marks and spans travel in blobs by bucket of documents (``per_bucket``), so a stage makes rows by task and bucket and not by
+document and range; a bucket's blobs become one row for each document (``per_document``), which is joined to its text.
+
+A string or copy that a great part of all documents holds costs each task one key, whatever its count. An anchor that goes
+on in very many ways (20 blanks) would be one group of many keys; such anchors are counted in step 1, and their windows are keys
+one by one, which meet only if equal, so that ranges may part them.
 
 Defined results: null text is an empty text; texts under 50 bytes stay whole. Rows with equal doc_id are one document
 number: their strings don't cover each other. A null doc_id comes before all others. Bytes are removed wherever they
@@ -24,7 +28,7 @@ fall; a character that loses some of its bytes leaves the others, so ``kept`` is
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +42,18 @@ LENGTH, GRAM = 50, 20
 _SPAN = LENGTH - GRAM + 1
 #: Anchors in a task's list before it is sent, and bytes of keys in a run.
 LIST_ANCHORS, RUN_KEYS = 1_500_000, 200_000
+#: An anchor is hot if it goes on in so many ways and has at least one in HOT_SHARE of all anchors; so at most HOT_SHARE are hot, which
+#: are 8 MB to send to the tasks. A list counts ways of anchors it has MANY of.
+HOT_KEYS, HOT_SHARE, MANY = 20_000, 1_000_000, 16
+#: Lists whose samples go to the driver, at most about; a list has some 5 kB of them.
+SAMPLED_LISTS = 4096
 #: Windows looked at at once; positions among them fit in 24 bits.
 PART = 4 << 20
 _WIDTH = LENGTH + (_SPAN - 1) + 1
 _LOW = np.uint64((1 << 24) - 1)
 _FIRST = -(1 << 63)
+#: In the last byte of a key: a window of a hot anchor.
+_ALONE = 0x80
 
 
 # --- packing --------------------------------------------------------------------------------------
@@ -81,15 +92,49 @@ def batches_of(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema)], [n for n, _ in schema])
 
 
-_ROUTED = [("place", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("disc", pa.int64()), ("blob", pa.binary())]
-_ROUTED_SQL = "place int, kind int, doc_id long, disc long, blob binary"
+_ROUTED = [("place", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())]
+_ROUTED_SQL = "place int, kind int, n long, blob binary"
+
+
+def per_bucket(docs: np.ndarray, discs: np.ndarray, places: int, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(place, blob) of documents' values, the documents dealt to ``places`` by hash."""
+    if not len(docs):
+        return
+    with np.errstate(over="ignore"):
+        bucket = (common.mix(docs.view(np.uint64) ^ common.mix(discs.view(np.uint64))) % np.uint64(places)).astype(np.int64)
+    order = np.lexsort((discs, docs, bucket))
+    docs, discs, bucket, values = docs[order], discs[order], bucket[order], [v[order] for v in values]
+    new = np.ones(len(docs), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (discs[1:] != discs[:-1])
+    head = np.flatnonzero(new)
+    counts = np.diff(np.append(head, len(docs)))
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    at = np.searchsorted(head, cuts)
+    for a, b, i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), at[:-1].tolist(), at[1:].tolist()):
+        yield int(bucket[a]), pack(deltas(docs[head[i:j]]), discs[head[i:j]], counts[i:j].astype("<u4"), *(v[a:b] for v in values))
+
+
+def per_document(routed: DataFrame, types: list[str], make: Callable[..., Iterator[tuple[int, int, bytes]]]) -> DataFrame:
+    """(doc_id, disc, data), one row for each document of the blobs in (place, blob). make: (docs, discs, *values) to such rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, at in common.whole_groups(batches, ["place"]):
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                found = []
+                for i in range(a, b):
+                    docs, discs, counts, *values = unpack(whole.column(1)[i].as_py(), "<i8", "<i8", "<u4", *types)
+                    found.append((np.repeat(np.cumsum(docs), counts), np.repeat(discs, counts), *values))
+                rows = list(make(*(np.concatenate(column) for column in zip(*found))))
+                yield batches_of([("doc_id", pa.int64()), ("disc", pa.int64()), ("data", pa.binary())], rows)
+
+    return common.arrow_map(routed.select("place", "blob").repartition("place").sortWithinPartitions("place"), run, "doc_id long, disc long, data binary")
 
 
 # --- anchors ----------------------------------------------------------------------------------------
 
 
-def find_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, anchor position, first window, last window, 40-bit hash) of each anchor.
+def find_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text number, anchor position, first window, last window, 40-bit hash, hash of all its windows) of each anchor.
 
     Positions have 24 bits beside the hash, so longer data are looked at in parts of PART windows. An anchor at a border comes
     twice, with the windows of each part; every window is in one part.
@@ -100,17 +145,24 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     for a in range(0, len(data) - LENGTH + 1, PART):
         b = min(a + PART + LENGTH - 1, len(data))
         # the texts' ends within the part; a text that begins or ends outside is cut
-        owner, at, first, last, hashes = _anchors_of_part(data[a:b], np.clip(offsets, a, b) - a)
-        found.append((owner, at + a, first + a, last + a, hashes))
-    return tuple(np.concatenate([f[i] for f in found]) for i in range(5))
+        owner, at, first, last, hashes, spans = _anchors_of_part(data[a:b], np.clip(offsets, a, b) - a)
+        found.append((owner, at + a, first + a, last + a, hashes, spans))
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(6))
 
 
-def _anchors_of_part(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def gram_hash(gram: bytes) -> int:
+    """The 40-bit hash of an anchor."""
+    with np.errstate(over="ignore"):
+        total = (common.BYTE_CODES[np.frombuffer(gram, np.uint8)] * common.powers(common.BASE, GRAM)).sum(dtype=np.uint64)
+    return int(common.mix(total)) >> 24
+
+
+def _anchors_of_part(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """``find_anchors`` of at most PART windows."""
     n = len(data)
-    none = np.zeros(0, np.int64)
+    none, no_hash = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if n < LENGTH:
-        return none, none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, none, no_hash, no_hash
     if len(common.Words._up) < n + 1:
         common.Words._up, common.Words._down = common.powers(common.BASE, n + n // 2 + 1), common.powers(common.BASE_INVERSE, n + n // 2 + 1)
     with np.errstate(over="ignore"):
@@ -118,7 +170,6 @@ def _anchors_of_part(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
         np.cumsum(common.BYTE_CODES[data] * common.Words._up[:n], out=total[1:])
         h = total[GRAM:] - total[:-GRAM]
         h *= common.Words._down[: len(h)]
-        del total
         h = common.mix(h)
     h &= ~_LOW
     h |= np.arange(len(h), dtype=np.uint64)
@@ -134,14 +185,16 @@ def _anchors_of_part(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     np.add.at(usable, offsets[long + 1] - LENGTH + 1, -1)
     windows = np.flatnonzero(np.cumsum(usable[:-1]))
     if not len(windows):
-        return none, none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, none, no_hash, no_hash
     best = h[windows]
     at = (best & _LOW).astype(np.int64)
     new = np.ones(len(at), bool)
     new[1:] = at[1:] != at[:-1]
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    return np.searchsorted(offsets, at[first], side="right") - 1, at[first], windows[first], windows[last], best[first] >> np.uint64(24)
+    last = windows[np.append(first[1:], len(at)) - 1]
+    with np.errstate(over="ignore"):
+        spans = (total[last + LENGTH] - total[windows[first]]) * common.Words._down[windows[first]]
+    return np.searchsorted(offsets, at[first], side="right") - 1, at[first], windows[first], last, best[first] >> np.uint64(24), spans
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -150,7 +203,8 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def mark_anchors(docs: DataFrame, places: int) -> DataFrame:
-    """(kind, doc_id, disc, blob): kind 1: 40-bit hashes (5 bytes each) of a document's anchors that stand in two documents; kind 2: a sample of sort keys."""
+    """Rows for ``place``: kind 1: blobs of the hashes of documents' anchors that stand in two documents; kind 2: a sample of
+    sort keys from a list of n anchors; kind 3: the 5-byte hash of an anchor that goes on in n ways, HOT_KEYS or more."""
 
     def lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -158,11 +212,11 @@ def mark_anchors(docs: DataFrame, places: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal held, count
-            hashes, docs_, discs = (np.concatenate([h[i] for h in held]) for i in range(3))
-            samples = b"".join(h[3] for h in held)
+            hashes, docs_, discs, ways = (np.concatenate([h[i] for h in held]) for i in range(4))
+            rows = [(0, 2, count, b"".join(h[4] for h in held))]
             held, count = [], 0
             order = np.lexsort((discs, docs_, hashes))
-            hashes, docs_, discs = hashes[order], docs_[order], discs[order]
+            hashes, docs_, discs, ways = hashes[order], docs_[order], discs[order], ways[order]
             same = (hashes[1:] == hashes[:-1]) & (docs_[1:] == docs_[:-1])
             other = (hashes[1:] == hashes[:-1]) & (docs_[1:] != docs_[:-1])
             # every anchor whose hash is in two of this task's documents is marked at once
@@ -170,7 +224,18 @@ def mark_anchors(docs: DataFrame, places: int) -> DataFrame:
             several = np.add.reduceat(np.concatenate([[0], other.astype(np.int64)]), start) > 0
             sizes = np.diff(np.append(start, len(hashes)))
             marked = np.repeat(several, sizes)
-            rows = _per_document(hashes[marked], docs_[marked], discs[marked], places)
+            rows += [(p, 1, 0, blob) for p, blob in _marks(hashes[marked], docs_[marked], discs[marked], places)]
+            often = np.repeat(sizes >= MANY, sizes)
+            if often.any():
+                h, w = hashes[often], ways[often]
+                order = np.lexsort((w, h))
+                h, w = h[order], w[order]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+                h, n = np.unique(h[new], return_counts=True)
+                h, n = h[n >= MANY], n[n >= MANY].astype("<u4")
+                place = (h * np.uint64(places) >> np.uint64(40)).astype(np.int64)
+                cuts = np.searchsorted(place, np.arange(places + 1))
+                rows += [(p, 3, 0, pack(deltas(h[cuts[p] : cuts[p + 1]]), n[cuts[p] : cuts[p + 1]])) for p in np.flatnonzero(np.diff(cuts)).tolist()]
             # for the others: one entry for each document row; for the marked: one for all
             keep = ~marked
             keep[1:] &= ~(same & (discs[1:] == discs[:-1]))
@@ -183,18 +248,17 @@ def mark_anchors(docs: DataFrame, places: int) -> DataFrame:
                 pairs = np.stack([d[own], x[own]], axis=1)
                 known, index = np.unique(pairs, axis=0, return_inverse=True)
                 index = np.where(m[own], 0, index.reshape(-1) + 1).astype("<u4")
-                rows.append((p, 0, None, None, pack(deltas(h[own]), index, deltas(known[:, 0]), known[:, 1])))
-            rows.append((0, 2, None, None, samples))
+                rows.append((p, 0, 0, pack(deltas(h[own]), index, deltas(known[:, 0]), known[:, 1])))
             return batches_of(_ROUTED, rows)
 
         for batch in common.pieces(batches):
             data, offsets = common.column_bytes(batch.column(2))
-            owner, at, _, _, hashes = find_anchors(data, offsets)
+            owner, at, _, _, hashes, ways = find_anchors(data, offsets)
             if not len(owner):
                 continue
             some = at[:: max(1, len(at) // 8)][:8]
-            sample = b"".join(data[a : a + GRAM].tobytes() for a in some.tolist())
-            held.append((hashes, _ids(batch.column(0))[owner], batch.column(1).to_numpy()[owner], sample))
+            sample = b"".join(data[a : a + LENGTH].tobytes().ljust(LENGTH, b"\0") for a in some.tolist())
+            held.append((hashes, _ids(batch.column(0))[owner], batch.column(1).to_numpy()[owner], ways, sample))
             count += len(owner)
             if count >= LIST_ANCHORS:
                 yield flush()
@@ -204,22 +268,36 @@ def mark_anchors(docs: DataFrame, places: int) -> DataFrame:
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         count = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal found, count
+            blobs = _marks(*(np.concatenate([f[i] for f in found]) for i in range(3)), places)
+            found, count = [], 0
+            return batches_of(_ROUTED, [(p, 1, 0, blob) for p, blob in blobs])
+
         for whole, at in common.whole_groups(batches, ["place"]):
             kinds = whole.column(1).to_numpy()
-            other = np.flatnonzero(kinds != 0)
-            if len(other):
-                yield pa.RecordBatch.from_arrays([whole.column(i).take(pa.array(other)) for i in (1, 2, 3, 4)], ["kind", "doc_id", "disc", "blob"])
+            ready = np.flatnonzero((kinds == 1) | (kinds == 2))
+            if len(ready):
+                yield whole.take(pa.array(ready))
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                hashes, docs_, discs, marks = [], [], [], []
+                hashes, docs_, discs, marks, often = [], [], [], [], []
                 for i in range(a, b):
                     if kinds[i] == 0:
-                        h, index, known, disc = unpack(whole.column(4)[i].as_py(), "<u8", "<u4", "<i8", "<i8")
+                        h, index, known, disc = unpack(whole.column(3)[i].as_py(), "<u8", "<u4", "<i8", "<i8")
                         hashes.append(np.cumsum(h, dtype=np.uint64))
                         known = np.cumsum(known)
                         slot = np.maximum(index.astype(np.int64) - 1, 0)
                         docs_.append(known[slot])
                         discs.append(disc[slot])
                         marks.append(index == 0)
+                    elif kinds[i] == 3:
+                        h, n = unpack(whole.column(3)[i].as_py(), "<u8", "<u4")
+                        often.append((np.cumsum(h, dtype=np.uint64), n))
+                if often:
+                    h, index = np.unique(np.concatenate([o[0] for o in often]), return_inverse=True)
+                    n = np.bincount(index, weights=np.concatenate([o[1] for o in often])).astype(np.int64)
+                    yield batches_of(_ROUTED, [(0, 3, k, int(x).to_bytes(5, "little")) for x, k in zip(h[n >= HOT_KEYS].tolist(), n[n >= HOT_KEYS].tolist())])
                 if not hashes:
                     continue
                 h, d, x, m = (np.concatenate(y) for y in (hashes, docs_, discs, marks))
@@ -232,33 +310,31 @@ def mark_anchors(docs: DataFrame, places: int) -> DataFrame:
                 found.append((h[hit], d[hit], x[hit]))
                 count += int(hit.sum())
                 if count > LIST_ANCHORS:
-                    yield _marks(found)
-                    found, count = [], 0
-        if found:
-            yield _marks(found)
+                    yield flush()
+        if count:
+            yield flush()
 
     routed = common.arrow_map(docs, lists, _ROUTED_SQL).repartition("place").sortWithinPartitions("place")
-    return common.written(common.arrow_map(routed, meet, "kind int, doc_id long, disc long, blob binary"), "anchors")
+    return common.written(common.arrow_map(routed, meet, _ROUTED_SQL), "anchors")
+
 
+def _marks(hashes: np.ndarray, docs: np.ndarray, discs: np.ndarray, places: int) -> Iterator[tuple[int, bytes]]:
+    return per_bucket(docs, discs, places, hashes)
 
-def _per_document(hashes: np.ndarray, docs: np.ndarray, discs: np.ndarray, places: int) -> list[tuple]:
-    if not len(hashes):
-        return []
+
+def _marks_of_documents(docs: np.ndarray, discs: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Each document's distinct hashes, 5 bytes each."""
     order = np.lexsort((hashes, discs, docs))
     hashes, docs, discs = hashes[order], docs[order], discs[order]
-    new = np.ones(len(docs), bool)
-    new[1:] = (docs[1:] != docs[:-1]) | (discs[1:] != discs[:-1]) | (hashes[1:] != hashes[:-1])
+    other = np.concatenate([[True], (docs[1:] != docs[:-1]) | (discs[1:] != discs[:-1])])
+    new = other.copy()
+    new[1:] |= hashes[1:] != hashes[:-1]
+    start = np.flatnonzero(other[new])
     hashes, docs, discs = hashes[new], docs[new], discs[new]
-    start = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (discs[1:] != discs[:-1])]))
     raw = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
     ends = np.append(start[1:], len(docs))
-    place = (common.mix(docs[start].view(np.uint64)) % np.uint64(places)).astype(np.int64)
-    return [(p, 1, d, x, raw[5 * a : 5 * b]) for p, d, x, a, b in zip(place.tolist(), docs[start].tolist(), discs[start].tolist(), start.tolist(), ends.tolist())]
-
-
-def _marks(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    rows = _per_document(*(np.concatenate([f[i] for f in found]) for i in range(3)), 1)
-    return batches_of(_ROUTED[1:], [r[1:] for r in rows])
+    for d, x, a, b in zip(docs[start].tolist(), discs[start].tolist(), start.tolist(), ends.tolist()):
+        yield d, x, raw[5 * a : 5 * b]
 
 
 # --- runs -------------------------------------------------------------------------------------------
@@ -279,12 +355,12 @@ def sort_keys(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndar
     return out
 
 
-def merge_spans(docs: np.ndarray, discs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(doc_id, disc, spans) with overlapping and touching spans joined; spans: unsigned 32-bit starts and ends in turn."""
+def joined_spans(docs: np.ndarray, discs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same, ordered, with overlapping and touching spans of a document joined."""
     if not len(docs):
-        return
+        return docs, discs, starts, ends
     order = np.lexsort((starts, discs, docs))
-    docs, discs, starts, ends = docs[order], discs[order], starts[order], ends[order]
+    docs, discs, starts, ends = docs[order], discs[order], starts[order].astype(np.int64), ends[order].astype(np.int64)
     owner = np.concatenate([[0], np.cumsum((docs[1:] != docs[:-1]) | (discs[1:] != discs[:-1]))])
     lift = owner * np.int64(1 << 33)
     reach = np.maximum.accumulate(ends + lift)
@@ -292,16 +368,25 @@ def merge_spans(docs: np.ndarray, discs: np.ndarray, starts: np.ndarray, ends: n
     new[1:] = (starts + lift)[1:] > reach[:-1]
     at = np.flatnonzero(new)
     stop = reach[np.append(at[1:], len(docs)) - 1] - lift[at]
-    pairs = np.stack([starts[at], stop], axis=1).astype("<u4")
-    cut = np.searchsorted(owner[at], np.arange(owner[-1] + 2))
-    head = at[cut[:-1]]
-    raw = pairs.tobytes()
-    for d, x, a, b in zip(docs[head].tolist(), discs[head].tolist(), cut[:-1].tolist(), cut[1:].tolist()):
+    return docs[at], discs[at], starts[at], stop
+
+
+def _span_blobs(docs: np.ndarray, discs: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: int) -> Iterator[tuple[int, bytes]]:
+    docs, discs, starts, ends = joined_spans(docs, discs, starts, ends)
+    return per_bucket(docs, discs, places, starts.astype("<u4"), ends.astype("<u4"))
+
+
+def _spans_of_documents(docs: np.ndarray, discs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Each document's spans: unsigned 32-bit starts and ends in turn."""
+    docs, discs, starts, ends = joined_spans(docs, discs, starts, ends)
+    raw = np.stack([starts, ends], axis=1).astype("<u4").tobytes()
+    head = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (discs[1:] != discs[:-1])]))
+    for d, x, a, b in zip(docs[head].tolist(), discs[head].tolist(), head.tolist(), np.append(head[1:], len(docs)).tolist()):
         yield d, x, raw[8 * a : 8 * b]
 
 
-def make_runs(marked: DataFrame, borders: list[bytes], places: int) -> DataFrame:
-    """marked: doc_id, disc, text, marks (list of blobs). Rows for ``place``: kind 0: a piece of a run; kind 1: spans that the run itself shows as covered."""
+def make_runs(marked: DataFrame, borders: list[bytes], hot: np.ndarray, places: int) -> DataFrame:
+    """marked: doc_id, disc, text, marks (5 bytes each). hot: hashes of hot anchors, sorted. Rows for ``place``: kind 0: a piece of a run; kind 1: blobs of spans that the run itself shows as covered."""
     edges = np.array([b.ljust(_WIDTH, b"\0") for b in borders], f"S{_WIDTH}")
 
     def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +406,7 @@ def make_runs(marked: DataFrame, borders: list[bytes], places: int) -> DataFrame
             smallest = docs_[new][entry]
             later = docs_ > smallest
             length = _WIDTH - 1 - (keys[:, ::-1] != 0).argmax(axis=1)  # a key's last byte isn't zero
-            rows = [(d % places, 1, d, x, spans) for d, x, spans in merge_spans(docs_[later], discs[later], low[later], (low + length)[later])]
+            rows = [(p, 1, 0, blob) for p, blob in _span_blobs(docs_[later], discs[later], low[later], (low + length)[later], places)]
             distinct, length = keys[new], length[new] + 1
             differ = distinct[1:] != distinct[:-1]
             shared = np.concatenate([[0], np.where(differ.any(axis=1), differ.argmax(axis=1), 0)]).astype(np.int64)
@@ -335,27 +420,37 @@ def make_runs(marked: DataFrame, borders: list[bytes], places: int) -> DataFrame
                 common_[0] = 0
                 columns = np.arange(_WIDTH)
                 rest = distinct[a:b][(columns >= common_[:, None]) & (columns < length[a:b, None])]
-                rows.append((p, 0, None, None, pack(common_.astype("u1"), length[a:b].astype("u1"), rest, np.diff(np.searchsorted(entry[i:j], np.arange(a, b + 1))).astype("<u4"), docs_[i:j], discs[i:j], low[i:j].astype("<u4"))))
+                rows.append((p, 0, 0, pack(common_.astype("u1"), length[a:b].astype("u1"), rest, np.diff(np.searchsorted(entry[i:j], np.arange(a, b + 1))).astype("<u4"), docs_[i:j], discs[i:j], low[i:j].astype("<u4"))))
             return batches_of(_ROUTED, rows)
 
         for batch in common.pieces(batches):
             data, offsets = common.column_bytes(batch.column(2))
-            owner, at, first, last, hashes = find_anchors(data, offsets)
+            owner, at, first, last, hashes, _ = find_anchors(data, offsets)
             if not len(owner):
                 continue
             wanted = []
-            for i, blobs in enumerate(batch.column(3).to_pylist()):
-                raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
+            for i, marks in enumerate(batch.column(3).to_pylist()):
+                raw = np.frombuffer(marks, np.uint8).reshape(-1, 5)
                 h = np.zeros((len(raw), 8), np.uint8)
                 h[:, :5] = raw
                 wanted.append(h.view("<u8").reshape(-1) | np.uint64(i << 40))
             sought = np.sort(np.concatenate(wanted))
             mine = hashes | (owner.astype(np.uint64) << np.uint64(40))
             hit = sought[np.minimum(np.searchsorted(sought, mine), len(sought) - 1)] == mine if len(sought) else np.zeros(len(mine), bool)
-            owner, at, first, last = owner[hit], at[hit], first[hit], last[hit]
+            owner, at, first, last, hashes = owner[hit], at[hit], first[hit], last[hit], hashes[hit]
             if not len(owner):
                 continue
-            held.append((sort_keys(data, at, first, last), _ids(batch.column(0))[owner], batch.column(1).to_numpy()[owner], first - offsets[owner]))
+            parted = np.isin(hashes, hot) if len(hot) else np.zeros(len(hashes), bool)
+            if parted.any():
+                # a key for each window
+                size = np.where(parted, last - first + 1, 1)
+                step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                owner, at, first, last, parted = (np.repeat(x, size) for x in (owner, at, first, last, parted))
+                first = first + step
+                last = np.where(parted, first, last)
+            keys = sort_keys(data, at, first, last)
+            keys[parted, LENGTH] |= _ALONE
+            held.append((keys, _ids(batch.column(0))[owner], batch.column(1).to_numpy()[owner], first - offsets[owner]))
             count += len(owner)
             if count >= RUN_KEYS:
                 yield flush()
@@ -473,10 +568,10 @@ class Covered:
     def __init__(self):
         self.single: list[tuple[int, int, int, int]] = []
 
-    def drain(self) -> pa.RecordBatch:
+    def drain(self, places: int) -> pa.RecordBatch:
         every = np.array(self.single, np.int64).reshape(-1, 4)
         self.single = []
-        return batches_of([_ROUTED[2], _ROUTED[3], _ROUTED[4]], list(merge_spans(every[:, 0], every[:, 1], every[:, 2], every[:, 3])))
+        return batches_of([_ROUTED[0], _ROUTED[3]], list(_span_blobs(*(np.ascontiguousarray(every[:, i]) for i in range(4)), places)))
 
 
 def settle(group: list[tuple[bytes, list[tuple[int, int, int]]]], out: Covered) -> None:
@@ -511,8 +606,8 @@ def settle(group: list[tuple[bytes, list[tuple[int, int, int]]]], out: Covered)
                     out.single += [(doc, disc, low + i, low + i + LENGTH) for i in hit]
 
 
-def merge_runs(routed: DataFrame) -> DataFrame:
-    """(doc_id, disc, blob) with covered spans."""
+def merge_runs(routed: DataFrame, places: int) -> DataFrame:
+    """(place, blob) with covered spans."""
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Covered()
@@ -520,9 +615,9 @@ def merge_runs(routed: DataFrame) -> DataFrame:
             kinds = whole.column(1).to_numpy()
             ready = np.flatnonzero(kinds == 1)
             if len(ready):
-                yield pa.RecordBatch.from_arrays([whole.column(i).take(pa.array(ready)) for i in (2, 3, 4)], ["doc_id", "disc", "blob"])
+                yield whole.take(pa.array(ready)).select(["place", "blob"])
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                runs = [Run(whole.column(4)[i].as_py()) for i in range(a, b) if kinds[i] == 0]
+                runs = [Run(whole.column(3)[i].as_py()) for i in range(a, b) if kinds[i] == 0]
                 if not runs:
                     continue
                 group: list[tuple[bytes, list[tuple[int, int, int]]]] = []
@@ -530,7 +625,7 @@ def merge_runs(routed: DataFrame) -> DataFrame:
                 for key, shared, run in LoserTree(runs):
                     i, j = run.members()
                     members = list(zip(run.docs[i:j].tolist(), run.discs[i:j].tolist(), run.low[i:j].tolist())) if j - i > 1 else [(run.docs.item(i), run.discs.item(i), run.low.item(i))]
-                    if shared < GRAM:
+                    if shared < GRAM or (key[-1] >= _ALONE and not shared == len(key) == len(last)):
                         if len(group) > 1 or (group and len(group[0][1]) > 1):
                             settle(group, out)
                         group = [(key, members)]
@@ -540,14 +635,22 @@ def merge_runs(routed: DataFrame) -> DataFrame:
                         group.append((key, members))
                     last = key
                     if len(out.single) > 150_000:
-                        yield out.drain()
+                        yield out.drain(places)
                 if group:
                     settle(group, out)
         if out.single:
-            yield out.drain()
+            yield out.drain(places)
 
     grouped = routed.repartition("place").sortWithinPartitions("place")
-    return common.arrow_map(grouped, merge, "doc_id long, disc long, blob binary")
+    return common.arrow_map(grouped, merge, "place int, blob binary")
+
+
+def range_borders(samples: list[bytes], places: int, hot: set[int]) -> list[bytes]:
+    """Keys that part the sorted sample evenly into at most ``places`` ranges; no border is inside an anchor, unless a hot one."""
+    keys = sorted(b[i : i + LENGTH] for b in samples for i in range(0, len(b), LENGTH))
+    places = min(places, len(keys) // 2)
+    chosen = [keys[i * len(keys) // places] for i in range(1, places)]
+    return sorted({k if gram_hash(k[:GRAM]) in hot else k[:GRAM] for k in chosen})
 
 
 def whole_characters(kept: Column) -> Column:
@@ -568,46 +671,37 @@ def dedup(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     rows = docs.select(*more, F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text"))
     twice = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
     rows = rows.withColumn("disc", F.xxhash64("text") if twice else F.lit(0).cast("long"))
-    marks = rows.select("doc_id", "disc", F.unhex(F.md5("text")).alias("mark"), F.octet_length("text").alias("n")).where(F.col("n") >= LENGTH)
-    first = marks.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
-    copies = common.written(marks.join(first, "mark").where("doc_id > first").select("doc_id", "disc", "n").distinct(), "copies")
-
     places = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    found = mark_anchors(rows.select("doc_id", "disc", "text").where(F.octet_length("text") >= LENGTH), 4 * places)
-    sample = sorted(b[i : i + GRAM] for (b,) in found.where("kind = 2").select("blob").collect() for i in range(0, len(b), GRAM))
-    borders = sorted({sample[i * len(sample) // places] for i in range(1, places)}) if sample else []
-
-    marked = found.where("kind = 1").groupBy("doc_id", "disc").agg(F.collect_list("blob").alias("marks")).join(copies.select("doc_id", "disc"), ["doc_id", "disc"], "left_anti")
+    found = mark_anchors(rows.select("doc_id", "disc", "text").where(F.octet_length("text") >= LENGTH), places)
+    lists = found.where("kind = 2")
+    size = lists.agg(F.count(F.lit(1)).alias("lists"), F.coalesce(F.sum("n"), F.lit(0)).alias("anchors")).first()
+    hot = [int.from_bytes(r.blob, "little") for r in found.where((F.col("kind") == 3) & (F.col("n") >= max(HOT_KEYS, size.anchors // HOT_SHARE))).select("blob").collect()]
+    if size.lists > SAMPLED_LISTS:
+        lists = lists.where(F.pmod(F.xxhash64("blob"), F.lit(-(-size.lists // SAMPLED_LISTS))) == 0)
+    borders = range_borders([r.blob for r in lists.select("blob").collect()], places, set(hot))
+
+    marked = per_document(found.where("kind = 1"), ["<u8"], _marks_of_documents).withColumnRenamed("data", "marks")
     joined = rows.select("doc_id", "disc", "text").dropDuplicates(["doc_id", "disc"]) if twice else rows.select("doc_id", "disc", "text")
     joined = joined.join(marked, ["doc_id", "disc"]).select("doc_id", "disc", "text", "marks")
-    spans = merge_runs(make_runs(joined, borders, len(borders) + 1))
-    digits = F.lpad(F.hex("n"), 8, "0")
-    little = F.concat(F.lit("00000000"), *(F.substring(digits, k, 2) for k in (7, 5, 3, 1)))  # 0 and n as 32-bit integers
-    whole = copies.select("doc_id", "disc", F.unhex(little).alias("blob"))
-    spans = spans.unionByName(whole).groupBy("doc_id", "disc").agg(F.collect_list("blob").alias("blobs"))
+    covered = merge_runs(make_runs(joined, borders, np.sort(np.array(hot, np.uint64)), places), places)
+    spans = per_document(covered, ["<u4", "<u4"], _spans_of_documents).withColumnRenamed("data", "spans")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in common.pieces(batches):
             out = []
-            for text, blobs in zip(common.cut_rows(*common.column_bytes(batch.column(2))), batch.column(3).to_pylist()):
-                if not blobs:
-                    out.append((len(text), 0, [], text))
-                    continue
-                pairs = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 2).astype(np.int64)
-                zeros = np.zeros(len(pairs), np.int64)
-                (_, _, raw), = merge_spans(zeros, zeros, pairs[:, 0], pairs[:, 1])
-                pairs_ = np.frombuffer(raw, "<u4").reshape(-1, 2).tolist()
+            for text, raw in zip(common.cut_rows(*common.column_bytes(batch.column(2))), batch.column(3).to_pylist()):
+                pairs = np.frombuffer(raw or b"", "<u4").reshape(-1, 2).tolist()
                 kept, at = [], 0
-                for s, e in pairs_:
+                for s, e in pairs:
                     kept.append(text[at:s])
                     at = e
                 kept.append(text[at:])
-                out.append((len(text), sum(e - s for s, e in pairs_), [{"start": s, "end": e} for s, e in pairs_], b"".join(kept)))
+                out.append((len(text), sum(e - s for s, e in pairs), [{"start": s, "end": e} for s, e in pairs], b"".join(kept)))
             n, removed, spans_, kept_ = zip(*out)
             ids = pa.array(np.where(batch.column(1).to_numpy(zero_copy_only=False), None, batch.column(0).to_numpy(zero_copy_only=False)).tolist(), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[4:], ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans_], pa.int64()), pa.array(spans_, span_type), pa.array(kept_, pa.binary())], [*batch.schema.names[4:], "doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    final = rows.join(spans, ["doc_id", "disc"], "left").select("doc_id", "no_id", "text", "blobs", *(["carried"] if carry else []))
+    final = rows.join(spans, ["doc_id", "disc"], "left").select("doc_id", "no_id", "text", "spans", *(["carried"] if carry else []))
     carried = f"carried {final.schema['carried'].dataType.simpleString()}, " if carry else ""
     return common.arrow_map(final, cut, carried + "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
