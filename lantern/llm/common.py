@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ship_package
 
@@ -42,12 +43,14 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return "file:///tmp/lantern-checkpoints"
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+    """A new path in this application's part of the shared folder."""
+    return f"{shared_folder(spark)}/lantern-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -55,16 +58,35 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lantern_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that no DataFrame reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._lantern_path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder, when its results have been read."""
+    _delete(spark, f"{shared_folder(spark)}/lantern-{spark.sparkContext.applicationId}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text string); nothing else reaches the Python stages."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(doc_id long, text string) and, if columns are named to be carried, a struct ``carried`` of these; nothing else reaches the Python stages."""
+    more = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -107,7 +129,7 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """mapInArrow; a worker that another operator has used before forgets that one's tables first."""
     owner = function.__module__
 

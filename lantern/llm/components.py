@@ -1,9 +1,10 @@
 """Connected components of an edge table, without a driver-side union-find.
 
 Two rewritings alternate until nothing changes: every vertex links its larger neighbours to the smallest
-vertex it knows, then its smaller neighbours. Each round is a few joins and aggregations on vertex
-identifiers; a hub costs a partial aggregation, never a task of its own. After each round the edges are
-written to the shared folder, so lineage stays short and a lost executor costs one round at most.
+vertex it knows, then its smaller neighbours. Each round is two aggregations and two joins on vertex
+identifiers. Both sides of a join are tables written to the shared folder, so Spark broadcasts the smaller one if its
+measured size allows and else parts a hub's rows (skew join); an aggregation combines them first. Lineage stays
+short, a lost executor costs one step at most, and what a later step has replaced is deleted.
 """
 
 from __future__ import annotations
@@ -28,13 +29,17 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
             break
         # larger neighbours to the smallest of the neighbourhood
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges_up = both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        smallest = common.written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "components")
+        up = common.written(both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "components")
         # the vertex itself and its smaller neighbours to the smallest of these
-        smallest = edges_up.groupBy("u").agg(F.min("v").alias("m"))
-        edges_down = edges_up.join(smallest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = common.written(edges_down, "components")
-        before, state = state, _state(edges)
+        least = common.written(up.groupBy("u").agg(F.min("v").alias("m")), "components")
+        down = up.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        before, old = state, edges
+        edges = common.written(down, "components")
+        common.forget(old, smallest, up, least)
+        state = _state(edges)
         if state == before:
             break
+    else:
+        raise RuntimeError(f"components haven't settled in {most_rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component_id"))).distinct()

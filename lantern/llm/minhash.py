@@ -5,14 +5,15 @@ borrow from full ones by optimal densification: bin i asks bins g(i, 1), g(i, 2)
 function until one is full. Bands of bins are bucket keys; how many bins a band has, and how many must be alike for
 a candidate, follows from the similarity (``plan``).
 
-Documents with the same set of shingles are one class, and only its smallest doc_id goes on. In a bucket,
+Documents with the same set of shingles are one class, and only one row of it goes on. In a bucket,
 members form stars: the member that collides most is a star's centre, and every member whose signature
-agrees with it hangs on it. Members that don't agree with a centre are compared with all others of the
-bucket by signature, block against block, and hang on their neighbours in the same way, so a bucket of n
+agrees with it hangs on it. A bucket beyond BLOCK members is dealt to blocks, each of which gets a copy of the centre;
+members that agree with no centre are compared with all others of the bucket by signature, in their own block and
+then in the others, and hang on their neighbours in the same way, so a bucket of n
 members gives fewer than n candidate edges whatever its size. The candidate edges make families. In each
-family links are confirmed on full sets of shingles, again block against block, and a spanning forest of the
+family links are confirmed on full sets of shingles, in the same two steps, and a spanning forest of the
 confirmed links comes out. Components of these are the result. Nothing is capped; a hot bucket or family is
-more blocks.
+more blocks. Rows are copied once a block only for members that the centre doesn't take (``star_blocks``, ``rest_blocks``).
 
 Chance of missing a link at the threshold, if bins are alike independently: no band in common under ``NO_BAND``, too few bins
 alike about 1e-11. Sets of few shingles fill few bins, and what bins borrow is alike or not together: the
@@ -20,19 +21,20 @@ standard deviation of the bins alike is then up to 1.26 times as much (measured
 
 Defined results: a document without words has an empty set, links with nothing and is its own component.
 Fewer words than a shingle: the whole sequence is its one shingle. Null text counts as empty. Each row has
-a result; of rows with equal doc_id and different texts one stands for all when links are looked for. Rows
-without doc_id get a component only from rows that have one.
+a result, rows with equal doc_id by their own texts. A null doc_id is no identifier: component_id is the smallest that is
+not null among the rows reachable, and null if there is none; kept is then true. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 from .components import components
@@ -105,9 +107,10 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def profiles(docs: DataFrame, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash, keys (bucket keys of bands of ``rows`` bins), sig (the low byte of each bin)."""
+def profiles(docs: DataFrame, rows: int, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_shingles, set_hash, keys (bucket keys of bands of ``rows`` bins), sig (the low byte of each bin), carried (a struct of the columns to carry, text if none are named)."""
     bands = BINS // rows
+    source = common.texts(docs, carry=carry or ["text"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches):
@@ -123,11 +126,12 @@ def profiles(docs: DataFrame, rows: int) -> DataFrame:
             low = (signature & np.uint32(0xFF)).astype(np.uint8)
             key_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sizes) + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes.astype(np.int64)), pa.array([m.tobytes() for m in mark], pa.binary()), key_lists, pa.array([x.tobytes() for x in low], pa.binary())],
-                ["doc_id", "n_shingles", "set_hash", "keys", "sig"],
+                [batch.column(0), pa.array(sizes.astype(np.int64)), pa.array([m.tobytes() for m in mark], pa.binary()), key_lists, pa.array([x.tobytes() for x in low], pa.binary()), batch.column(2)],
+                ["doc_id", "n_shingles", "set_hash", "keys", "sig", "carried"],
             )
 
-    return common.arrow_map(common.texts(docs), run, "doc_id long, n_shingles long, set_hash binary, keys array<long>, sig binary")
+    made = StructType.fromDDL("doc_id long, n_shingles long, set_hash binary, keys array<long>, sig binary").add(source.schema["carried"])
+    return common.arrow_map(source, run, made)
 
 
 class Forest:
@@ -151,143 +155,200 @@ class Forest:
         return True
 
 
-def star_edges(ids: np.ndarray, sigs: np.ndarray, weight: np.ndarray, side: np.ndarray, agree: int) -> list[tuple[int, int]]:
-    """Candidate edges of a bucket's block, or of two blocks (side 0 and 1), fewer than members.
+def star_edges(linked: Callable[[int], np.ndarray], order: np.ndarray, side: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(edges of a forest of what is linked, members not linked with order[0]). linked(i): which members i is linked with.
 
-    The heaviest member is the centre of a star and takes all that agree with it. Every member that it doesn't
-    take is compared with all members in turn, so that no two members that agree stay in different trees;
-    those that the first centre takes are in one tree and needn't be compared with each other. Of two blocks only
-    members of different sides are compared.
+    The first member is the centre of a star and takes all that are linked with it. Every member that it doesn't
+    take is compared with all members in turn, so that no two linked members stay in different trees;
+    those that the first centre takes are in one tree and needn't be compared with each other. With side 0 and 1 only
+    members of different sides are compared, and those of side 1 with all of side 0.
     """
-    n = len(ids)
-    forest, edges = Forest(n), []
-    order = np.lexsort((ids, -weight))
-    paired = bool(side.any()) and not bool(side.all())
-    taken = np.zeros(n, bool)
-    for k, c in enumerate(order.tolist()):
+    edges: list[tuple[int, int]] = []
+    tree = np.arange(len(order))
+    paired = bool(side.any())
+    taken = side == 0 if paired else np.zeros(len(order), bool)
+    rest = np.zeros(0, np.int64)
+    for c in order.tolist():
         if taken[c]:
             continue
-        alike = (sigs == sigs[c]).sum(axis=1, dtype=np.int16) >= agree
+        alike = linked(c)
         if paired:
-            alike &= side != side[c]
+            alike &= side == 0
         alike[c] = False
-        members = np.flatnonzero(alike)
-        if k == 0:
-            taken[members] = True
-        for j in members.tolist():
-            if forest.join(c, j):
-                edges.append((int(ids[j]), int(ids[c])))
-    return edges
+        if c == order[0] and not paired:
+            taken |= alike
+            rest = np.flatnonzero(~alike)
+            rest = rest[rest != c]
+        # one edge to each tree that isn't its own
+        members = np.flatnonzero(alike & (tree != tree[c]))
+        if len(members):
+            roots, first = np.unique(tree[members], return_index=True)
+            edges += [(j, c) for j in members[first].tolist()]
+            met = np.zeros(len(order), bool)
+            met[roots] = True
+            tree[met[tree]] = tree[c]
+    return edges, rest
 
 
 def meeting_blocks(sized: DataFrame, id_col: str) -> DataFrame:
     """Rows with (key, pair) such that all rows of a key meet in blocks of about BLOCK, each block with each other. sized: has ``members``, the rows of its key."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(id_col), F.col("n_blocks")).cast("int")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
+    own = F.pmod(F.xxhash64(id_col), F.col("n_blocks")).cast("long")
     out = sized.withColumn("n_blocks", blocks).withColumn("block", own)
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    out = out.withColumn("pair", F.least("block", "other") * F.lit(1 << 20) + F.greatest("block", "other"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+    out = out.withColumn("pair", F.least("block", "other") * F.lit(1 << 31).cast("long") + F.greatest("block", "other"))
     return out.withColumn("side", (F.col("block") > F.col("other")).cast("int"))
 
 
+#: How members of a key are told to be linked: a batch with ``payload`` to (some of its rows to (number of one of these to a mask of those it is linked with)).
+Linker = Callable[[pa.RecordBatch], Callable[[slice], Callable[[int], np.ndarray]]]
+
+
+def stars(members: DataFrame, linker: Linker, what: str) -> DataFrame:
+    """(u, v) edges that join all linked members of each key, fewer than members. members: key, id, weight, payload; written or cheap to make twice."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top")).where("members > 1")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
+    sizes = common.written(sizes.select("key", blocks.alias("blocks"), (-F.col("top.id")).alias("centre")), f"{what}-sizes")
+    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    # each block gets the centre: in its own block it stands anyway
+    copies = F.when(F.col("id") == F.col("centre"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
+    dealt = dealt.select("key", "id", "weight", "payload", "blocks", "centre", F.explode(copies).alias("block"))
+
+    def star(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, at in common.whole_groups(batches, ["key", "block"]):
+            key, ids, weight, blocks, centre = (whole.column(whole.schema.get_field_index(c)).to_numpy() for c in ("key", "id", "weight", "blocks", "centre"))
+            u, v, of, linked = [], [], [], linker(whole)
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                if b - a < 2:
+                    continue
+                own = ids[a:b]
+                if b - a == 2 and blocks[a] == 1:
+                    if linked(slice(a, b))(0)[1]:
+                        u.append(own[0])
+                        v.append(own[1])
+                        of.append(None)
+                    continue
+                order = np.lexsort((own, -weight[a:b], own != centre[a:b]))
+                edges, rest = star_edges(linked(slice(a, b)), order, np.zeros(b - a, np.int64))
+                u += [own[i] for i, _ in edges]
+                v += [own[j] for _, j in edges]
+                of += [None] * len(edges)
+                if blocks[a] > 1:
+                    u += own[rest].tolist()
+                    v += own[rest].tolist()
+                    of += [key[a]] * len(rest)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(of, pa.int64())], ["u", "v", "rest_of"])
+
+    grouped = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
+    found = common.written(common.arrow_map(grouped, star, "u long, v long, rest_of long"), f"{what}-stars")
+    edges = found.where("rest_of is null").select("u", "v").distinct()
+    rest = found.where("rest_of is not null").select(F.col("rest_of").alias("key"), F.col("u").alias("id"))
+    if rest.isEmpty():
+        return edges
+    return edges.unionAll(_rest(members, rest, sizes, linker))
+
+
+def _rest(members: DataFrame, rest: DataFrame, sizes: DataFrame, linker: Linker) -> DataFrame:
+    """(u, v) edges between members that their key's centre doesn't take (rest: key, id) and all of the other blocks."""
+    left = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("waves")).join(sizes, "key")
+    every = members.join(left, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    own = every.select("key", "id", "payload", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("waves") - 1)).alias("wave"), F.lit(0).alias("side"))
+    lone = every.join(rest, ["key", "id"], "left_semi").withColumn("wave", F.pmod(F.xxhash64("id", "key"), F.col("waves"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block")
+    met = own.unionByName(lone.select("key", "id", "payload", F.col("other").alias("block"), "wave", F.lit(1).alias("side")))
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, at in common.whole_groups(batches, ["key", "block", "wave"]):
+            ids, side = (whole.column(whole.schema.get_field_index(c)).to_numpy() for c in ("id", "side"))
+            u, v, linked = [], [], linker(whole)
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                if side[a:b].any():
+                    edges, _ = star_edges(linked(slice(a, b)), np.arange(b - a), side[a:b])
+                    u += [ids[a + i] for i, _ in edges]
+                    v += [ids[a + j] for _, j in edges]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return common.arrow_map(met.repartition("key", "block", "wave").sortWithinPartitions("key", "block", "wave"), meet, "u long, v long").distinct()
+
+
 def candidate_edges(classes: DataFrame, agree: int) -> DataFrame:
-    """(u, v) star edges between class representatives that meet in buckets. classes: doc_id, keys, sig."""
-    rows = classes.select("doc_id", F.explode("keys").alias("key"))
+    """(u, v) star edges between classes that meet in buckets. classes: class_id, keys, sig."""
+    rows = classes.select("class_id", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     crowded = common.written(rows.join(sizes, "key"), "buckets")
     # only members of buckets go on, and only they bring their signatures
-    weights = crowded.groupBy("doc_id").agg(F.sum("members").alias("weight")).join(classes.select("doc_id", "sig"), "doc_id")
-    dealt = meeting_blocks(crowded.join(weights, "doc_id"), "doc_id")
-
-    def stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole, at in common.whole_groups(batches, ["key", "pair"]):
-            ids, weight, side = (whole.column(whole.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "weight", "side"))
-            sigs = common.fixed_bytes(whole.column(whole.schema.get_field_index("sig")), BINS)
-            sizes = np.diff(at)
-            two = at[:-1][sizes == 2]
-            good = two[(sigs[two] == sigs[two + 1]).sum(axis=1) >= agree]
-            u, v = [ids[good]], [ids[good + 1]]
-            for a, n in zip(at[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                own = slice(a, a + n)
-                if edges := star_edges(ids[own], sigs[own], weight[own], side[own], agree):
-                    u.append(np.array([e[0] for e in edges], np.int64))
-                    v.append(np.array([e[1] for e in edges], np.int64))
-            pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-
-    grouped = dealt.select("key", "pair", "side", "doc_id", "sig", "weight").repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return common.arrow_map(grouped, stars, "u long, v long").distinct()
-
-
-def confirmed(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * intersection >= percent * union (of different sides, if there are two)."""
-    n = len(sets)
+    weights = crowded.groupBy("class_id").agg(F.sum("members").alias("weight")).join(classes.select("class_id", "sig"), "class_id")
+    members = crowded.select("key", "class_id").join(weights, "class_id").select("key", F.col("class_id").alias("id"), "weight", F.col("sig").alias("payload"))
+
+    def linker(whole: pa.RecordBatch) -> Callable[[slice], Callable[[int], np.ndarray]]:
+        sigs = common.fixed_bytes(whole.column(whole.schema.get_field_index("payload")), BINS)
+        return lambda rows: lambda i: (sigs[rows] == sigs[rows.start + i]).sum(axis=1, dtype=np.int16) >= agree
+
+    return stars(members, linker, "buckets")
+
+
+def set_links(sets: list[np.ndarray], percent: int) -> Callable[[int], np.ndarray]:
+    """Which sets have 100 * intersection >= percent * union with set i, by a table of what values stand in which sets."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    if n < 3:
-        if n < 2 or not sizes.all():
-            return []
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if 100 * both >= percent * int(sizes.sum() - both) else []
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
-    shared = np.bincount(column) > 1
-    renumber = np.cumsum(shared) - 1
-    keep = shared[column]
-    owner, column, width = owner[keep], renumber[column[keep]], int(shared.sum())
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    both = np.zeros((n, n), np.float32)
-    step = max(1024, (16 << 20) // (4 * n))
-    for a in range(0, width, step):
-        i, j = np.searchsorted(column, [a, a + step])
-        dense = np.zeros((n, min(step, width - a)), np.float32)
-        dense[owner[i:j], column[i:j] - a] = 1
-        both += dense @ dense.T
-    both = np.rint(both).astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - both
-    linked = 100 * both >= percent * union
-    if side.any() and not side.all():
-        linked &= side[:, None] != side[None, :]
-    linked &= sizes[:, None] > 0
-    i, j = np.nonzero(np.triu(linked, 1))
-    forest = Forest(n)
-    return [(a, b) for a, b in zip(i.tolist(), j.tolist()) if forest.join(a, b)]
-
-
-def links(docs: DataFrame, families: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (u, v) within families. families: id, component_id; docs: doc_id, text, one row for each id."""
-    size = families.groupBy("component_id").agg(F.count(F.lit(1)).alias("members"))
-    member = common.texts(docs).join(families.join(size, "component_id"), F.col("doc_id") == F.col("id"))
-    dealt = meeting_blocks(member, "doc_id").select("component_id", "pair", "side", "doc_id", "text")
-
-    def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole, at in common.whole_groups(batches, ["component_id", "pair"]):
-            ids, side = (whole.column(whole.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "side"))
-            sets: list[np.ndarray] = []
-            for batch in common.pieces([whole]):
-                values, offsets = shingle_sets(batch, batch.schema.get_field_index("text"))
-                sets += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-            u, v = [], []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                for i, j in confirmed(sets[a:b], side[a:b], percent):
-                    u.append(int(ids[a + i]))
-                    v.append(int(ids[a + j]))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+    values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
 
-    grouped = dealt.repartition("component_id", "pair").sortWithinPartitions("component_id", "pair")
-    return common.arrow_map(grouped, confirm, "u long, v long")
+    def linked(i: int) -> np.ndarray:
+        a, b = np.searchsorted(values, sets[i], side="left"), np.searchsorted(values, sets[i], side="right")
+        n = b - a
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+        both = np.bincount(owner[at], minlength=len(sets))
+        return (100 * both >= percent * (sizes + sizes[i] - both)) & (sizes > 0) & (sizes[i] > 0)
 
+    return linked
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+
+def links(texts: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (u, v) within families. families: id, component_id; texts: id, text, one row for each id."""
+    members = common.written(texts.join(families, "id").select(F.col("component_id").alias("key"), "id", F.lit(0).alias("weight"), F.col("text").alias("payload")), "families")
+
+    def linker(whole: pa.RecordBatch) -> Callable[[slice], Callable[[int], np.ndarray]]:
+        sets: list[np.ndarray] = []
+        at = whole.schema.get_field_index("payload")
+        for batch in common.pieces([whole], "payload"):
+            values, offsets = shingle_sets(batch, at)
+            sets += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+        return lambda rows: set_links(sets[rows], percent)
+
+    return stars(members, linker, "links")
+
+
+def _grouped(docs: DataFrame, percent: int, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows: row_id, doc_id, n_shingles, carried, class_id, group_id, component_id; a written table of the rows). Rows without words have null for the last three."""
     band_rows, agree = plan(percent)
-    found = common.written(profiles(docs, band_rows), "profiles")
-    classes = found.where("n_shingles > 0").groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("class_id"))
-    representatives = common.written(found.join(classes, ["n_shingles", "set_hash"]).where("doc_id = class_id").dropDuplicates(["doc_id"]).select("doc_id", "keys", "sig"), "classes")
+    found = common.written(profiles(docs, band_rows, carry).withColumn("row_id", F.monotonically_increasing_id()), "profiles")
+    classes = found.where("n_shingles > 0").groupBy("n_shingles", "set_hash").agg(F.min("row_id").alias("class_id"), F.min("doc_id").alias("least"))
+    classes = common.written(classes, "classes")
+    representatives = common.written(found.select(F.col("row_id").alias("class_id"), "keys", "sig").join(classes.select("class_id"), "class_id", "left_semi"), "representatives")
     families = components(candidate_edges(representatives, agree))
-    one = docs.join(families.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-    linked = components(links(one, families, percent))
-    of_class = classes.join(linked, F.col("class_id") == F.col("id"), "left").select("n_shingles", "set_hash", F.coalesce("component_id", "class_id").alias("component_id"))
-    out = found.select("doc_id", "n_shingles", "set_hash").join(of_class, ["n_shingles", "set_hash"], "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    texts = found.select(F.col("row_id").alias("id"), F.coalesce("carried.text", F.lit("")).alias("text")).join(families.select("id"), "id", "left_semi")
+    linked = components(links(texts, families, percent)).withColumnRenamed("id", "class_id").withColumnRenamed("component_id", "group_id")
+    least = classes.join(linked, "class_id").groupBy("group_id").agg(F.min("least").alias("component_id"))
+    of_class = classes.join(linked.join(least, "group_id"), "class_id", "left")
+    of_class = of_class.select("n_shingles", "set_hash", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.when(F.col("group_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return found.select("row_id", "doc_id", "n_shingles", "set_hash").join(of_class, ["n_shingles", "set_hash"], "left"), found
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs."""
+    rows, _ = _grouped(docs, percent)
+    component = F.coalesce("component_id", "doc_id")
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near copies: the one with the smallest doc_id (rows without doc_id come last; of several any one).
+
+    Rows without words all stay. Rows are told apart by themselves and not by doc_id, so rows with equal or null doc_id
+    stay or go each by its own text.
+    """
+    rows, found = _grouped(docs, percent, docs.columns)
+    first = rows.where("group_id is not null").groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("first"))
+    stay = first.select("first.row_id").unionAll(rows.where("group_id is null").select("row_id"))
+    return found.join(stay, "row_id", "left_semi").select("carried.*")

@@ -35,6 +35,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -667,7 +668,7 @@ def dedup(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     ``carry`` names further columns of docs that come along, in a struct named ``carried``.
     """
     spark = docs.sparkSession
-    more = [F.struct(*carry).alias("carried")] if carry else []
+    more = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
     rows = docs.select(*more, F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text"))
     twice = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
     rows = rows.withColumn("disc", F.xxhash64("text") if twice else F.lit(0).cast("long"))
@@ -703,5 +704,7 @@ def dedup(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[4:], ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans_], pa.int64()), pa.array(spans_, span_type), pa.array(kept_, pa.binary())], [*batch.schema.names[4:], "doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     final = rows.join(spans, ["doc_id", "disc"], "left").select("doc_id", "no_id", "text", "spans", *(["carried"] if carry else []))
-    carried = f"carried {final.schema['carried'].dataType.simpleString()}, " if carry else ""
-    return common.arrow_map(final, cut, carried + "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
+    made = StructType([final.schema["carried"]] if carry else [])
+    for field in StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"):
+        made.add(field)
+    return common.arrow_map(final, cut, made)

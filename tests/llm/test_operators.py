@@ -232,8 +232,15 @@ def shingle_set(text):
 
 
 def brute_near(rows, percent):
-    sets = [shingle_set(t) for _, t in rows]
-    links = [[j for j in range(len(rows)) if j != i and sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])] for i in range(len(rows))]
+    number = {}
+    sets = [frozenset(number.setdefault(x, len(number)) for x in shingle_set(t)) for _, t in rows]
+    links = [[] for _ in rows]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                links[i].append(j)
+                links[j].append(i)
     comps = brute_components(len(rows), links)
     least = defaultdict(list)
     for (i, _), c in zip(rows, comps):

@@ -42,3 +42,53 @@ def test_candidates_at_the_threshold():
         x, y = (minhash.signatures(s.ravel(), np.arange(len(s) + 1) * s.shape[1]) for s in (a, b))
         assert (((x & 255) == (y & 255)).sum(axis=1) >= agree).all(), percent
         assert (minhash.band_keys(x, rows) == minhash.band_keys(y, rows)).any(axis=1).all(), percent
+
+
+def test_rows_count_by_themselves(spark):
+    """Equal and null doc_ids: each row has its own text's group, and the stage loses no text that nothing repeats."""
+    common.prepare(spark)
+    rng = random.Random(8)
+    a, b, c, d = (words(rng, 80, 5000) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, c), (None, d), (3, d), (4, b), (4, b), (5, None), (5, ""), (None, " "), (6, "few words"), (7, "FEW words")]
+    frame = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, group_id int").repartition(3)
+    got = sorted((tuple(r) for r in minhash.near_duplicates(frame, 80).select("doc_id", "component_id", "kept").collect()), key=repr)
+    want = [(1, 1, True), (2, 1, False), (2, 2, True), (None, None, True), (None, None, True), (None, 3, False), (3, 3, True), (4, 2, False), (4, 2, False), (5, 5, True), (5, 5, True), (None, None, True), (6, 6, True), (7, 6, False)]
+    assert got == sorted(want, key=repr)
+    stay = corpus_pipeline.drop_near_duplicates(spark, frame, "")
+    assert stay.columns == frame.columns
+    got = sorted(((r.doc_id, r.text) for r in stay.collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (None, c), (3, d), (5, None), (5, ""), (None, " "), (6, "few words")], key=repr)
+    assert corpus_pipeline.drop_near_duplicates(spark, frame.limit(0), "").count() == 0
+
+
+def test_many_blocks(spark, monkeypatch):
+    """Buckets and families over thousands of blocks of three; some members agree with no centre."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    common.prepare(spark)
+    rng = random.Random(4)
+    base = words(rng, 60, 5000).split()
+    rows = []
+    for i in range(260):
+        own = list(base if i < 200 else rows[rng.randrange(200)][1].split())
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(300)}"
+        rows.append((i, " ".join(own)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in minhash.near_duplicates(frame, 80).collect()) == sorted(brute_near(rows, 80))
+
+
+def test_pairs_of_blocks_beyond_2048(spark):
+    """Keys of pairs of blocks have 64 bits."""
+    sized = spark.createDataFrame([(i,) for i in range(40)], "id long").selectExpr("id", f"{minhash.BLOCK} * 5000L as members")
+    pairs = minhash.meeting_blocks(sized, "id")
+    assert pairs.count() == 40 * 5000 and pairs.selectExpr("max(pair) p").first().p > 1 << 31
+    assert pairs.selectExpr("count(distinct pair) n").first().n > 40 * 4900
+
+
+def test_links_by_sets_equal_brute_force():
+    rng = random.Random(1)
+    sets = [np.array(sorted(rng.sample(range(40), rng.randrange(0, 30))), np.uint64) for _ in range(60)]
+    linked = minhash.set_links(sets, 60)
+    for i, s in enumerate(sets):
+        want = [len(s) > 0 and len(t) > 0 and 100 * len(np.intersect1d(s, t)) >= 60 * len(np.union1d(s, t)) for t in sets]
+        assert linked(i).tolist() == want
