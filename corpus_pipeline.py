@@ -21,10 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 of five-word shingles) the document with the smallest doc_id stays."""
+    """Of each group of near copies (0.8 of five-word shingles) the document with the smallest doc_id stays.
+
+    Rows count by themselves: of rows with equal or null doc_id each stays or goes by its own text. Documents without words all stay.
+    """
     common.prepare(spark)
-    found = minhash.near_duplicates(docs, percent=80)
-    return docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return minhash.without_near_duplicates(docs, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
