@@ -29,6 +29,7 @@ fall; a character that loses some of its bytes leaves the others, so ``kept`` is
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -97,40 +98,74 @@ _ROUTED = [("place", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("blo
 _ROUTED_SQL = "place int, kind int, n long, blob binary"
 
 
+def _deal(docs: np.ndarray, discs: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of document rows; its high bits say the bucket."""
+    return common.mix(docs.view(np.uint64) ^ common.mix(discs.view(np.uint64)))
+
+
+def _row_order(docs: np.ndarray, discs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts the entries of each document row together, by bucket, and where in it rows begin."""
+    key = _deal(docs, discs)
+    order = np.argsort(key, kind="stable")
+    d, x, k = docs[order], discs[order], key[order]
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1])])
+    if new.sum() != 1 + (k[1:] != k[:-1]).sum():  # two rows with one hash
+        order = np.lexsort((discs, docs, key))
+        d, x = docs[order], discs[order]
+        new = np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1])])
+    return order, np.flatnonzero(new)
+
+
 def per_bucket(docs: np.ndarray, discs: np.ndarray, places: int, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(place, blob) of documents' values, the documents dealt to ``places`` by hash."""
     if not len(docs):
         return
-    with np.errstate(over="ignore"):
-        bucket = (common.mix(docs.view(np.uint64) ^ common.mix(discs.view(np.uint64))) % np.uint64(places)).astype(np.int64)
-    order = np.lexsort((discs, docs, bucket))
-    docs, discs, bucket, values = docs[order], discs[order], bucket[order], [v[order] for v in values]
-    new = np.ones(len(docs), bool)
-    new[1:] = (docs[1:] != docs[:-1]) | (discs[1:] != discs[:-1])
-    head = np.flatnonzero(new)
+    order, head = _row_order(docs, discs)
     counts = np.diff(np.append(head, len(docs)))
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-    at = np.searchsorted(head, cuts)
-    for a, b, i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), at[:-1].tolist(), at[1:].tolist()):
-        yield int(bucket[a]), pack(deltas(docs[head[i:j]]), discs[head[i:j]], counts[i:j].astype("<u4"), *(v[a:b] for v in values))
+    docs, discs, values = docs[order[head]], discs[order[head]], [v[order] for v in values]
+    bucket = ((_deal(docs, discs) >> np.uint64(32)) * np.uint64(places) >> np.uint64(32)).astype(np.int64)
+    cuts = np.searchsorted(bucket, np.arange(places + 1))
+    at = np.append(head, len(order))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        i, j = cuts[p], cuts[p + 1]
+        yield p, pack(docs[i:j], discs[i:j], counts[i:j].astype("<u4"), *(v[at[i] : at[j]] for v in values))
 
 
 def per_document(routed: DataFrame, types: list[str], make: Callable[..., Iterator[tuple[int, int, bytes]]]) -> DataFrame:
-    """(doc_id, disc, data), one row for each document of the blobs in (place, blob). make: (docs, discs, *values) to such rows."""
+    """(doc_id, disc, data), one row for each document of the blobs in (place, blob). make: (docs, discs, where rows begin, *values) to such rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole, at in common.whole_groups(batches, ["place"]):
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                found = []
-                for i in range(a, b):
-                    docs, discs, counts, *values = unpack(whole.column(1)[i].as_py(), "<i8", "<i8", "<u4", *types)
-                    found.append((np.repeat(np.cumsum(docs), counts), np.repeat(discs, counts), *values))
-                rows = list(make(*(np.concatenate(column) for column in zip(*found))))
-                yield batches_of([("doc_id", pa.int64()), ("disc", pa.int64()), ("data", pa.binary())], rows)
+        for rows in blob_groups(batches):
+            found = []
+            for blob in rows["blob"]:
+                docs, discs, counts, *values = unpack(blob, "<i8", "<i8", "<u4", *types)
+                found.append((np.repeat(docs, counts), np.repeat(discs, counts), *values))
+            docs, discs, *values = (np.concatenate(column) for column in zip(*found))
+            del found, rows
+            order, head = _row_order(docs, discs)
+            made = make(docs[order], discs[order], head, *(v[order] for v in values))
+            while some := list(islice(made, 4096)):
+                yield batches_of([("doc_id", pa.int64()), ("disc", pa.int64()), ("data", pa.binary())], some)
 
     return common.arrow_map(routed.select("place", "blob").repartition("place").sortWithinPartitions("place"), run, "doc_id long, disc long, data binary")
 
 
+def blob_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    """The columns of the rows of each place, from rows sorted by place; one place is held at a time."""
+    held: dict[str, list] = {}
+    for batch in batches:
+        places = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1], [True]])) if len(places) else []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and held["place"][-1] != places[a]:
+                yield held
+                held = {}
+            for name in batch.schema.names:
+                held.setdefault(name, []).extend(batch.column(name).slice(a, b - a).to_pylist())
+    if held:
+        yield held
+
+
 # --- anchors ----------------------------------------------------------------------------------------
 
 
@@ -213,43 +248,40 @@ def mark_anchors(docs: DataFrame, places: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal held, count
-            hashes, docs_, discs, ways = (np.concatenate([h[i] for h in held]) for i in range(4))
-            rows = [(0, 2, count, b"".join(h[4] for h in held))]
+            docs_, discs = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            base = np.cumsum([0, *(len(h[0]) for h in held)])
+            hashes = np.concatenate([h[2] for h in held])
+            row = np.concatenate([h[3] + b for h, b in zip(held, base.tolist())])
+            often = _often(hashes, np.concatenate([h[4] for h in held]), places)
+            rows = [(0, 2, count, b"".join(h[5] for h in held)), *((p, 3, 0, blob) for p, blob in often)]
             held, count = [], 0
-            order = np.lexsort((discs, docs_, hashes))
-            hashes, docs_, discs, ways = hashes[order], docs_[order], discs[order], ways[order]
-            same = (hashes[1:] == hashes[:-1]) & (docs_[1:] == docs_[:-1])
-            other = (hashes[1:] == hashes[:-1]) & (docs_[1:] != docs_[:-1])
+            # document rows in order, and anchors by hash and row: 40 and 24 bits
+            order = np.lexsort((discs, docs_))
+            docs_, discs = docs_[order], discs[order]
+            rank = np.empty(len(order), np.uint64)
+            rank[order] = np.arange(len(order), dtype=np.uint64)
+            number = np.concatenate([[0], np.cumsum(docs_[1:] != docs_[:-1])])
+            twin = np.concatenate([[False], (docs_[1:] == docs_[:-1]) & (discs[1:] == discs[:-1])])
+            rank = (np.arange(len(order)) - _since(twin)).astype(np.uint64)[rank.astype(np.int64)]
+            key = np.unique(hashes << np.uint64(24) | rank[row])
+            hashes, row = key >> np.uint64(24), (key & _LOW).astype(np.int64)
             # every anchor whose hash is in two of this task's documents is marked at once
             start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-            several = np.add.reduceat(np.concatenate([[0], other.astype(np.int64)]), start) > 0
             sizes = np.diff(np.append(start, len(hashes)))
+            several = number[row[start]] != number[row[start + sizes - 1]]
             marked = np.repeat(several, sizes)
-            rows += [(p, 1, 0, blob) for p, blob in _marks(hashes[marked], docs_[marked], discs[marked], places)]
-            often = np.repeat(sizes >= MANY, sizes)
-            if often.any():
-                h, w = hashes[often], ways[often]
-                order = np.lexsort((w, h))
-                h, w = h[order], w[order]
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
-                h, n = np.unique(h[new], return_counts=True)
-                h, n = h[n >= MANY], n[n >= MANY].astype("<u4")
-                place = (h * np.uint64(places) >> np.uint64(40)).astype(np.int64)
-                cuts = np.searchsorted(place, np.arange(places + 1))
-                rows += [(p, 3, 0, pack(deltas(h[cuts[p] : cuts[p + 1]]), n[cuts[p] : cuts[p + 1]])) for p in np.flatnonzero(np.diff(cuts)).tolist()]
+            rows += [(p, 1, 0, blob) for p, blob in per_bucket(docs_[row[marked]], discs[row[marked]], places, hashes[marked])]
             # for the others: one entry for each document row; for the marked: one for all
             keep = ~marked
-            keep[1:] &= ~(same & (discs[1:] == discs[:-1]))
             keep[start[several]] = True
-            h, d, x, m = hashes[keep], docs_[keep], discs[keep], marked[keep]
+            h, r, m = hashes[keep], row[keep], marked[keep]
             place = (h * np.uint64(places) >> np.uint64(40)).astype(np.int64)
             cuts = np.searchsorted(place, np.arange(places + 1))
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 own = slice(cuts[p], cuts[p + 1])
-                pairs = np.stack([d[own], x[own]], axis=1)
-                known, index = np.unique(pairs, axis=0, return_inverse=True)
-                index = np.where(m[own], 0, index.reshape(-1) + 1).astype("<u4")
-                rows.append((p, 0, 0, pack(deltas(h[own]), index, deltas(known[:, 0]), known[:, 1])))
+                known, index = np.unique(r[own], return_inverse=True)
+                index = np.where(m[own], 0, index + 1).astype("<u4")
+                rows.append((p, 0, 0, pack(deltas(h[own]), index, deltas(docs_[known]), discs[known])))
             return batches_of(_ROUTED, rows)
 
         for batch in common.pieces(batches):
@@ -259,7 +291,7 @@ def mark_anchors(docs: DataFrame, places: int) -> DataFrame:
                 continue
             some = at[:: max(1, len(at) // 8)][:8]
             sample = b"".join(data[a : a + LENGTH].tobytes().ljust(LENGTH, b"\0") for a in some.tolist())
-            held.append((hashes, _ids(batch.column(0))[owner], batch.column(1).to_numpy()[owner], ways, sample))
+            held.append((_ids(batch.column(0)), batch.column(1).to_numpy(), hashes, owner, ways.astype(np.uint32), sample))
             count += len(owner)
             if count >= LIST_ANCHORS:
                 yield flush()
@@ -272,46 +304,46 @@ def mark_anchors(docs: DataFrame, places: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal found, count
-            blobs = _marks(*(np.concatenate([f[i] for f in found]) for i in range(3)), places)
+            hashes, docs_, discs = (np.concatenate([f[i] for f in found]) for i in range(3))
+            blobs = per_bucket(docs_, discs, places, hashes)
             found, count = [], 0
             return batches_of(_ROUTED, [(p, 1, 0, blob) for p, blob in blobs])
 
-        for whole, at in common.whole_groups(batches, ["place"]):
-            kinds = whole.column(1).to_numpy()
-            ready = np.flatnonzero((kinds == 1) | (kinds == 2))
-            if len(ready):
-                yield whole.take(pa.array(ready))
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                hashes, docs_, discs, marks, often = [], [], [], [], []
-                for i in range(a, b):
-                    if kinds[i] == 0:
-                        h, index, known, disc = unpack(whole.column(3)[i].as_py(), "<u8", "<u4", "<i8", "<i8")
-                        hashes.append(np.cumsum(h, dtype=np.uint64))
-                        known = np.cumsum(known)
-                        slot = np.maximum(index.astype(np.int64) - 1, 0)
-                        docs_.append(known[slot])
-                        discs.append(disc[slot])
-                        marks.append(index == 0)
-                    elif kinds[i] == 3:
-                        h, n = unpack(whole.column(3)[i].as_py(), "<u8", "<u4")
-                        often.append((np.cumsum(h, dtype=np.uint64), n))
-                if often:
-                    h, index = np.unique(np.concatenate([o[0] for o in often]), return_inverse=True)
-                    n = np.bincount(index, weights=np.concatenate([o[1] for o in often])).astype(np.int64)
-                    yield batches_of(_ROUTED, [(0, 3, k, int(x).to_bytes(5, "little")) for x, k in zip(h[n >= HOT_KEYS].tolist(), n[n >= HOT_KEYS].tolist())])
-                if not hashes:
-                    continue
-                h, d, x, m = (np.concatenate(y) for y in (hashes, docs_, discs, marks))
-                order = np.lexsort((d, h))
-                h, d, x, m = h[order], d[order], x[order], m[order]
-                start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                differ = np.concatenate([[False], (h[1:] == h[:-1]) & (d[1:] != d[:-1])])
-                twice = np.add.reduceat((differ | m).astype(np.int64), start) > 0
-                hit = np.repeat(twice, np.diff(np.append(start, len(h)))) & ~m
-                found.append((h[hit], d[hit], x[hit]))
-                count += int(hit.sum())
-                if count > LIST_ANCHORS:
-                    yield flush()
+        for rows in blob_groups(batches):
+            hashes, docs_, discs, marks, often, ready = [], [], [], [], [], []
+            for row in zip(*(rows[name] for name, _ in _ROUTED)):
+                _, kind, _, blob = row
+                if kind == 0:
+                    h, index, known, disc = unpack(blob, "<u8", "<u4", "<i8", "<i8")
+                    hashes.append(np.cumsum(h, dtype=np.uint64))
+                    slot = np.maximum(index.astype(np.int64) - 1, 0)
+                    docs_.append(np.cumsum(known)[slot])
+                    discs.append(disc[slot])
+                    marks.append(index == 0)
+                elif kind == 3:
+                    h, n = unpack(blob, "<u8", "<u4")
+                    often.append((np.cumsum(h, dtype=np.uint64), n))
+                else:
+                    ready.append(row)
+            del rows
+            if often:
+                h, index = np.unique(np.concatenate([o[0] for o in often]), return_inverse=True)
+                n = np.bincount(index, weights=np.concatenate([o[1] for o in often])).astype(np.int64)
+                ready += [(0, 3, k, int(x).to_bytes(5, "little")) for x, k in zip(h[n >= HOT_KEYS].tolist(), n[n >= HOT_KEYS].tolist())]
+            if ready:
+                yield batches_of(_ROUTED, ready)
+            if not hashes:
+                continue
+            h, d, x, m = (np.concatenate(y) for y in (hashes, docs_, discs, marks))
+            order = np.argsort(h, kind="stable")
+            h, d, x, m = h[order], d[order], x[order], m[order]
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            twice = (np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)) | np.logical_or.reduceat(m, start)
+            hit = np.repeat(twice, np.diff(np.append(start, len(h)))) & ~m
+            found.append((h[hit], d[hit], x[hit]))
+            count += int(hit.sum())
+            if count > LIST_ANCHORS:
+                yield flush()
         if count:
             yield flush()
 
@@ -319,23 +351,30 @@ def mark_anchors(docs: DataFrame, places: int) -> DataFrame:
     return common.written(common.arrow_map(routed, meet, _ROUTED_SQL), "anchors")
 
 
-def _marks(hashes: np.ndarray, docs: np.ndarray, discs: np.ndarray, places: int) -> Iterator[tuple[int, bytes]]:
-    return per_bucket(docs, discs, places, hashes)
+def _since(twin: np.ndarray) -> np.ndarray:
+    """How many places before each the first of its run of twins is."""
+    at = np.arange(len(twin))
+    return at - np.maximum.accumulate(np.where(twin, 0, at))
+
 
+def _often(hashes: np.ndarray, ways: np.ndarray, places: int) -> Iterator[tuple[int, bytes]]:
+    """(place, blob) of anchors that go on in MANY ways in this list, and how many."""
+    key = np.unique(hashes << np.uint64(24) | (ways.astype(np.uint64) & _LOW))
+    h = key >> np.uint64(24)
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    n = np.diff(np.append(start, len(h)))
+    h, n = h[start[n >= MANY]], n[n >= MANY].astype("<u4")
+    cuts = np.searchsorted((h * np.uint64(places) >> np.uint64(40)).astype(np.int64), np.arange(places + 1))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        yield p, pack(deltas(h[cuts[p] : cuts[p + 1]]), n[cuts[p] : cuts[p + 1]])
 
-def _marks_of_documents(docs: np.ndarray, discs: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Each document's distinct hashes, 5 bytes each."""
-    order = np.lexsort((hashes, discs, docs))
-    hashes, docs, discs = hashes[order], docs[order], discs[order]
-    other = np.concatenate([[True], (docs[1:] != docs[:-1]) | (discs[1:] != discs[:-1])])
-    new = other.copy()
-    new[1:] |= hashes[1:] != hashes[:-1]
-    start = np.flatnonzero(other[new])
-    hashes, docs, discs = hashes[new], docs[new], discs[new]
-    raw = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-    ends = np.append(start[1:], len(docs))
-    for d, x, a, b in zip(docs[start].tolist(), discs[start].tolist(), start.tolist(), ends.tolist()):
-        yield d, x, raw[5 * a : 5 * b]
+
+def _marks_of_documents(docs: np.ndarray, discs: np.ndarray, head: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Each document's hashes, 5 bytes each."""
+    raw = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :5])
+    ends = np.append(head[1:], len(docs))
+    for d, x, a, b in zip(docs[head].tolist(), discs[head].tolist(), head.tolist(), ends.tolist()):
+        yield d, x, raw[a:b].tobytes()
 
 
 # --- runs -------------------------------------------------------------------------------------------
@@ -377,7 +416,7 @@ def _span_blobs(docs: np.ndarray, discs: np.ndarray, starts: np.ndarray, ends: n
     return per_bucket(docs, discs, places, starts.astype("<u4"), ends.astype("<u4"))
 
 
-def _spans_of_documents(docs: np.ndarray, discs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+def _spans_of_documents(docs: np.ndarray, discs: np.ndarray, _: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """Each document's spans: unsigned 32-bit starts and ends in turn."""
     docs, discs, starts, ends = joined_spans(docs, discs, starts, ends)
     raw = np.stack([starts, ends], axis=1).astype("<u4").tobytes()
@@ -612,33 +651,32 @@ def merge_runs(routed: DataFrame, places: int) -> DataFrame:
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Covered()
-        for whole, at in common.whole_groups(batches, ["place"]):
-            kinds = whole.column(1).to_numpy()
-            ready = np.flatnonzero(kinds == 1)
-            if len(ready):
-                yield whole.take(pa.array(ready)).select(["place", "blob"])
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                runs = [Run(whole.column(3)[i].as_py()) for i in range(a, b) if kinds[i] == 0]
-                if not runs:
-                    continue
-                group: list[tuple[bytes, list[tuple[int, int, int]]]] = []
-                last = b""
-                for key, shared, run in LoserTree(runs):
-                    i, j = run.members()
-                    members = list(zip(run.docs[i:j].tolist(), run.discs[i:j].tolist(), run.low[i:j].tolist())) if j - i > 1 else [(run.docs.item(i), run.discs.item(i), run.low.item(i))]
-                    if shared < GRAM or (key[-1] >= _ALONE and not shared == len(key) == len(last)):
-                        if len(group) > 1 or (group and len(group[0][1]) > 1):
-                            settle(group, out)
-                        group = [(key, members)]
-                    elif shared == len(key) == len(last):
-                        group[-1][1].extend(members)
-                    else:
-                        group.append((key, members))
-                    last = key
-                    if len(out.single) > 150_000:
-                        yield out.drain(places)
-                if group:
-                    settle(group, out)
+        for rows in blob_groups(batches):
+            ready = [(p, blob) for p, kind, blob in zip(rows["place"], rows["kind"], rows["blob"]) if kind == 1]
+            if ready:
+                yield batches_of([_ROUTED[0], _ROUTED[3]], ready)
+            runs = [Run(blob) for kind, blob in zip(rows["kind"], rows["blob"]) if kind == 0]
+            del rows, ready
+            if not runs:
+                continue
+            group: list[tuple[bytes, list[tuple[int, int, int]]]] = []
+            last = b""
+            for key, shared, run in LoserTree(runs):
+                i, j = run.members()
+                members = list(zip(run.docs[i:j].tolist(), run.discs[i:j].tolist(), run.low[i:j].tolist())) if j - i > 1 else [(run.docs.item(i), run.discs.item(i), run.low.item(i))]
+                if shared < GRAM or (key[-1] >= _ALONE and not shared == len(key) == len(last)):
+                    if len(group) > 1 or (group and len(group[0][1]) > 1):
+                        settle(group, out)
+                    group = [(key, members)]
+                elif shared == len(key) == len(last):
+                    group[-1][1].extend(members)
+                else:
+                    group.append((key, members))
+                last = key
+                if len(out.single) > 150_000:
+                    yield out.drain(places)
+            if group:
+                settle(group, out)
         if out.single:
             yield out.drain(places)
 
@@ -673,7 +711,7 @@ def dedup(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     twice = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
     rows = rows.withColumn("disc", F.xxhash64("text") if twice else F.lit(0).cast("long"))
     places = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    found = mark_anchors(rows.select("doc_id", "disc", "text").where(F.octet_length("text") >= LENGTH), places)
+    found = mark_anchors(rows.select("doc_id", "disc", "text").where(F.octet_length("text") >= LENGTH), 4 * places)
     lists = found.where("kind = 2")
     size = lists.agg(F.count(F.lit(1)).alias("lists"), F.coalesce(F.sum("n"), F.lit(0)).alias("anchors")).first()
     hot = [int.from_bytes(r.blob, "little") for r in found.where((F.col("kind") == 3) & (F.col("n") >= max(HOT_KEYS, size.anchors // HOT_SHARE))).select("blob").collect()]

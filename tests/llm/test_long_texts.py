@@ -42,7 +42,7 @@ def test_parts_give_every_window_its_anchor(monkeypatch):
 def test_hot_anchors_are_parted_by_window(spark, monkeypatch):
     """Blanks and a line that go on in many ways, so that one anchor has most keys; several ranges share it."""
     monkeypatch.setattr(suffixes, "HOT_KEYS", 20)
-    monkeypatch.setattr(suffixes, "MANY", 3)
+    monkeypatch.setattr(suffixes, "MANY", 1)
     common.prepare(spark)
     rng = random.Random(9)
     lines = [words(rng, 6, 60) for _ in range(12)]
