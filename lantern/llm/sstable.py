@@ -11,13 +11,14 @@ Keys are 8-byte big-endian integers with the sign bit flipped, so that byte orde
 identifier has an empty key and comes first. A block starts with a whole key. A lookup asks the filter, finds
 the block by binary search in the index and reads that block only.
 
-Documents are dealt to shards by quantiles of their identifiers; each task writes its shards one after the
+Documents are dealt to shards by quantiles of their identifiers, one task a shard; an identifier that very many rows have
+takes several shards. Each task writes its shards one after the
 other from a sorted stream, so memory holds one block, the index and the keys' hashes. A file is written under
 a temporary name and renamed, so a repeated task does no harm. Files beyond ``FILE_BYTES`` go on in a
 further part, so that a shard of very many equal identifiers is no trouble either.
 
 Defined results: null text: only the end id. Equal identifiers: each row is an entry of its own, in the order
-of their ids. Empty table: no files and no rows.
+of their ids, in each of the shards that hold the identifier. Empty table: no files and no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ BLOCK_BYTES, FILE_BYTES = 64 << 10, 64 << 20
 MAGIC = b"LNSST001"
 _FOOTER = struct.Struct("<QQQQQQII8s")
 _PROBES, _BITS = 7, 10
+#: Where a null identifier stands in the order.
+_NULL = -(1 << 63)
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -215,7 +219,10 @@ class ChunkEncoder:
 
     Valid for vocabularies whose pre-tokenizer drops white space and parts letters from punctuation, and whose normalizer
     lowers letters: no word and no special string reaches across white space, and a word's ids are the same
-    whatever punctuation follows and however its letters are written. Only texts that may hold a special string are taken as they stand.
+    whatever punctuation follows and however its letters are written. Texts that may hold a special string go to the library whole.
+
+    Chunks are told apart by a 64-bit hash. Ids of known chunks lie one after the other in one array, from which the ids of a
+    batch are gathered at once. Of chunks over ``LONGEST`` bytes nothing is remembered, nor beyond ``REMEMBER`` chunks.
     """
 
     REMEMBER, LONGEST = 900_000, 48
@@ -231,39 +238,82 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else 4
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        known, kind = self.known, "H" if self.width == 2 else "I"
-        composed, asked = [], set()
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Ids of words without their punctuation, and of punctuation.
+        self.words: dict[bytes, array] = {}
+        #: The slot of each chunk by its hash; slot i has flat[starts[i] : starts[i + 1]].
+        self.slots: dict[int, int] = {}
+        self.flat, self.starts = array("H" if self.width == 2 else "I"), array("q", [0])
+
+    def _learn(self, chunks: list[bytes]) -> Iterator[array]:
+        """The ids of each chunk."""
+        parts = []
         for c in chunks:
             word = c.rstrip(self.ENDS)
             # a letter may become a letter and a mark, which would go with the punctuation
-            if 0 < len(word) < len(c) and unicodedata.normalize("NFC", word.decode()).lower()[-1].isalpha():
-                composed.append((c, word, c[len(word) :]))
-                asked.add(word)
-                asked.add(c[len(word) :])
-            else:
-                asked.add(c)
-        new = [*(asked - known.keys())]
-        for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
-            known[c] = array(kind, e.ids).tobytes()
-        for c, word, rest in composed:
-            known[c] = known[word] + known[rest]
-
-    def encode(self, rows: list[bytes], end: bytes) -> list[bytes]:
-        parts = [(r if b"<|" in r else r.lower()).split() for r in rows]
-        new = set().union(*parts) - self.known.keys()
-        if len(self.known) + len(new) > self.REMEMBER:
-            self.known.clear()
-            new = set().union(*parts)
-        self._learn(new)
-        out = [b"".join([*map(self.known.__getitem__, p), end]) for p in parts]
-        for c in new:
-            if len(c) > self.LONGEST:
-                self.known.pop(c, None)
-                self.known.pop(c.rstrip(self.ENDS), None)
-        return out
+            composed = 0 < len(word) < len(c) and unicodedata.normalize("NFC", word.decode()).lower()[-1].isalpha()
+            parts.append((word, c[len(word) :]) if composed else (c,))
+        new = list(dict.fromkeys(w for own in parts for w in own if w not in self.words))
+        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+            self.words[w] = array(self.flat.typecode, e.ids)
+        for own in parts:
+            yield self.words[own[0]] if len(own) == 1 else self.words[own[0]] + self.words[own[1]]
+        for w in new:
+            if len(w) > self.LONGEST:
+                del self.words[w]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's begin and end), each text followed by ``end``."""
+        if len(self.slots) > self.REMEMBER:
+            self._forget()
+        words = common.Words(data, offsets)
+        known, at, index = np.unique(words.hashes, return_index=True, return_inverse=True)
+        slot = np.fromiter(map(self.slots.get, known.tolist(), repeat(-1)), np.int64, len(known))
+        size = words.ends[at] - words.starts[at]
+        new = np.flatnonzero(slot < 0)
+        new = new[np.argsort(size[new] > self.LONGEST, kind="stable")]  # those to be forgotten come last
+        keep = int((size[new] <= self.LONGEST).sum())
+        low = common.LOWER[data].tobytes()
+        chunks = [low[a:b] for a, b in zip(words.starts[at[new]].tolist(), words.ends[at[new]].tolist())]
+        first, long_from = len(self.starts) - 1, 0
+        for i, ids in enumerate(self._learn(chunks)):
+            if i == keep:
+                long_from = len(self.flat)
+            self.flat.extend(ids)
+            self.starts.append(len(self.flat))
+        slot[new] = first + np.arange(len(new))
+        self.slots.update(zip(known[new[:keep]].tolist(), slot[new[:keep]].tolist()))
+        # the ends as one more chunk after each text's
+        self.flat.extend(end)
+        self.starts.append(len(self.flat))
+        order = np.insert(slot[index], words.first[1:], len(self.starts) - 2)
+        starts, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat, f"u{self.flat.itemsize}")
+        length = np.diff(starts)[order]
+        reach = np.cumsum(length)
+        ids = flat[np.arange(reach[-1] if len(reach) else 0) + np.repeat(starts[order] - reach + length, length)]
+        bounds = np.concatenate([[0], reach[words.first[1:] + np.arange(len(offsets) - 1)]]).astype(np.int64)
+        del starts, flat  # the arrays can't shrink while they are looked at
+        if keep < len(new):
+            del self.flat[long_from:]
+            del self.starts[first + keep + 1 :]
+        else:
+            del self.flat[len(self.flat) - len(end) :]
+            self.starts.pop()
+        return self._whole_texts(data, offsets, end, ids, bounds)
+
+    def _whole_texts(self, data: np.ndarray, offsets: np.ndarray, end: list[int], ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, with texts that may hold a special string encoded by the library."""
+        marks = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        rows = np.unique(np.searchsorted(offsets, marks, side="right") - 1)
+        if not len(rows):
+            return ids, bounds
+        parts = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        whole = [data[offsets[r] : offsets[r + 1]].tobytes().decode() for r in rows.tolist()]
+        for r, e in zip(rows.tolist(), self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+            parts[r] = np.array([*e.ids, *end], ids.dtype)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
 @lru_cache(maxsize=2)
@@ -279,18 +329,22 @@ def write_shards(docs: DataFrame, vocab_path: str, folder: str, end_id: int = 1,
     """
     source = common.texts(docs)
     count = max(1, source.rdd.getNumPartitions())
-    ids_only = source.select("doc_id").where("doc_id is not null")
-    edges = np.array(sorted(set(ids_only.approxQuantile("doc_id", [i / count for i in range(1, count)], 1 / (4 * count)))) if count > 1 else [], dtype=np.float64).astype(np.int64)
+    # an identifier that many rows have is several edges, and so several shards
+    keys = source.select(F.coalesce("doc_id", F.lit(_NULL)).alias("key"))
+    edges = np.array(sorted(keys.approxQuantile("key", [i / count for i in range(1, count)], 1 / (4 * count))) if count > 1 else [], dtype=np.float64).clip(_NULL, (1 << 63) - 1024).astype(np.int64)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_encoder(vocab_path)
         if encoder.width > width:
             raise ValueError("ids of this vocabulary need width 4")
-        end = np.array([end_id], "<u2" if encoder.width == 2 else "<u4").tobytes()
         for batch in common.pieces(batches, limit=2 << 20):
-            ids = encoder.encode(common.cut_rows(*common.column_bytes(batch.column(1))), end)
-            keys = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else np.array([-(1 << 63) if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.searchsorted(edges, keys, side="right").astype(np.int32)), pa.array(ids, pa.binary())], ["doc_id", "shard", "ids"])
+            ids, bounds = encoder.encode(*common.column_bytes(batch.column(1)), [end_id])
+            ids = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(bounds * ids.itemsize), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
+            keys = batch.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False)
+            shard, least = np.searchsorted(edges, keys, side="right"), np.searchsorted(edges, keys, side="left")
+            for i in np.flatnonzero(shard > least + 1).tolist():  # any of the shards that hold this identifier
+                shard[i] = least[i] + 1 + zlib.crc32(ids[i].as_py()) % (shard[i] - least[i])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard.astype(np.int32)), ids], ["doc_id", "shard", "ids"])
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = file_system(folder)
@@ -323,7 +377,7 @@ def write_shards(docs: DataFrame, vocab_path: str, folder: str, end_id: int = 1,
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], ["shard", "part", "path", "docs", "ids"])
 
     encoded = common.arrow_map(source, encode, "doc_id long, shard int, ids binary")
-    dealt = encoded.repartition(count, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    dealt = encoded.repartitionById(count, "shard").sortWithinPartitions("shard", "doc_id", "ids")
     rows = common.arrow_map(dealt, write, "shard long, part long, path string, docs long, ids long").collect()
     manifest, start = [], 0
     for r in sorted(rows, key=lambda r: (r.shard, r.part)):

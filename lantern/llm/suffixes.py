@@ -252,7 +252,7 @@ def mark_anchors(docs: DataFrame, places: int) -> DataFrame:
             base = np.cumsum([0, *(len(h[0]) for h in held)])
             hashes = np.concatenate([h[2] for h in held])
             row = np.concatenate([h[3] + b for h, b in zip(held, base.tolist())])
-            often = _often(hashes, np.concatenate([h[4] for h in held]), places)
+            often = list(_often(hashes, np.concatenate([h[4] for h in held]), places, MANY))
             rows = [(0, 2, count, b"".join(h[5] for h in held)), *((p, 3, 0, blob) for p, blob in often)]
             held, count = [], 0
             # document rows in order, and anchors by hash and row: 40 and 24 bits
@@ -357,13 +357,13 @@ def _since(twin: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(twin, 0, at))
 
 
-def _often(hashes: np.ndarray, ways: np.ndarray, places: int) -> Iterator[tuple[int, bytes]]:
-    """(place, blob) of anchors that go on in MANY ways in this list, and how many."""
+def _often(hashes: np.ndarray, ways: np.ndarray, places: int, many: int) -> Iterator[tuple[int, bytes]]:
+    """(place, blob) of anchors that go on in ``many`` ways in this list, and how many."""
     key = np.unique(hashes << np.uint64(24) | (ways.astype(np.uint64) & _LOW))
     h = key >> np.uint64(24)
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     n = np.diff(np.append(start, len(h)))
-    h, n = h[start[n >= MANY]], n[n >= MANY].astype("<u4")
+    h, n = h[start[n >= many]], n[n >= many].astype("<u4")
     cuts = np.searchsorted((h * np.uint64(places) >> np.uint64(40)).astype(np.int64), np.arange(places + 1))
     for p in np.flatnonzero(np.diff(cuts)).tolist():
         yield p, pack(deltas(h[cuts[p] : cuts[p + 1]]), n[cuts[p] : cuts[p + 1]])

@@ -208,8 +208,26 @@ def test_sstable(spark, docs, empty):
 def test_sstable_chunks_equal_whole_texts():
     library, own = Tokenizer.from_file(queries.WORD_VOCAB), sstable.chunk_encoder(queries.WORD_VOCAB)
     rows = fuzz_texts() + [t or "" for _, t in texts()]
-    for t, raw in zip(rows, own.encode([t.encode() for t in rows], b"")):
-        assert np.frombuffer(raw, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+    for _ in range(2):  # the second time most is known
+        raw = [t.encode() for t in rows]
+        ids, bounds = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), [7])
+        assert len(bounds) == len(rows) + 1 and bounds[-1] == len(ids)
+        for t, a, b in zip(rows, bounds[:-1].tolist(), bounds[1:].tolist()):
+            assert ids[a:b].tolist() == [*library.encode(t, add_special_tokens=False).ids, 7]
+    assert own.encode(np.zeros(0, np.uint8), np.zeros(3, np.int64), [7])[0].tolist() == [7, 7]
+
+
+def test_sstable_one_identifier_in_many_rows(spark, tmp_path):
+    """Two identifiers, one of them null, that have most rows: they take several shards."""
+    rows = [(None if i % 3 else i, words(random.Random(i), 20)) for i in range(200)] + [(7, words(random.Random(i), 20)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    folder = common.scratch(spark, "sst")
+    manifest = sstable.write_shards(frame, queries.WORD_VOCAB, folder)
+    got = sorted(sstable.read_shards(spark, folder, manifest).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    ids = [r.doc_id for r in got]
+    assert ids == sorted((i for i, _ in rows), key=lambda d: (d is not None, d or 0))
+    assert len(manifest) >= 6 and max(m["docs"] for m in manifest) < 200
 
 
 def test_token_counts(docs, empty):
