@@ -15,16 +15,16 @@ space only part words. Shingles are of five words. Items with fewer words are on
 looked for among the document's runs of as many words. Items of one or two distinct shingles are candidates wherever one of these
 stands, without MinHash: they are too small a part of a window.
 
-The items are broadcast in parts of at most ``PART_SHINGLES`` shingles; a larger benchmark takes more passes.
+The items are broadcast in parts of at most about ``PART_SHINGLES`` shingles (a longer item is a part of its own); a larger
+benchmark takes more passes, each of which adds to what the ones before have found for a row, without a shuffle.
 
 Defined results: items without words match nothing; a null or empty text holds no item. Equal item_ids with different
-texts match if one of them does. Rows with equal doc_id each have a row.
+texts match if one of them does; items without item_id or text are none. Rows with equal or null doc_id each have a row, by their own text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -175,34 +175,43 @@ def found_in(items: Items, column: pa.Array, share: float) -> list[dict[int, flo
     return found
 
 
-def _find(docs: DataFrame, items: Items, share: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)  # at most PART_SHINGLES shingles
+_FOUND = "doc_id long, item_ids array<long>, containments array<double>"
+
+
+def _find(docs: DataFrame, items: Items, share: float, last: bool) -> DataFrame:
+    """docs: doc_id, text, and after the first part what the parts before have found, which this one adds to. The last part drops the text."""
+    sent = docs.sparkSession.sparkContext.broadcast(items)  # at most PART_SHINGLES shingles, or one item
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, limit=2 << 20):
             found = found_in(sent.value, batch.column(1), share)
+            if batch.num_columns > 2:
+                for own, ids, parts in zip(found, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    for item, part in zip(ids, parts):
+                        own[item] = max(part, own.get(item, 0.0))
             ids = [sorted(f) for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array([[f[i] for i in own] for f, own in zip(found, ids)], pa.list_(pa.float64())), pa.array([bool(i) for i in ids])],
-                ["doc_id", "n_items", "item_ids", "containments", "contaminated"],
-            )
+            made = [pa.array(ids, pa.list_(pa.int64())), pa.array([[f[i] for i in own] for f, own in zip(found, ids)], pa.list_(pa.float64()))]
+            kept = [0] if last else [0, 1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made], [*(("doc_id", "text")[i] for i in kept), "item_ids", "containments"])
 
-    return common.arrow_map(common.texts(docs), run, "doc_id long, n_items long, item_ids array<long>, containments array<double>, contaminated boolean")
+    return common.arrow_map(docs, run, _FOUND if last else _FOUND.replace("doc_id long", "doc_id long, text string"))
 
 
-def _parts(benchmark: DataFrame) -> Iterator[Items]:
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.size(F.split("text", " "))).alias("n")).first().n or 0
+def _parts(benchmark: DataFrame) -> Iterator[tuple[Items, bool]]:
+    """The items in parts of at most about PART_SHINGLES words, and whether a part is the last."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    # as many as the words that the operator sees, and up to two empty ones
+    size = items.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).alias("n")).first().n or 0
     parts = max(1, -(-int(size) // PART_SHINGLES))
     for p in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p).orderBy("item_id", "text").collect()
-        yield Items([r.item_id for r in rows], [r.text for r in rows])
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").collect()
+        yield Items([r.item_id for r in rows], [r.text for r in rows]), p == parts - 1
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFrame:
     """The rows of docs, with all their columns, that hold no item."""
     out = docs
-    for items in _parts(benchmark):
+    for items, _ in _parts(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -229,12 +238,7 @@ def _as_short(words: common.Words, width: int) -> np.ndarray:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFrame:
     """For each row of docs: doc_id, n_items, item_ids (ascending), containments (of these), contaminated."""
-    results = [_find(docs, items, share) for items in _parts(benchmark)]
-    if len(results) == 1:
-        return results[0]
-    results = [r.where("contaminated") for r in results]
-    hits = reduce(DataFrame.unionByName, results).select("doc_id", F.explode(F.arrays_zip("item_ids", "containments")).alias("h")).groupBy("doc_id", F.col("h.item_ids").alias("i")).agg(F.max("h.containments").alias("c"))
-    hits = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("h"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(hits, "doc_id", "left")
-    empty = F.array()
-    return out.select("doc_id", F.coalesce(F.size("h"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.col("h.i"), empty.cast("array<long>")).alias("item_ids"), F.coalesce(F.col("h.c"), empty.cast("array<double>")).alias("containments"), F.col("h").isNotNull().alias("contaminated"))
+    out = common.texts(docs)
+    for items, last in _parts(benchmark):
+        out = _find(out, items, share, last)
+    return out.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), "item_ids", "containments", (F.size("item_ids") > 0).alias("contaminated"))
