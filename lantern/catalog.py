@@ -80,15 +80,15 @@ HINTS = {
     "GITHUB_PAT": ("text", "ghp_"),
     "GOOGLE_API_KEY": ("text", "AIza"),
     "SLACK_TOKEN": ("text", "xox"),
-    "STRIPE_KEY": ("regex", r"[sp]k_(?:live|test)_"),
+    "STRIPE_KEY": ("text", "k_"),
     "JWT": ("text", "eyJ"),
     "PRIVATE_KEY": ("text", "-----BEGIN "),
 }
-#: The longest run of digits (1, 3 or 4) that any match of the pattern is sure to hold.
+#: The longest run of digits that any match of the pattern is sure to hold.
 DIGITS = {
-    "IC_NUMBER": 4, "SG_NRIC": 4, "ID_NIK": 4, "TH_NATIONAL_ID": 4, "VN_CCCD": 4, "PH_NATIONAL_ID": 4, "BN_IC": 4, "MM_NRC": 4, "KH_NATIONAL_ID": 4, "LA_ID": 4,
-    "PASSPORT": 4, "PHONE": 3, "ID_NPWP": 3, "PH_TIN": 3, "TAX_ID": 1, "DRIVER_LICENSE": 4, "BANK_ACCT": 4, "CREDIT_CARD": 4, "US_SSN": 4, "IBAN": 4,
-    "MY_VEHICLE": 1, "IP_ADDRESS": 1, "MY_POSTCODE": 4, "SG_POSTCODE": 4, "PH_POSTCODE": 4,
+    "IC_NUMBER": 6, "SG_NRIC": 7, "ID_NIK": 16, "TH_NATIONAL_ID": 5, "VN_CCCD": 9, "PH_NATIONAL_ID": 4, "BN_IC": 6, "MM_NRC": 6, "KH_NATIONAL_ID": 9, "LA_ID": 8,
+    "PASSPORT": 8, "PHONE": 3, "ID_NPWP": 3, "PH_TIN": 3, "TAX_ID": 1, "DRIVER_LICENSE": 5, "BANK_ACCT": 10, "CREDIT_CARD": 4, "US_SSN": 4, "IBAN": 7,
+    "MY_VEHICLE": 1, "IP_ADDRESS": 1, "MY_POSTCODE": 5, "SG_POSTCODE": 6, "PH_POSTCODE": 4,
 }
 
 

@@ -20,9 +20,32 @@ def replacements(findings: Column, mask: str = "brackets") -> Column:
     return F.sort_array(pairs, asc=False)
 
 
+def redactable(findings: Column) -> Column:
+    """Findings in the text box: only these can be masked in it."""
+    return F.filter(findings, lambda f: f["input_source"].isNull() | (f["input_source"] == "Textbox"))
+
+
 def redact(text: Column, findings: Column, mask: str = "brackets") -> Column:
-    """The text with every finding masked; applied from right to left, so offsets hold."""
-    return F.aggregate(replacements(findings, mask), text, lambda t, r: F.concat(F.substring(t, F.lit(1), r["s"]), r["r"], F.substring(t, r["e"] + 1, F.length(t))))
+    """The text with every finding masked.
+
+    Findings that don't overlap, which is what is left after resolution: the masks and the pieces between them, put together once.
+    Others are masked from right to left, so offsets hold.
+    """
+
+    def joined(done: Column) -> Column:
+        after = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(done, i - 1)["e"])
+        pieces = F.transform(done, lambda r, i: F.concat(F.substring(text, after(i) + 1, r["s"] - after(i)), r["r"]))
+        last = F.element_at(done, -1)["e"]
+        return F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text)))
+
+    def one_by_one(done: Column) -> Column:
+        return F.aggregate(F.reverse(done), text, lambda t, r: F.concat(F.substring(t, F.lit(1), r["s"]), r["r"], F.substring(t, r["e"] + 1, F.length(t))))
+
+    def masked(done: Column) -> Column:
+        apart = F.forall(F.sequence(F.lit(1), F.size(done)), lambda i: (i == 1) | (F.get(done, i - 1)["s"] >= F.get(done, i - 2)["e"]))
+        return F.when(F.size(done) == 0, text).when(apart, joined(done)).otherwise(one_by_one(done))
+
+    return F.element_at(F.transform(F.array(F.reverse(replacements(findings, mask))), masked), 1)
 
 
 def shifted(findings: Column, done: Column) -> Column:

@@ -1,7 +1,7 @@
 """Findings of a text as an array of structs, with built-in functions only: no row is shuffled or leaves the JVM.
 
-A pattern is tried only where a cheap hint (a substring, a short expression, or for patterns that need context any of the
-context words) is in the text at all; in most texts few are.
+A pattern is tried only where a cheap hint (a run of as many digits as it needs, a substring, a short expression, or for patterns
+that need context any of the context words) is in the text at all; in most texts few are.
 """
 
 from __future__ import annotations
@@ -62,6 +62,14 @@ def _java(patterns: list[catalog.Pattern], wide: bool) -> tuple[list[str], dict[
     return java, contexts
 
 
+def _hinted(text: Column, context: str, wide: bool) -> Column:
+    """Whether a word of the context can be in some window: the words are looked for without their boundaries, as a window's ends may cut longer ones to size."""
+    pattern = catalog.CONTEXTS.get(context, "")
+    if not (pattern.startswith(r"\b(?:") and pattern.endswith(r")\b")):
+        return F.lit(True)
+    return F.rlike(text, F.lit(translate(pattern[2:-2], True, wide)))
+
+
 def with_findings(df: DataFrame, text_col: str, patterns: list[catalog.Pattern] | None = None, settings: catalog.Settings | None = None, name: str = "findings") -> DataFrame:
     """df with an array of findings of all patterns: pattern by pattern, each from left to right. Null text has none.
 
@@ -76,15 +84,17 @@ def with_findings(df: DataFrame, text_col: str, patterns: list[catalog.Pattern]
     wide = settings.unicode_boundaries
     java, contexts = _java(patterns, wide)
     own = df.columns
-    digits = {f"_d{n}": F.rlike(text, F.lit(f"[0-9]{{{n}}}" if n > 1 else "[0-9]")) for n in (1, 3, 4)}
-    step = df.select("*", *(c.alias(n) for n, c in digits.items()))
+    # most texts have no digit, and most patterns need a run of some
+    runs = F.transform(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), F.length)
+    step = df.select("*", F.when(F.rlike(text, F.lit("[0-9]")), F.array_max(runs)).otherwise(F.lit(0)).alias("_run"))
     flags = {c: f"_c{i}" for i, c in enumerate(contexts)}
-    words = [(F.col("_d1") & F.rlike(text, F.lit(contexts[c]))).alias(n) for c, n in flags.items()]
-    words.append((F.col("_d4") & F.rlike(text, F.lit(translate(catalog.NIK_TABLE, True, wide)))).alias("_nik"))
+    least = {c: min(catalog.DIGITS.get(p.type, 0) for p in patterns if p.context == c) for c in contexts}
+    words = [((F.col("_run") >= least[c]) & _hinted(text, c, wide)).alias(n) for c, n in flags.items()]
+    words.append(((F.col("_run") >= catalog.DIGITS["ID_NIK"]) & F.rlike(text, F.lit(translate(catalog.NIK_TABLE, True, wide)))).alias("_nik"))
     step = step.select("*", *words)
 
     def worth(p: catalog.Pattern) -> Column:
-        need = F.col(f"_d{catalog.DIGITS.get(p.type, 0)}") if p.type in catalog.DIGITS else F.lit(True)
+        need = F.col("_run") >= catalog.DIGITS.get(p.type, 0)
         if p.context:
             found = F.col(flags[p.context])
             return need & ((found | F.col("_nik")) if p.type == "ID_NIK" else found)
@@ -104,11 +114,11 @@ def _settled(text: Column, patterns: list[catalog.Pattern], java: list[str], con
     """The findings of _hits: those with context and sound numbers."""
     literal = lambda values: F.array(*map(F.lit, values))
     all_java, all_types, all_severities = literal(java), literal([p.type for p in patterns]), literal([p.severity for p in patterns])
-    all_contexts = literal([contexts.get(p.context, "") for p in patterns])
+    numbers = {c: [i for i, p in enumerate(patterns, 1) if p.context == c] for c in contexts}
 
     def keep(t: Column, m: Column) -> Column:
         start, end, value = m["s"], m["s"] + F.length(m["v"]), m["v"]
-        name, context = F.element_at(all_types, t["i"]), F.element_at(all_contexts, t["i"])
+        name = F.element_at(all_types, t["i"])
         low = F.greatest(start - catalog.CONTEXT_WINDOW, F.lit(0))
         window = F.substring(text, low + 1, end + catalog.CONTEXT_WINDOW - low)
         back = F.greatest(start - 60, F.lit(0))
@@ -118,7 +128,8 @@ def _settled(text: Column, patterns: list[catalog.Pattern], java: list[str], con
             & F.rlike(F.substring(text, back + 1, start - back), F.lit(translate(catalog.NIK_ROW_BEFORE)))
             & F.rlike(F.substring(text, end + 1, F.lit(20)), F.lit(translate(catalog.NIK_ROW_AFTER)))
         )
-        near = (context == "") | F.rlike(window, context) | table
+        # literals, so that each expression is compiled once and not for each match
+        near = reduce(lambda out, c: out.when(t["i"].isin(numbers[c]), F.rlike(window, F.lit(contexts[c]))), contexts, F.when(F.lit(False), F.lit(True))).otherwise(F.lit(True)) | table
         ocr = F.contains(text, F.lit(catalog.OCR_MARKER))
         card = F.rlike(value, F.lit(translate(catalog.CARD_SHAPE)))
         good = (

@@ -78,10 +78,10 @@ def assess_sources(df: DataFrame, assessment_col: str, source_col: str, order_co
 
 
 def redacted(df: DataFrame, keys: list[str], text_col: str = "text", mask: str = "brackets", patterns: list[catalog.Pattern] | None = None, settings: catalog.Settings | None = None) -> DataFrame:
-    """keys, redacted_text, redactions: each row's trimmed text with all findings masked."""
+    """keys, redacted_text, redactions: each row's trimmed text with all findings of the text box masked."""
     trimmed = df.select(*keys, js_trim(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     raw = spans.with_findings(trimmed, "t", patterns, settings, "raw")
-    found = raw.select(*keys, "t", resolve.dedup(F.col("raw")).alias("findings"))
+    found = raw.select(*keys, "t", redact.redactable(resolve.dedup(F.col("raw"))).alias("findings"))
     return found.select(*keys, redact.redact(F.col("t"), F.col("findings"), mask).alias("redacted_text"), F.size("findings").alias("redactions"))
 
 

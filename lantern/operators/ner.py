@@ -46,7 +46,7 @@ def words(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """tokens: keys, pos, word_id (null: special), label, confidence, start, end. One row a word: tag, confidence, start, end.
 
     A word's tag is the one with the greatest sum of confidences, but any tag beats O; of equal sums the first seen wins. Its
-    confidence is the greatest of that tag.
+    confidence is the greatest of that tag, and 0 for O.
     """
     bi, tag = tag_of(F.col("label"))
     seen = tokens.where("word_id is not null").withColumn("bi", bi).withColumn("tag", tag)
@@ -54,7 +54,7 @@ def words(tokens: DataFrame, keys: list[str]) -> DataFrame:
     word = W.partitionBy(*keys, "word_id")
     ranked = by_tag.withColumn("n", F.row_number().over(word.orderBy((F.col("tag") == "O").cast("int"), F.desc("total"), "first")))
     ranked = ranked.withColumn("start", F.min("start").over(word)).withColumn("end", F.max("end").over(word))
-    return ranked.where("n = 1").select(*keys, "word_id", "tag", "bi", "confidence", "start", "end")
+    return ranked.where("n = 1").withColumn("confidence", F.when(F.col("tag") == "O", F.lit(0.0)).otherwise(F.col("confidence"))).select(*keys, "word_id", "tag", "bi", "confidence", "start", "end")
 
 
 def islands(word_rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,13 +94,13 @@ def entities(tokens: DataFrame, keys: list[str], texts: DataFrame, text_col: str
 
 
 def merge_adjacent(text: Column, findings: Column) -> Column:
-    """Neighbours of one type with only white space between them become one; confidences are weighted by length and rounded at each step."""
+    """Neighbours of one type with only white space between them become one; confidences are weighted by length and rounded at each step. The end is the later one's, even if that ends earlier."""
 
     def step(kept: Column, f: Column) -> Column:
         last = F.element_at(kept, -1)
         gap = F.when(f["start_index"] > last["end_index"], F.substring(text, last["end_index"] + 1, f["start_index"] - last["end_index"])).otherwise(F.lit(""))
         a, b = last["end_index"] - last["start_index"], f["end_index"] - f["start_index"]
-        end = F.greatest(last["end_index"], f["end_index"])
+        end = f["end_index"]
         merged = last.withField("end_index", end).withField("neg_end", -end).withField("value", F.substring(text, last["start_index"] + 1, end - last["start_index"])).withField("confidence", round3((last["confidence"] * a + f["confidence"] * b) / (a + b)))
         join = (last["type"] == f["type"]) & (js_trim(gap) == "")
         return F.when(F.size(kept) == 0, F.array(f)).otherwise(F.when(join, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(merged))).otherwise(F.concat(kept, F.array(f))))

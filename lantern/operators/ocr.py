@@ -97,7 +97,6 @@ def reading_order(boxes: list[dict]) -> list[dict]:
 
 def boxes_of(prob: np.ndarray, sx: float, sy: float) -> list[dict]:
     """Text boxes of a probability map, scaled back to the image, in reading order."""
-    h, w = prob.shape
     labels, n = label_components(prob >= THRESHOLD)
     out = []
     for k in range(1, n + 1):
@@ -107,8 +106,8 @@ def boxes_of(prob: np.ndarray, sx: float, sy: float) -> list[dict]:
         if bw < MIN_SIDE or bh < MIN_SIDE or prob[ys, xs].mean() < BOX_SCORE:
             continue
         pad = int(EXPAND * min(bw, bh) / 2 + 0.5)
-        left, top, right, bottom = max(0, x0 - pad), max(0, y0 - pad), min(w - 1, x1 + pad), min(h - 1, y1 + pad)
-        out.append({"x": max(0, int(left * sx)), "y": max(0, int(top * sy)), "w": int(np.ceil((right - left + 1) * sx)), "h": int(np.ceil((bottom - top + 1) * sy))})
+        # the place is kept inside the image, the size is that of the padded box even at a border
+        out.append({"x": max(0, int(np.floor((x0 - pad) * sx))), "y": max(0, int(np.floor((y0 - pad) * sy))), "w": int(np.ceil((bw + 2 * pad) * sx)), "h": int(np.ceil((bh + 2 * pad) * sy))})
     return reading_order(out)
 
 

@@ -111,3 +111,10 @@ def test_unicode_boundaries(spark):
 
 def test_settings_merge():
     assert catalog.Settings.merged({"ner_threshold": 0.5, "mask": None, "other": 1}) == catalog.Settings(ner_threshold=0.5)
+
+
+def test_windows_may_cut_words_to_context_words(spark):
+    """The window begins 80 characters before a match, here inside a longer word."""
+    text = "xxgst " + "y" * 76 + " 555-2766"
+    cut = [t for t in (text[k:] for k in range(4))]
+    assert [[r.value for r in rows if r.type == "TAX_ID"] for rows in scan(spark, cut)] == [["555-2766"] if "gst" in t[max(0, t.index("555") - 80) :] and (len(t) - 8 - 80 == t.index("gst") or t.startswith("gst")) else [] for t in cut]

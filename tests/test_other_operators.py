@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lantern.functions import ocr_text, redact
+from lantern.functions.spans import finding
 from lantern.operators import assess, history, ner, ocr, tokenizer
 from lantern.sources import text as sources
 from lantern.streaming import live
@@ -144,3 +145,50 @@ def test_submit_and_labels(spark):
     assert all(r[0] == r[1] for r in frame.select("want", assess.may_submit(*map(F.col, "psatn"))).collect())
     label = lambda s: one(spark, s, lambda c: redact.time_label(F.timestamp_seconds(F.lit(0)), F.timestamp_seconds(c)), "long")
     assert [label(s) for s in (5, 120, 7300)] == ["just now", "2m ago", "2h ago"]
+
+
+def test_boxes_at_borders_keep_their_size():
+    prob = np.zeros((40, 60), np.float32)
+    prob[0:20, 0:30] = 0.9
+    (box,) = ocr.boxes_of(prob, 2.0, 1.5)
+    pad = 3  # three tenths of the shorter side, halved
+    assert box == {"x": 0, "y": 0, "w": (30 + 2 * pad) * 2, "h": 39}
+    prob = np.zeros((40, 60), np.float32)
+    prob[20:40, 30:60] = 0.9
+    (box,) = ocr.boxes_of(prob, 1.0, 1.0)
+    assert box == {"x": 27, "y": 17, "w": 36, "h": 26}
+
+
+def test_outside_words_have_no_confidence(spark):
+    rows = [(1, 0, 0, "O", 0.9, 0, 2), (1, 1, 0, "O", 0.8, 2, 4), (1, 2, 1, "O", 0.9, 5, 7), (1, 3, 1, "B-PERSON", 0.1, 7, 9)]
+    tokens = spark.createDataFrame(rows, "id int, pos int, word_id int, label string, confidence double, start int, end int")
+    got = ner.words(tokens, ["id"]).orderBy("word_id").select("tag", "confidence", "start", "end").collect()
+    assert [tuple(r) for r in got] == [("O", 0.0, 0, 4), ("PERSON", 0.1, 5, 9)]
+
+
+def test_merged_neighbours_end_where_the_later_one_ends(spark):
+    text = "Anna Maria Lopez"
+    rows = [(text, [(0, 16, 0.5), (5, 10, 0.8)])]
+    frame = spark.createDataFrame(rows, "t string, f array<struct<s:int,e:int,c:double>>")
+    made = F.transform("f", lambda f: finding(F.lit("PERSON"), F.substring(F.col("t"), f["s"] + 1, f["e"] - f["s"]), f["s"], f["e"], f["c"], F.lit("medium"), F.lit("ner"), f["s"]))
+    (one,) = frame.select(ner.merge_adjacent(F.col("t"), made).alias("m")).first().m
+    assert (one.start_index, one.end_index, one.value, one.confidence) == (0, 10, "Anna Maria", 0.571)
+
+
+def test_redaction_of_findings_that_overlap_or_not(spark):
+    rows = [("abcdefgh", [(0, 2), (2, 3), (6, 8)]), ("abcdefgh", [(0, 4), (2, 6)]), ("abc", []), ("a\U0001F600bc", [(1, 3)])]
+    frame = spark.createDataFrame(rows, "t string, f array<struct<s:int,e:int>>")
+    made = F.transform("f", lambda f: finding(F.lit("X"), F.substring(F.col("t"), f["s"] + 1, f["e"] - f["s"]), f["s"], f["e"], F.lit(1.0), F.lit("low"), F.lit("regex"), f["s"]))
+    got = [r.r for r in frame.select(redact.redact(F.col("t"), made).alias("r")).collect()]
+
+    def brute(text, spans):
+        for s, e in sorted(spans, reverse=True):
+            text = text[:s] + "[X]" + text[e:]
+        return text
+
+    assert got == [brute(t, f) for t, f in rows]
+
+
+def test_only_findings_of_the_text_box_are_masked(spark):
+    frame = spark.createDataFrame([([("Textbox",), (None,), ("scan.pdf",)],)], "f array<struct<input_source:string>>")
+    assert [r.input_source for r in frame.select(redact.redactable(F.col("f")).alias("f")).first().f] == ["Textbox", None]
