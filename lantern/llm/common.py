@@ -57,7 +57,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lantern_path = path
     return out

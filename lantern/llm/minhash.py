@@ -113,7 +113,7 @@ def profiles(docs: DataFrame, rows: int, carry: list[str] | None = None) -> Data
     source = common.texts(docs, carry=carry or ["text"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, limit=1 << 20):
             sets, offsets = shingle_sets(batch)
             sizes = np.diff(offsets)
             signature = signatures(sets, offsets)
@@ -204,15 +204,15 @@ def meeting_blocks(sized: DataFrame, id_col: str) -> DataFrame:
 Linker = Callable[[pa.RecordBatch], Callable[[slice], Callable[[int], np.ndarray]]]
 
 
-def stars(members: DataFrame, linker: Linker, what: str) -> DataFrame:
-    """(u, v) edges that join all linked members of each key, fewer than members. members: key, id, weight, payload; written or cheap to make twice."""
+def stars(members: DataFrame, payloads: DataFrame, linker: Linker, what: str) -> DataFrame:
+    """(u, v) edges that join all linked members of each key, fewer than members. members: key, id, weight, written; payloads: id, payload, which join last."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top")).where("members > 1")
     blocks = F.ceil(F.col("members") / BLOCK).cast("long")
     sizes = common.written(sizes.select("key", blocks.alias("blocks"), (-F.col("top.id")).alias("centre")), f"{what}-sizes")
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     # each block gets the centre: in its own block it stands anyway
     copies = F.when(F.col("id") == F.col("centre"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
-    dealt = dealt.select("key", "id", "weight", "payload", "blocks", "centre", F.explode(copies).alias("block"))
+    dealt = dealt.select("key", "id", "weight", "blocks", "centre", F.explode(copies).alias("block")).join(payloads, "id")
 
     def star(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, at in common.whole_groups(batches, ["key", "block"]):
@@ -245,16 +245,16 @@ def stars(members: DataFrame, linker: Linker, what: str) -> DataFrame:
     rest = found.where("rest_of is not null").select(F.col("rest_of").alias("key"), F.col("u").alias("id"))
     if rest.isEmpty():
         return edges
-    return edges.unionAll(_rest(members, rest, sizes, linker))
+    return edges.unionAll(_rest(members, payloads, rest, sizes, linker))
 
 
-def _rest(members: DataFrame, rest: DataFrame, sizes: DataFrame, linker: Linker) -> DataFrame:
+def _rest(members: DataFrame, payloads: DataFrame, rest: DataFrame, sizes: DataFrame, linker: Linker) -> DataFrame:
     """(u, v) edges between members that their key's centre doesn't take (rest: key, id) and all of the other blocks."""
     left = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("waves")).join(sizes, "key")
     every = members.join(left, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    own = every.select("key", "id", "payload", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("waves") - 1)).alias("wave"), F.lit(0).alias("side"))
+    own = every.select("key", "id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("waves") - 1)).alias("wave"), F.lit(0).alias("side"))
     lone = every.join(rest, ["key", "id"], "left_semi").withColumn("wave", F.pmod(F.xxhash64("id", "key"), F.col("waves"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block")
-    met = own.unionByName(lone.select("key", "id", "payload", F.col("other").alias("block"), "wave", F.lit(1).alias("side")))
+    met = own.unionByName(lone.select("key", "id", F.col("other").alias("block"), "wave", F.lit(1).alias("side"))).join(payloads, "id")
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, at in common.whole_groups(batches, ["key", "block", "wave"]):
@@ -276,14 +276,15 @@ def candidate_edges(classes: DataFrame, agree: int) -> DataFrame:
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     crowded = common.written(rows.join(sizes, "key"), "buckets")
     # only members of buckets go on, and only they bring their signatures
-    weights = crowded.groupBy("class_id").agg(F.sum("members").alias("weight")).join(classes.select("class_id", "sig"), "class_id")
-    members = crowded.select("key", "class_id").join(weights, "class_id").select("key", F.col("class_id").alias("id"), "weight", F.col("sig").alias("payload"))
+    weights = crowded.groupBy("class_id").agg(F.sum("members").alias("weight"))
+    members = common.written(crowded.select("key", "class_id").join(weights, "class_id").select("key", F.col("class_id").alias("id"), "weight"), "members")
+    payloads = classes.select(F.col("class_id").alias("id"), F.col("sig").alias("payload"))
 
     def linker(whole: pa.RecordBatch) -> Callable[[slice], Callable[[int], np.ndarray]]:
         sigs = common.fixed_bytes(whole.column(whole.schema.get_field_index("payload")), BINS)
         return lambda rows: lambda i: (sigs[rows] == sigs[rows.start + i]).sum(axis=1, dtype=np.int16) >= agree
 
-    return stars(members, linker, "buckets")
+    return stars(members, payloads, linker, "buckets")
 
 
 def set_links(sets: list[np.ndarray], percent: int) -> Callable[[int], np.ndarray]:
@@ -306,17 +307,17 @@ def set_links(sets: list[np.ndarray], percent: int) -> Callable[[int], np.ndarra
 
 def links(texts: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (u, v) within families. families: id, component_id; texts: id, text, one row for each id."""
-    members = common.written(texts.join(families, "id").select(F.col("component_id").alias("key"), "id", F.lit(0).alias("weight"), F.col("text").alias("payload")), "families")
+    members = common.written(families.select(F.col("component_id").alias("key"), "id", F.lit(0).alias("weight")), "families")
 
     def linker(whole: pa.RecordBatch) -> Callable[[slice], Callable[[int], np.ndarray]]:
         sets: list[np.ndarray] = []
         at = whole.schema.get_field_index("payload")
-        for batch in common.pieces([whole], "payload"):
+        for batch in common.pieces([whole], "payload", 1 << 20):
             values, offsets = shingle_sets(batch, at)
             sets += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
         return lambda rows: set_links(sets[rows], percent)
 
-    return stars(members, linker, "links")
+    return stars(members, texts.withColumnRenamed("text", "payload"), linker, "links")
 
 
 def _grouped(docs: DataFrame, percent: int, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
