@@ -43,14 +43,14 @@ from . import common
 LENGTH, GRAM = 50, 20
 _SPAN = LENGTH - GRAM + 1
 #: Anchors in a task's list before it is sent, and bytes of keys in a run.
-LIST_ANCHORS, RUN_KEYS = 1_500_000, 200_000
+LIST_ANCHORS, RUN_KEYS = 750_000, 200_000
 #: An anchor is hot if it goes on in so many ways and has at least one in HOT_SHARE of all anchors; so at most HOT_SHARE are hot, which
 #: are 8 MB to send to the tasks. A list counts ways of anchors it has MANY of.
 HOT_KEYS, HOT_SHARE, MANY = 20_000, 1_000_000, 16
 #: Lists whose samples go to the driver, at most about; a list has some 5 kB of them.
 SAMPLED_LISTS = 4096
 #: Windows looked at at once; positions among them fit in 24 bits.
-PART = 4 << 20
+PART = 1 << 20
 _WIDTH = LENGTH + (_SPAN - 1) + 1
 _LOW = np.uint64((1 << 24) - 1)
 _FIRST = -(1 << 63)
@@ -284,7 +284,7 @@ def mark_anchors(docs: DataFrame, places: int) -> DataFrame:
                 rows.append((p, 0, 0, pack(deltas(h[own]), index, deltas(docs_[known]), discs[known])))
             return batches_of(_ROUTED, rows)
 
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, limit=PART):
             data, offsets = common.column_bytes(batch.column(2))
             owner, at, _, _, hashes, ways = find_anchors(data, offsets)
             if not len(owner):
@@ -463,7 +463,7 @@ def make_runs(marked: DataFrame, borders: list[bytes], hot: np.ndarray, places:
                 rows.append((p, 0, 0, pack(common_.astype("u1"), length[a:b].astype("u1"), rest, np.diff(np.searchsorted(entry[i:j], np.arange(a, b + 1))).astype("<u4"), docs_[i:j], discs[i:j], low[i:j].astype("<u4"))))
             return batches_of(_ROUTED, rows)
 
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, limit=PART):
             data, offsets = common.column_bytes(batch.column(2))
             owner, at, first, last, hashes, _ = find_anchors(data, offsets)
             if not len(owner):
@@ -727,7 +727,7 @@ def dedup(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, limit=PART):
             out = []
             for text, raw in zip(common.cut_rows(*common.column_bytes(batch.column(2))), batch.column(3).to_pylist()):
                 pairs = np.frombuffer(raw or b"", "<u4").reshape(-1, 2).tolist()
