@@ -273,11 +273,13 @@ def _rest(members: DataFrame, payloads: DataFrame, rest: DataFrame, sizes: DataF
 def candidate_edges(classes: DataFrame, agree: int) -> DataFrame:
     """(u, v) star edges between classes that meet in buckets. classes: class_id, keys, sig."""
     rows = classes.select("class_id", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # few keys are left of all: written, their size is known, and Spark needn't shuffle the rows again if it is small
+    sizes = common.written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "bucket-sizes")
     crowded = common.written(rows.join(sizes, "key"), "buckets")
     # only members of buckets go on, and only they bring their signatures
     weights = crowded.groupBy("class_id").agg(F.sum("members").alias("weight"))
     members = common.written(crowded.select("key", "class_id").join(weights, "class_id").select("key", F.col("class_id").alias("id"), "weight"), "members")
+    common.forget(sizes, crowded)
     payloads = classes.select(F.col("class_id").alias("id"), F.col("sig").alias("payload"))
 
     def linker(whole: pa.RecordBatch) -> Callable[[slice], Callable[[int], np.ndarray]]:
@@ -306,8 +308,10 @@ def set_links(sets: list[np.ndarray], percent: int) -> Callable[[int], np.ndarra
 
 
 def links(texts: DataFrame, families: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (u, v) within families. families: id, component_id; texts: id, text, one row for each id."""
+    """Confirmed links (u, v) within families. families: id, component_id; texts: id, text, one row for each id at least of families."""
     members = common.written(families.select(F.col("component_id").alias("key"), "id", F.lit(0).alias("weight")), "families")
+    # only texts of families are shuffled if the written identifiers are few enough for Spark to send them to all
+    texts = texts.join(members.select("id"), "id", "left_semi")
 
     def linker(whole: pa.RecordBatch) -> Callable[[slice], Callable[[int], np.ndarray]]:
         sets: list[np.ndarray] = []
@@ -324,11 +328,15 @@ def _grouped(docs: DataFrame, percent: int, carry: list[str] | None = None) -> t
     """(rows: row_id, doc_id, n_shingles, carried, class_id, group_id, component_id; a written table of the rows). Rows without words have null for the last three."""
     band_rows, agree = plan(percent)
     found = common.written(profiles(docs, band_rows, carry).withColumn("row_id", F.monotonically_increasing_id()), "profiles")
-    classes = found.where("n_shingles > 0").groupBy("n_shingles", "set_hash").agg(F.min("row_id").alias("class_id"), F.min("doc_id").alias("least"))
+    classes = found.where("n_shingles > 0").groupBy("n_shingles", "set_hash").agg(F.min("row_id").alias("class_id"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("number"))
     classes = common.written(classes, "classes")
-    representatives = common.written(found.select(F.col("row_id").alias("class_id"), "keys", "sig").join(classes.select("class_id"), "class_id", "left_semi"), "representatives")
+    # rows that are no representatives, by their numbers: what is wide stays where it is if these are few
+    copies = found.where("n_shingles > 0").select("n_shingles", "set_hash", "row_id").join(classes.where("number > 1"), ["n_shingles", "set_hash"]).where("row_id <> class_id").select("row_id")
+    copies = common.written(copies, "copies")
+    representatives = common.written(found.where("n_shingles > 0").join(copies, "row_id", "left_anti").select(F.col("row_id").alias("class_id"), "keys", "sig"), "representatives")
     families = components(candidate_edges(representatives, agree))
-    texts = found.select(F.col("row_id").alias("id"), F.coalesce("carried.text", F.lit("")).alias("text")).join(families.select("id"), "id", "left_semi")
+    common.forget(copies, representatives)
+    texts = found.select(F.col("row_id").alias("id"), F.coalesce("carried.text", F.lit("")).alias("text"))
     linked = components(links(texts, families, percent)).withColumnRenamed("id", "class_id").withColumnRenamed("component_id", "group_id")
     least = classes.join(linked, "class_id").groupBy("group_id").agg(F.min("least").alias("component_id"))
     of_class = classes.join(linked.join(least, "group_id"), "class_id", "left")
