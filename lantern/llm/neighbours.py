@@ -15,7 +15,9 @@ Equal vectors are one class and enter once, with their number. A group of very m
 group has to fit in a task.
 
 Defined results: vectors that are null, empty, zero or have null or non-finite components link with nothing, as do vectors
-of different lengths. Rows are vectors: rows with equal vec_id count each, and share the component.
+of different lengths. Rows are vectors of their own: rows with equal vec_id count each and have each the links of its
+vector. A null vec_id is no identifier: component_id is the smallest that is not null among the rows reachable, and null if there
+is none; kept is then true. An empty table gives no rows. Recall below ``RECALL`` after all attempts is an error.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ LIST, FLOOR, REACH = 10, 0.6, 0.8
 #: Vectors of a tree's leaf on average, and the chance that a link at the threshold is in no common leaf.
 LEAF, MISS = 256, 0.01
 ROUNDS, CHANGED = 6, 0.005
-AUDIT, RECALL = 64, 0.98
+AUDIT, RECALL, ATTEMPTS = 64, 0.98, 3
 #: Hyperplanes that part the saturated vectors of a family into cells, at most.
 _SIDES = 24
 
@@ -314,10 +316,12 @@ def audit(classes: DataFrame, counts: DataFrame, threshold: float, sample: int =
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors."""
-    rows = common.written(clean(vectors, id_col, vector_col), "vectors")
-    classes = common.written(rows.where("vec is not null").groupBy("dim", "vec").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("number")).where("vec_id is not null"), "classes")
+    rows = common.written(clean(vectors, id_col, vector_col).withColumn("row_id", F.monotonically_increasing_id()), "vectors")
+    # classes go by a row's number, as vec_ids may be equal or null
+    classes = rows.where("vec is not null").groupBy("dim", "vec").agg(F.min("row_id").alias("vec_id"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("number"))
+    classes = common.written(classes, "classes")
     count = classes.count()
-    for attempt in range(3):
+    for attempt in range(ATTEMPTS):
         lists = descend(classes, first_lists(classes, count, threshold, 2**attempt))
         near = lists.where(F.col("sim") >= min(REACH, threshold)).select("u", "v")
         families = components(near)
@@ -325,10 +329,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         if joined is not None:
             families = components(near.unionAll(joined))
         counts, links = count_links(classes, families, threshold)
-        if audit(classes, counts, threshold) >= RECALL:
+        recall = audit(classes, counts, threshold)
+        if recall >= RECALL:
             break
-    of_class = classes.select("dim", "vec", F.col("vec_id").alias("class_id"), "number").join(counts.withColumnRenamed("vec_id", "class_id"), "class_id", "left")
-    of_class = of_class.join(components(links).withColumnRenamed("id", "class_id"), "class_id", "left")
+    else:
+        raise RuntimeError(f"recall of links is {recall:.3f} after {ATTEMPTS} attempts; {RECALL} is asked for")
+    of_class = classes.withColumnRenamed("vec_id", "class_id").join(counts.withColumnRenamed("vec_id", "class_id"), "class_id", "left")
+    of_class = of_class.join(components(links).select(F.col("id").alias("class_id"), F.col("component_id").alias("group_id")), "class_id", "left")
+    # only groups of several classes: aggregated before their members meet, so a large group is no large task
+    smallest = of_class.where("group_id is not null").groupBy("group_id").agg(F.min("least").alias("component_id"))
+    of_class = of_class.join(smallest, "group_id", "left").select("dim", "vec", "n", "number", F.when(F.col("group_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     out = rows.join(of_class, ["dim", "vec"], "left")
-    component = F.coalesce("component_id", "class_id", "vec_id")
-    return out.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("number") - 1, F.lit(0))).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("number") - 1, F.lit(0))).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from lantern.llm import common, minhash
+from lantern.llm import common, minhash, neighbours
 from tests.llm.test_operators import brute_near, shingle_set, words
 
 
@@ -92,3 +93,18 @@ def test_links_by_sets_equal_brute_force():
     for i, s in enumerate(sets):
         want = [len(s) > 0 and len(t) > 0 and 100 * len(np.intersect1d(s, t)) >= 60 * len(np.union1d(s, t)) for t in sets]
         assert linked(i).tolist() == want
+
+
+def test_vectors_count_by_themselves(spark, monkeypatch):
+    """Equal and null vec_ids: each row has its own vector's links. Low recall is an error."""
+    common.prepare(spark)
+    a, b, c, d = np.eye(4).tolist()
+    rows = [(5, a), (5, b), (6, a), (7, b), (None, c), (None, c), (9, c), (None, d), (None, None), (8, None)]
+    frame = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, row_id int").repartition(3)
+    got = sorted((tuple(r) for r in neighbours.near_duplicates(frame, 0.9).collect()), key=repr)
+    want = [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (None, 2, 9, False), (None, 2, 9, False), (9, 2, 9, True), (None, 0, None, True), (None, 0, None, True), (8, 0, 8, True)]
+    assert got == sorted(want, key=repr)
+    monkeypatch.setattr(neighbours, "audit", lambda *_: 0.5)
+    monkeypatch.setattr(neighbours, "ATTEMPTS", 1)
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.near_duplicates(frame, 0.9)
