@@ -1,20 +1,21 @@
 """Language-model scores by a log-bilinear neural model.
 
-Token counts come from all training documents. The most frequent words are classes of their own; every other word
-belongs to a class by its last letters, and has within it a share by its count plus one, with one share more
-for a word that training hasn't seen. The class of the next token is predicted from the two classes before it: the
-context vectors, each times a diagonal matrix for its place, are added, and the product with a class's vector plus its bias is the
-class's logit. Training is by noise-contrastive estimation against the unigram distribution of classes: every task
-runs one pass of stochastic gradient steps over its documents from the same start, and the results are averaged by
-the number of tokens. This is done ``ROUNDS`` times, each time with another part of the documents; all training documents
-take part once.
-
-Scores are normalised: the logarithm of the sum over all classes is worked out for every pair of context classes in
-batched matrix products, once, and the tables go to the executors; their size is fixed by ``CLASSES``. Counts of
-words that aren't frequent are joined by word, so nothing that grows with the data is broadcast.
+Token counts come from all training documents. Targets are words: the ``TARGETS`` most frequent ones and the end have a vector
+and a bias each; every other word belongs to a rest target by its last letters, and has within it a share by its count plus one,
+with one share more for a word that training hasn't seen. Contexts are the two tokens before: the ``CONTEXTS`` most frequent words,
+the end, and the rest by last letters. The context vectors, each times a diagonal matrix for its place, are added, and the product
+with a target's vector plus its bias is the target's logit. Training is by noise-contrastive estimation against the unigram
+distribution of targets: every task runs over its documents in gradient steps that are scaled by what each vector has moved so far,
+all from the same start, and the results are averaged by the number of tokens. This is done ``ROUNDS`` times, each time with
+another part of the documents; all training documents take part in the same way at every size.
+
+Scores are normalised over all targets: a logit is a sum of two products, one for each place, so the sum of its exponentials over
+all targets is, for all pairs of contexts at once, a product of two matrices. It is worked out once, in batches of targets, and the table
+of ``CONTEXTS`` squared pairs goes to the executors with the vectors; all sizes are fixed. Counts of words that aren't
+frequent are joined by word, so nothing that grows with the data is broadcast.
 
 Defined results: null text: only the end token. Equal words in a hot place cost nothing more: the frequent words
-are never shuffled. Without training documents every class is as likely as any other.
+are never shuffled. Without training documents every target is as likely as any other.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Classes: the end, the most frequent words, and the rest by their last letters.
-WORD_CLASSES, REST_CLASSES = 448, 63
-CLASSES = 1 + WORD_CLASSES + REST_CLASSES
-WIDTH, NOISE, ROUNDS, BATCH, RATE = 16, 32, 2, 1024, 0.1
-#: Small corpora are gone over several times, up to PASSES, until about so many tokens have trained.
-PASSES, ENOUGH_TOKENS = 8, 4_000_000
+#: Words with a vector of their own as targets and as contexts, and what all others are parted into by their last letters.
+TARGETS, CONTEXTS, REST = 20_000, 960, 63
+WIDTH, NOISE, ROUNDS, BATCH, RATE = 32, 64, 2, 1024, 0.1
 #: Most frequent words that the executors get with their counts.
 FREQUENT = 50_000
 #: Distinct words that a task holds before it sends their counts.
@@ -46,7 +44,7 @@ END = b"\n"
 
 def rest_class(word: bytes) -> int:
     tail = word[-3:]
-    return 1 + WORD_CLASSES + (int.from_bytes(tail, "big") * 2654435761 >> 16) % REST_CLASSES
+    return (int.from_bytes(tail, "big") * 2654435761 >> 16) % REST
 
 
 def tokens_of(texts: list[bytes]) -> list[list[bytes]]:
@@ -55,16 +53,17 @@ def tokens_of(texts: list[bytes]) -> list[list[bytes]]:
 
 @dataclass
 class Counts:
-    """What is known of the training tokens: N, V, the frequent words with counts, and the mass of each rest class."""
+    """What is known of the training tokens: N, V, the frequent words with counts (the most frequent first), and each rest target's mass."""
 
     total: int
     distinct: int
     end: int
     frequent: dict[bytes, int]
-    classes: dict[bytes, int]
-    #: For each class: sum of (count + 1) of its words, plus one.
+    #: How many of the frequent words are targets.
+    words: int
+    #: For each target (the end, words, rests): sum of (count + 1) of its words; for rests one more.
     mass: np.ndarray
-    #: Tokens of each class in training.
+    #: Tokens of each target in training.
     tokens: np.ndarray
 
 
@@ -90,44 +89,43 @@ def count_words(train: DataFrame) -> DataFrame:
 def gather(words: DataFrame) -> Counts:
     # the least count of a frequent word, from the counts of counts: only frequent words come to the driver
     least, room = None, FREQUENT
-    for r in words.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).collect():
+    for r in words.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).limit(FREQUENT).collect():
         room -= r.n
         if room < 0:
             break
         least = r.c
     chosen = words.where(F.col("c") >= least) if least is not None else words.orderBy(F.desc("c"), "word").limit(FREQUENT)
-    top = sorted(((bytes(r.word), r.c) for r in chosen.collect()), key=lambda x: (-x[1], x[0]))
-    frequent = dict(top)
-    end = frequent.get(END)
+    frequent = dict(sorted(((bytes(r.word), r.c) for r in chosen.collect()), key=lambda x: (-x[1], x[0])))
+    end = frequent.pop(END, None)
     if end is None:
         row = words.where(F.col("word") == F.lit(END)).first()
         end = row.c if row else 0
-    frequent.pop(END, None)
-    own = [w for w, _ in top if w != END][:WORD_CLASSES]
-    classes = {w: 1 + i for i, w in enumerate(own)}
+    own = dict(islice(frequent.items(), TARGETS))
 
     def masses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass, tokens, seen, n = np.zeros(CLASSES), np.zeros(CLASSES), 0, 0
+        found = np.zeros((REST + 1, 4), np.int64)  # the last row: all words
         for batch in batches:
             for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k = 0 if w == END else classes.get(w) or rest_class(w)
-                mass[k] += c + 1
-                tokens[k] += c
-                seen += 1
-                n += c
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(mass), pa.array(tokens), pa.array(np.full(CLASSES, seen)), pa.array(np.full(CLASSES, n))], ["k", "mass", "tokens", "seen", "n"])
-
-    rows = common.arrow_map(words, masses, "k long, mass double, tokens double, seen long, n long").groupBy("k").agg(*(F.sum(c).alias(c) for c in ("mass", "tokens", "seen", "n"))).collect()
-    mass, tokens = np.ones(CLASSES), np.zeros(CLASSES)
+                found[REST, 2:] += 1, c
+                if w != END and w not in own:
+                    found[rest_class(w), :2] += c + 1, c
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(REST + 1)), *(pa.array(np.ascontiguousarray(found[:, j])) for j in range(4))], ["k", "mass", "tokens", "seen", "n"])
+
+    rows = common.arrow_map(words, masses, "k long, mass long, tokens long, seen long, n long").groupBy("k").agg(*(F.sum(c).alias(c) for c in ("mass", "tokens", "seen", "n"))).collect()
+    known = np.array([end, *own.values()], np.float64)
+    mass, tokens, total, distinct = np.ones(REST), np.zeros(REST), 0, 0
     for r in rows:
-        mass[r.k] += r.mass
-        tokens[r.k] = r.tokens
-    return Counts(rows[0].n if rows else 0, rows[0].seen if rows else 0, end, frequent, classes, mass, tokens)
+        if r.k == REST:
+            total, distinct = r.n, r.seen
+        else:
+            mass[r.k] += r.mass
+            tokens[r.k] = r.tokens
+    return Counts(total, distinct, end, frequent, len(own), np.concatenate([known + 1, mass]), np.concatenate([known, tokens]))
 
 
 @dataclass
 class Model:
-    """Vectors of context and target classes, a diagonal for each of the two places, biases."""
+    """Vectors of contexts and targets, a diagonal for each of the two places, biases of targets."""
 
     context: np.ndarray
     target: np.ndarray
@@ -138,80 +136,102 @@ class Model:
     @classmethod
     def start(cls, tokens: np.ndarray) -> Model:
         rng = np.random.Generator(np.random.PCG64(9))
+        contexts = 1 + min(CONTEXTS, len(tokens) - 1 - REST) + REST
         share = (tokens + 1) / (tokens + 1).sum()
-        parts = rng.normal(0, 0.3, (CLASSES, WIDTH)), rng.normal(0, 0.1, (CLASSES, WIDTH)), np.ones(WIDTH), np.full(WIDTH, 0.5), np.log(share)
+        parts = rng.normal(0, 0.3, (contexts, WIDTH)), rng.normal(0, 0.1, (len(tokens), WIDTH)), np.ones(WIDTH), np.full(WIDTH, 0.5), np.log(share)
         return cls(*(p.astype(np.float32) for p in parts))
 
     def rows(self) -> np.ndarray:
         """As a matrix: one row for each vector, the bias last."""
-        pad = np.zeros((CLASSES, 1))
-        ends = np.zeros((2, 1))
-        return np.vstack([np.hstack([self.context, pad]), np.hstack([self.target, self.bias[:, None]]), np.hstack([np.stack([self.near, self.far]), ends])])
+        vectors = np.vstack([self.near, self.far, self.context, self.target])
+        bias = np.concatenate([np.zeros(2 + len(self.context), np.float32), self.bias])
+        return np.hstack([vectors, bias[:, None]])
 
     @classmethod
-    def of(cls, m: np.ndarray) -> Model:
-        parts = m[:CLASSES, :-1], m[CLASSES : 2 * CLASSES, :-1], m[2 * CLASSES, :-1], m[2 * CLASSES + 1, :-1], m[CLASSES : 2 * CLASSES, -1]
-        return cls(*(np.array(p, np.float32) for p in parts))
-
-    def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, rate: float) -> None:
-        """A gradient step; one, two: the class before and the one before that; noise: drawn classes, shared by the batch.
-
-        log_noise holds the logarithm of the number of draws expected of each class.
-        """
-        a, b = self.context[one], self.context[two]
-        predicted = a * self.near + b * self.far
-        q, drawn = self.target[target], self.target[noise]
-        real = np.einsum("ij,ij->i", predicted, q) + self.bias[target] - log_noise[target]
-        fake = predicted @ drawn.T + (self.bias[noise] - log_noise[noise])
+    def of(cls, m: np.ndarray, targets: int) -> Model:
+        m = np.asarray(m, np.float32)
+        vectors, bias = np.ascontiguousarray(m[:, :-1]), m[-targets:, -1].copy()
+        return cls(vectors[2:-targets].copy(), vectors[-targets:].copy(), vectors[0].copy(), vectors[1].copy(), bias)
+
+
+class Trainer:
+    """Gradient steps on a model; every vector's step is divided by the root of what its gradients have been so far."""
+
+    def __init__(self, model: Model, log_noise: np.ndarray, rate: float):
+        #: log_noise: the logarithm of the number of draws expected of each target.
+        self.model, self.log_noise, self.rate = model, log_noise, np.float32(rate)
+        self.moved = {name: np.full(len(getattr(model, name)), 1e-2, np.float32) for name in ("context", "target", "bias")}
+        self.moved |= {name: np.full(1, 1e-2, np.float32) for name in ("near", "far")}
+
+    def _move(self, name: str, where: np.ndarray, rows: np.ndarray) -> None:
+        """Add up rows by where, and go that way."""
+        value, moved = getattr(self.model, name), self.moved[name]
+        order = np.argsort(where, kind="stable")
+        at = where[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        at, total = at[first], np.add.reduceat(rows[order], first, axis=0)
+        moved[at] += np.einsum("ij,ij->i", total, total) / total.shape[1] if total.ndim == 2 else total * total
+        scale = self.rate / np.sqrt(moved[at])
+        value[at] += total * (scale[:, None] if total.ndim == 2 else scale)
+
+    def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, noise: np.ndarray) -> None:
+        """one, two: the context before and the one before that; noise: drawn targets, shared by the batch."""
+        m, log_noise = self.model, self.log_noise
+        a, b = m.context[one], m.context[two]
+        predicted = a * m.near + b * m.far
+        q, drawn = m.target[target], m.target[noise]
+        real = np.einsum("ij,ij->i", predicted, q) + (m.bias[target] - log_noise[target])
+        fake = predicted @ drawn.T + (m.bias[noise] - log_noise[noise])
         up = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # towards 1
         down = 1 / (1 + np.exp(np.clip(-fake, -30, 30)))  # towards 0
         to_predicted = up[:, None] * q - down @ drawn
-        change = scattered(target, up[:, None] * predicted)
-        np.add.at(change, noise, -(down.T @ predicted))
-        bias = np.bincount(target, weights=up, minlength=CLASSES) - np.bincount(noise, weights=down.sum(axis=0), minlength=CLASSES)
-        context = scattered(one, to_predicted * self.near) + scattered(two, to_predicted * self.far)
-        near, far = np.einsum("ij,ij->j", to_predicted, a), np.einsum("ij,ij->j", to_predicted, b)
-        scale = rate / np.sqrt(len(target))
-        for value, gradient in ((self.target, change), (self.bias, bias), (self.context, context), (self.near, near / 50), (self.far, far / 50)):
-            value += np.clip(scale * gradient, -0.2, 0.2).astype(value.dtype)
-
-
-def scattered(where: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The rows, added up by class."""
-    slots = (where[:, None] * WIDTH + np.arange(WIDTH, dtype=where.dtype)).ravel()
-    return np.bincount(slots, weights=rows.ravel(), minlength=CLASSES * WIDTH).reshape(CLASSES, WIDTH)
+        self._move("target", np.concatenate([target, noise]), np.concatenate([up[:, None] * predicted, -(down.T @ predicted)]))
+        self._move("bias", np.concatenate([target, noise]), np.concatenate([up, -down.sum(axis=0)]))
+        self._move("context", np.concatenate([one, two]), np.concatenate([to_predicted * m.near, to_predicted * m.far]))
+        for name, rows in (("near", a), ("far", b)):
+            way = np.einsum("ij,ij->j", to_predicted, rows)
+            self.moved[name] += way @ way / WIDTH
+            value = getattr(m, name)
+            value += self.rate / 10 * way / np.sqrt(self.moved[name])
 
 
 class Codes:
-    """Numbers of the frequent words, and the class of each; the class of any other word is worked out."""
+    """Numbers of the frequent words, and target and context of each; those of any other word are worked out."""
 
     def __init__(self, counts: Counts):
         self.number = {w: i for i, w in enumerate(counts.frequent)}
-        self.classes = np.array([counts.classes.get(w) or rest_class(w) for w in counts.frequent] or [0], np.int32)
-        self.logs = np.log10(np.array([*counts.frequent.values()] or [0], np.float64) + 1)
-
-    def tokens(self, parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Of all texts' tokens, each text with its end: numbers (-1: not frequent, -2: end), classes, where texts start; and the words that aren't frequent."""
+        rest = np.array([rest_class(w) for w in counts.frequent] or [0], np.int32)
+        at = np.arange(len(rest), dtype=np.int32)
+        self.targets, self.contexts = counts.words, min(CONTEXTS, counts.words)
+        # the last two stand for the end and for what is worked out
+        self.target = np.append(np.where(at < self.targets, at + 1, 1 + self.targets + rest), 0).astype(np.int32)
+        self.context = np.append(np.where(at < self.contexts, at + 1, 1 + self.contexts + rest), 0).astype(np.int32)
+        self.logs = np.append(np.log10(np.array([*counts.frequent.values()] or [0], np.float64) + 1), np.log10(counts.end + 1))
+
+    def tokens(self, parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Of all texts' tokens, each text with its end: numbers (-1: the end, -2: not frequent), targets, contexts, where texts start; and the words that aren't frequent."""
         words = [w for p in parts for w in p]
-        got = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        got = np.fromiter(map(self.number.get, words, repeat(-2)), np.int64, len(words))
         ends = np.cumsum([len(p) for p in parts])
-        numbers = np.insert(got, ends, -2)
-        classes = np.where(numbers >= 0, self.classes[np.maximum(numbers, 0)], 0).astype(np.int32)
-        rare = [words[i] for i in np.flatnonzero(got == -1).tolist()]
-        classes[numbers == -1] = [rest_class(w) for w in rare]
-        return numbers, classes, np.concatenate([[0], ends + np.arange(1, len(parts) + 1)]), rare
-
-
-def contexts(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class before each token and the one before that; before a text stand ends."""
-    one, two = np.zeros(len(ids), np.int32), np.zeros(len(ids), np.int32)
-    one[1:] = ids[:-1]
-    two[2:] = ids[:-2]
+        numbers = np.insert(got, ends, -1)
+        rare = [words[i] for i in np.flatnonzero(got == -2).tolist()]
+        unknown = numbers == -2
+        target, context = self.target[numbers], self.context[numbers]
+        rest = np.fromiter(map(rest_class, rare), np.int32, len(rare))
+        target[unknown] = 1 + self.targets + rest
+        context[unknown] = 1 + self.contexts + rest
+        return numbers, target, context, np.concatenate([[0], ends + np.arange(1, len(parts) + 1)]), rare
+
+
+def before(context: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The context before each token and the one before that; before a text stand ends."""
+    one, two = np.zeros(len(context), np.int32), np.zeros(len(context), np.int32)
+    one[1:] = context[:-1]
+    two[2:] = context[:-2]
     first = starts[:-1]
     one[first] = 0
     two[first] = 0
-    second = first[np.diff(starts) > 1] + 1
-    two[second] = 0
+    two[first[np.diff(starts) > 1] + 1] = 0
     return one, two
 
 
@@ -220,53 +240,80 @@ def train_model(train: DataFrame, counts: Counts) -> Model:
     model = Model.start(counts.tokens)
     share = (counts.tokens + 1) ** 0.75
     share /= share.sum()
+    edges, targets = np.cumsum(share), len(share)
     log_noise = np.log(share * NOISE).astype(np.float32)
     codes = Codes(counts)
-    passes = max(1, min(PASSES, -(-ENOUGH_TOKENS // max(1, counts.total))))
     source = common.texts(train)
     for round_ in range(ROUNDS):
-        rate = RATE / (1 + round_)
         sent = spark.sparkContext.broadcast((model.rows(), codes))
+        rate = RATE / (1 + round_)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, codes = sent.value
-            own = Model.of(rows)
+            trainer = Trainer(Model.of(rows, targets), log_noise, rate)
             rng = np.random.Generator(np.random.PCG64(31 + round_))
-            seen = steps = 0
+            seen = 0
             for batch in common.pieces(batches):
-                _, ids, starts, _ = codes.tokens(tokens_of(common.cut_rows(*common.column_bytes(batch.column(1)))))
-                one, two = contexts(ids, starts)
-                for _ in range(passes):
-                    order = rng.permutation(len(ids))
-                    draws = rng.choice(CLASSES, (len(ids) // BATCH + 1, NOISE), p=share)
-                    for k, a in enumerate(range(0, len(ids), BATCH)):
-                        at = order[a : a + BATCH]
-                        own.step(one[at], two[at], ids[at], draws[k], log_noise, rate / (1 + steps / 2000))
-                        steps += 1
-                seen += len(ids)
+                _, target, context, starts, _ = codes.tokens(tokens_of(common.cut_rows(*common.column_bytes(batch.column(1)))))
+                one, two = before(context, starts)
+                order = rng.permutation(len(target))
+                draws = np.minimum(np.searchsorted(edges, rng.random((len(target) // BATCH + 1, NOISE))), targets - 1)
+                for k, a in enumerate(range(0, len(target), BATCH)):
+                    at = order[a : a + BATCH]
+                    trainer.step(one[at], two[at], target[at], draws[k])
+                seen += len(target)
             if seen:
-                m = own.rows() * seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(m))), pa.array(np.full(len(m), float(seen))), *(pa.array(np.ascontiguousarray(m[:, j])) for j in range(m.shape[1]))], ["row", "weight", *(f"x{j}" for j in range(m.shape[1]))])
+                m = trainer.model.rows() * np.float32(seen)
+                for a in range(0, len(m), 4096):
+                    part = m[a : a + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(part))), pa.array(np.full(len(part), float(seen))), *(pa.array(np.ascontiguousarray(part[:, j])) for j in range(m.shape[1]))], ["row", "weight", *columns])
 
         columns = [f"x{j}" for j in range(WIDTH + 1)]
         part = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == round_)
-        got = common.arrow_map(part, run, "row long, weight double, " + ", ".join(f"{c} double" for c in columns))
-        mean = got.groupBy("row").agg(*((F.sum(c) / F.sum("weight")).alias(c) for c in columns)).toPandas().sort_values("row")
+        got = common.arrow_map(part, run, "row long, weight double, " + ", ".join(f"{c} float" for c in columns))
+        mean = got.groupBy("row").agg(*((F.sum(c) / F.sum("weight")).cast("float").alias(c) for c in columns)).toPandas().sort_values("row")
         if len(mean):
-            model = Model.of(mean[columns].to_numpy(np.float64))
+            model = Model.of(mean[columns].to_numpy(), targets)
+        sent.unpersist()
     return model
 
 
-def tables(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """near[c, k] and far[c, k]: what a context class gives to each logit (bias in near); and the logarithm of the normaliser of each pair (near, far)."""
-    model = Model(*(x.astype(np.float64) for x in (model.context, model.target, model.near, model.far, model.bias)))
-    near = (model.context * model.near) @ model.target.T + model.bias
-    far = (model.context * model.far) @ model.target.T
-    norm = np.empty((CLASSES, CLASSES), np.float64)
-    # exp(near + far) summed over classes is a matrix product
-    top_near, top_far = near.max(axis=1), far.max(axis=1)
-    norm[:] = np.log(np.exp(near - top_near[:, None]) @ np.exp(far - top_far[:, None]).T) + top_near[:, None] + top_far[None, :]
-    return near, far, norm
+def normalisers(model: Model, batch: int = 4096) -> np.ndarray:
+    """norm[c, d]: the logarithm of the sum over all targets of exp(logit) where c is the context before and d the one before that."""
+    near, far = (model.context * model.near).astype(np.float64), (model.context * model.far).astype(np.float64)
+    spans = [slice(a, a + batch) for a in range(0, len(model.target), batch)]
+    logits = lambda x, s: x @ model.target[s].T.astype(np.float64)
+    top_near = np.max([(logits(near, s) + model.bias[s]).max(axis=1) for s in spans], axis=0)[:, None]
+    top_far = np.max([logits(far, s).max(axis=1) for s in spans], axis=0)[:, None]
+    total = np.zeros((len(near), len(near)))
+    for s in spans:
+        total += np.exp(logits(near, s) + model.bias[s] - top_near) @ np.exp(logits(far, s) - top_far).T
+    return np.log(total) + top_near + top_far.T
+
+
+def log_shares(model: Model, norm: np.ndarray, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The natural logarithm of each target's probability after the two contexts."""
+    out = np.empty(len(target))
+    near, far = model.context * model.near, model.context * model.far
+    for a in range(0, len(target), 1 << 15):
+        s = slice(a, a + (1 << 15))
+        out[s] = np.einsum("ij,ij->i", near[one[s]] + far[two[s]], model.target[target[s]])
+    return out + model.bias[target] - norm[one, two]
+
+
+@dataclass
+class Learned:
+    """All that a scorer needs: counts of all words as a table, of the frequent ones here, and the model."""
+
+    words: DataFrame
+    counts: Counts
+    model: Model
+
+
+def learn(train: DataFrame) -> Learned:
+    words = count_words(train)
+    counts = gather(words)
+    return Learned(words, counts, train_model(train, counts))
 
 
 def score(docs: DataFrame, train: DataFrame) -> DataFrame:
@@ -274,46 +321,49 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
 
     train: the documents to learn from.
     """
-    words = count_words(train)
-    counts = gather(words)
-    model = train_model(train, counts)
-    near, far, norm = tables(model)
+    return score_with(docs, learn(train))
+
+
+def score_with(docs: DataFrame, learned: Learned) -> DataFrame:
+    """``score`` by what ``learn`` gave."""
+    counts, model = learned.counts, learned.model
     size = counts.total + counts.distinct + 1
     log_mass = np.log10(counts.mass)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast((near, far, norm, Codes(counts)))
+    sent = docs.sparkSession.sparkContext.broadcast((model, normalisers(model), log_mass, Codes(counts)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, far, norm, codes = sent.value
-        end_log, shift = float(np.log10(counts.end + 1)), float(np.log10(size))
+        model, norm, log_mass, codes = sent.value
+        shift = float(np.log10(size))
         for batch in common.pieces(batches):
             parts = tokens_of(common.cut_rows(*common.column_bytes(batch.column(2))))
-            numbers, ids, starts, rare = codes.tokens(parts)
-            one, two = contexts(ids, starts)
-            by_class = (near[one, ids] + far[two, ids] - norm[one, two]) / np.log(10) - log_mass[ids]
+            numbers, target, context, starts, rare = codes.tokens(parts)
+            one, two = before(context, starts)
+            by_target = log_shares(model, norm, one, two, target) / np.log(10) - log_mass[target]
             # log10(c + 1) of each token: here for frequent words, by a join for the others
-            logs = np.where(numbers >= 0, codes.logs[np.maximum(numbers, 0)], np.where(numbers == -2, end_log, 0.0))
-            known = (numbers >= 0) | ((numbers == -2) & (counts.end > 0))
+            unknown = numbers == -2
+            logs = np.where(unknown, 0.0, codes.logs[numbers])
+            known = ~unknown & ((numbers >= 0) | (counts.end > 0))
             first = starts[:-1]
-            sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), logs, by_class)]
+            sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), logs, by_target)]
             n = np.diff(starts)
-            owner = np.repeat(np.arange(len(n)), n)[numbers == -1]
+            owner = np.repeat(np.arange(len(n)), n)[unknown]
             times = Counter(zip(owner.tolist(), rare))
             rows_ = batch.column(0).to_pylist()
             out = [*zip(rows_, batch.column(1).to_pylist(), n.tolist(), sums[0].tolist(), sums[1].tolist(), (-shift * n).tolist(), sums[2].tolist(), repeat(None), repeat(0))]
             out.extend((rows_[r], None, 0, 0, 0.0, 0.0, 0.0, w, c) for (r, w), c in times.items())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], _NAMES)
 
-    parts = common.written(common.arrow_map(rows, run, "row long, doc_id long, n_tokens long, n_known long, logs double, shift double, by_class double, word binary, c long"), "scores")
-    rare = parts.where("word is not null").select("row", "word", F.col("c").alias("times")).join(words, "word")
+    parts = common.written(common.arrow_map(rows, run, "row long, doc_id long, n_tokens long, n_known long, logs double, shift double, by_target double, word binary, c long"), "scores")
+    rare = parts.where("word is not null").select("row", "word", F.col("c").alias("times")).join(learned.words, "word")
     found = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
     out = parts.where("word is null").join(found, "row", "left")
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
     return out.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(counts.total).cast("long").alias("train_tokens"),
-        (logs + F.col("shift")).alias("base_score"), (logs + F.col("by_class")).alias("score"),
+        (logs + F.col("shift")).alias("base_score"), (logs + F.col("by_target")).alias("score"),
     )
 
 
-_NAMES = ["row", "doc_id", "n_tokens", "n_known", "logs", "shift", "by_class", "word", "c"]
+_NAMES = ["row", "doc_id", "n_tokens", "n_known", "logs", "shift", "by_target", "word", "c"]
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]

@@ -315,10 +315,53 @@ def test_language_model_base_and_normalisation(spark):
     assert np.allclose([w[4] for w in want], [g[4] for g in got], rtol=1e-9)
     assert bilinear.score(frame.limit(0), train).count() == 0
     assert bilinear.score(frame, train.limit(0)).count() == len(rows)
-    # the class probabilities after any context add up to 1
-    model = bilinear.Model.start(np.ones(bilinear.CLASSES))
-    near, far, norm = bilinear.tables(model)
-    assert np.allclose(np.exp(near[3][None, :] + far - norm[3][:, None]).sum(axis=1), 1)
+
+
+def test_language_model_by_brute_force(spark, monkeypatch):
+    """After training: over all words and one unseen word for each rest, probabilities add up to 1; scores are their logarithms."""
+    monkeypatch.setattr(bilinear, "TARGETS", 150)
+    monkeypatch.setattr(bilinear, "CONTEXTS", 40)
+    monkeypatch.setattr(bilinear, "FREQUENT", 200)
+    rng = random.Random(8)
+    rows = [(i, words(rng, rng.randrange(0, 60), 25 + i % 300)) for i in range(200)] + [(500, None), (501, "never w3 seen words"), (502, "w1 w1")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = bilinear.learn(frame.where("doc_id % 3 <> 0"))
+    c = Counter(w for i, t in rows if i % 3 for w in [*(t or "").encode().split(), b"\n"])
+    # which words are targets and contexts: by count, then by bytes
+    order = sorted((w for w in c if w != b"\n"), key=lambda w: (-c[w], w))
+    m = learned.model
+    n_targets, n_contexts = len(m.target) - 1 - bilinear.REST, len(m.context) - 1 - bilinear.REST
+    assert (n_targets, n_contexts) == (min(150, learned.counts.words), 40) and len(order) > n_targets
+
+    def place(w, n):
+        if w == b"\n":
+            return 0
+        at = order.index(w) if w in c else n
+        return 1 + at if at < n else 1 + n + bilinear.rest_class(w)
+
+    in_rest = Counter()
+    for w in order[n_targets:]:
+        in_rest[bilinear.rest_class(w)] += c[w] + 1
+
+    def probability(w, one, two):
+        x = m.context[place(one, n_contexts)] * m.near + m.context[place(two, n_contexts)] * m.far
+        logits = m.target.astype(float) @ x.astype(float) + m.bias
+        share = np.exp(logits - logits.max())
+        k = place(w, n_targets)
+        inside = (c[w] + 1) / (in_rest[bilinear.rest_class(w)] + 1) if k > n_targets else 1
+        return share[k] / share.sum() * inside
+
+    unseen = {}
+    for k in range(5000):
+        unseen.setdefault(bilinear.rest_class(b"?%d" % k), b"?%d" % k)
+    assert len(unseen) == bilinear.REST
+    for one, two in ((b"\n", b"\n"), (b"w1", b"\n"), (b"w299", b"w7"), (b"never", b"w2")):
+        assert abs(sum(probability(w, one, two) for w in [*c, *unseen.values()]) - 1) < 1e-6
+    got = dict(bilinear.score_with(frame, learned).select("doc_id", "score").collect())
+    for i, t in rows[::9] + rows[-3:]:
+        ws = [b"\n", b"\n", *(t or "").encode().split(), b"\n"]
+        want = sum(math.log10(probability(w, one, two)) for two, one, w in zip(ws, ws[1:], ws[2:]))
+        assert abs(want - got[i]) < 1e-3 * max(1, abs(want)), i
 
 
 def test_language_model_learns_context(spark):
