@@ -34,7 +34,7 @@ from . import common
 
 #: Words with a vector of their own as targets and as contexts, and what all others are parted into by their last letters.
 TARGETS, CONTEXTS, REST = 20_000, 960, 63
-WIDTH, NOISE, ROUNDS, BATCH, RATE = 32, 64, 2, 1024, 0.1
+WIDTH, NOISE, ROUNDS, BATCH, RATE = 64, 128, 2, 1024, 0.07
 #: Most frequent words that the executors get with their counts.
 FREQUENT = 50_000
 #: Distinct words that a task holds before it sends their counts.
