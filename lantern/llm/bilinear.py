@@ -42,9 +42,11 @@ HELD_WORDS = 300_000
 END = b"\n"
 
 
-def rest_class(word: bytes) -> int:
-    tail = word[-3:]
-    return (int.from_bytes(tail, "big") * 2654435761 >> 16) % REST
+def rest_classes(words: Iterable[bytes]) -> np.ndarray:
+    """For each word the number of its rest, by its last three bytes."""
+    tails = np.frombuffer(b"".join([w[-3:].rjust(3, b"\0") for w in words]), np.uint8).reshape(-1, 3).astype(np.uint64)
+    number = (tails[:, 0] << np.uint64(16)) + (tails[:, 1] << np.uint64(8)) + tails[:, 2]
+    return ((number * np.uint64(2654435761) >> np.uint64(16)) % np.uint64(REST)).astype(np.int32)
 
 
 def tokens_of(texts: list[bytes]) -> list[list[bytes]]:
@@ -105,10 +107,12 @@ def gather(words: DataFrame) -> Counts:
     def masses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((REST + 1, 4), np.int64)  # the last row: all words
         for batch in batches:
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found[REST, 2:] += 1, c
-                if w != END and w not in own:
-                    found[rest_class(w), :2] += c + 1, c
+            all_words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            found[REST, 2:] += len(c), c.sum()
+            other = np.fromiter((w != END and w not in own for w in all_words), bool, len(c))
+            rest = rest_classes(all_words)[other]
+            np.add.at(found[:, 0], rest, c[other] + 1)
+            np.add.at(found[:, 1], rest, c[other])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(REST + 1)), *(pa.array(np.ascontiguousarray(found[:, j])) for j in range(4))], ["k", "mass", "tokens", "seen", "n"])
 
     rows = common.arrow_map(words, masses, "k long, mass long, tokens long, seen long, n long").groupBy("k").agg(*(F.sum(c).alias(c) for c in ("mass", "tokens", "seen", "n"))).collect()
@@ -163,33 +167,47 @@ class Trainer:
         self.moved = {name: np.full(len(getattr(model, name)), 1e-2, np.float32) for name in ("context", "target", "bias")}
         self.moved |= {name: np.full(1, 1e-2, np.float32) for name in ("near", "far")}
 
-    def _move(self, name: str, where: np.ndarray, rows: np.ndarray) -> None:
-        """Add up rows by where, and go that way."""
-        value, moved = getattr(self.model, name), self.moved[name]
-        order = np.argsort(where, kind="stable")
+    def _move(self, where: np.ndarray, **rows: np.ndarray) -> None:
+        """Add up the rows of each named part by where, and go that way."""
+        order = np.argsort(where.astype(np.uint16 if len(self.model.target) < 1 << 16 else np.int32), kind="stable")  # short numbers sort by radix
         at = where[order]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        at, total = at[first], np.add.reduceat(rows[order], first, axis=0)
-        moved[at] += np.einsum("ij,ij->i", total, total) / total.shape[1] if total.ndim == 2 else total * total
-        scale = self.rate / np.sqrt(moved[at])
-        value[at] += total * (scale[:, None] if total.ndim == 2 else scale)
+        at = at[first]
+        for name, values in rows.items():
+            value, moved = getattr(self.model, name), self.moved[name]
+            total = np.add.reduceat(values.take(order, axis=0), first, axis=0)
+            moved[at] += np.einsum("ij,ij->i", total, total) / WIDTH if total.ndim == 2 else total * total
+            scale = self.rate / np.sqrt(moved[at])
+            total *= scale[:, None] if total.ndim == 2 else scale
+            value[at] += total
 
     def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, noise: np.ndarray) -> None:
         """one, two: the context before and the one before that; noise: drawn targets, shared by the batch."""
-        m, log_noise = self.model, self.log_noise
-        a, b = m.context[one], m.context[two]
-        predicted = a * m.near + b * m.far
-        q, drawn = m.target[target], m.target[noise]
+        m, log_noise, n = self.model, self.log_noise, len(target)
+        a, b = m.context.take(one, axis=0), m.context.take(two, axis=0)
+        predicted = a * m.near
+        predicted += b * m.far
+        q, drawn = m.target.take(target, axis=0), m.target[noise]
         real = np.einsum("ij,ij->i", predicted, q) + (m.bias[target] - log_noise[target])
-        fake = predicted @ drawn.T + (m.bias[noise] - log_noise[noise])
-        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # towards 1
-        down = 1 / (1 + np.exp(np.clip(-fake, -30, 30)))  # towards 0
-        to_predicted = up[:, None] * q - down @ drawn
-        self._move("target", np.concatenate([target, noise]), np.concatenate([up[:, None] * predicted, -(down.T @ predicted)]))
-        self._move("bias", np.concatenate([target, noise]), np.concatenate([up, -down.sum(axis=0)]))
-        self._move("context", np.concatenate([one, two]), np.concatenate([to_predicted * m.near, to_predicted * m.far]))
-        for name, rows in (("near", a), ("far", b)):
-            way = np.einsum("ij,ij->j", to_predicted, rows)
+        down = predicted @ -drawn.T
+        down -= m.bias[noise] - log_noise[noise]
+        with np.errstate(over="ignore"):  # an infinite exponential is a share of 0
+            up = 1 / (1 + np.exp(real))  # towards 1
+            np.exp(down, out=down)
+        down += 1
+        np.reciprocal(down, out=down)  # towards 0
+        q *= up[:, None]
+        to_predicted = np.subtract(q, down @ drawn, out=q)
+        rows = np.empty((n + len(noise), WIDTH), np.float32)
+        np.matmul(down.T, -predicted, out=rows[n:])
+        np.multiply(up[:, None], predicted, out=rows[:n])
+        near, far = np.einsum("ij,ij->j", to_predicted, a), np.einsum("ij,ij->j", to_predicted, b)
+        both = np.empty((2 * n, WIDTH), np.float32)
+        np.multiply(to_predicted, m.near, out=both[:n])
+        np.multiply(to_predicted, m.far, out=both[n:])
+        self._move(np.concatenate([target, noise]), target=rows, bias=np.concatenate([up, -down.sum(axis=0)]))
+        self._move(np.concatenate([one, two]), context=both)
+        for name, way in (("near", near), ("far", far)):
             self.moved[name] += way @ way / WIDTH
             value = getattr(m, name)
             value += self.rate / 10 * way / np.sqrt(self.moved[name])
@@ -200,7 +218,7 @@ class Codes:
 
     def __init__(self, counts: Counts):
         self.number = {w: i for i, w in enumerate(counts.frequent)}
-        rest = np.array([rest_class(w) for w in counts.frequent] or [0], np.int32)
+        rest = rest_classes(counts.frequent or [b""])
         at = np.arange(len(rest), dtype=np.int32)
         self.targets, self.contexts = counts.words, min(CONTEXTS, counts.words)
         # the last two stand for the end and for what is worked out
@@ -217,7 +235,7 @@ class Codes:
         rare = [words[i] for i in np.flatnonzero(got == -2).tolist()]
         unknown = numbers == -2
         target, context = self.target[numbers], self.context[numbers]
-        rest = np.fromiter(map(rest_class, rare), np.int32, len(rare))
+        rest = rest_classes(rare)
         target[unknown] = 1 + self.targets + rest
         context[unknown] = 1 + self.contexts + rest
         return numbers, target, context, np.concatenate([[0], ends + np.arange(1, len(parts) + 1)]), rare
@@ -334,7 +352,6 @@ def score_with(docs: DataFrame, learned: Learned) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, norm, log_mass, codes = sent.value
-        shift = float(np.log10(size))
         for batch in common.pieces(batches):
             parts = tokens_of(common.cut_rows(*common.column_bytes(batch.column(2))))
             numbers, target, context, starts, rare = codes.tokens(parts)
@@ -347,23 +364,23 @@ def score_with(docs: DataFrame, learned: Learned) -> DataFrame:
             first = starts[:-1]
             sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), logs, by_target)]
             n = np.diff(starts)
-            owner = np.repeat(np.arange(len(n)), n)[unknown]
-            times = Counter(zip(owner.tolist(), rare))
-            rows_ = batch.column(0).to_pylist()
-            out = [*zip(rows_, batch.column(1).to_pylist(), n.tolist(), sums[0].tolist(), sums[1].tolist(), (-shift * n).tolist(), sums[2].tolist(), repeat(None), repeat(0))]
-            out.extend((rows_[r], None, 0, 0, 0.0, 0.0, 0.0, w, c) for (r, w), c in times.items())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], _NAMES)
-
-    parts = common.written(common.arrow_map(rows, run, "row long, doc_id long, n_tokens long, n_known long, logs double, shift double, by_target double, word binary, c long"), "scores")
-    rare = parts.where("word is not null").select("row", "word", F.col("c").alias("times")).join(learned.words, "word")
+            # rare words by text: each text's distinct ones and how often they stand there
+            numbered: dict[bytes, int] = {}
+            which = np.fromiter((numbered.setdefault(w, len(numbered)) for w in rare), np.int64, len(rare))
+            keys, times = np.unique((np.repeat(np.arange(len(n)), n)[unknown] << 32) + which, return_counts=True)
+            edges = pa.array(np.searchsorted(keys >> 32, np.arange(len(n) + 1)), pa.int32())
+            words = pa.ListArray.from_arrays(edges, pa.array([*numbered], pa.binary()).take(pa.array(keys & 0xFFFFFFFF)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (n, *sums)), words, pa.ListArray.from_arrays(edges, pa.array(times))], _NAMES)
+
+    parts = common.written(common.arrow_map(rows, run, "row long, doc_id long, n_tokens long, n_known long, logs double, by_target double, words array<binary>, times array<long>"), "scores")
+    rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("e")).select("row", F.col("e.words").alias("word"), F.col("e.times").alias("times")).join(learned.words, "word")
     found = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
-    out = parts.where("word is null").join(found, "row", "left")
+    out = parts.drop("words", "times").join(found, "row", "left")
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
     return out.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(counts.total).cast("long").alias("train_tokens"),
-        (logs + F.col("shift")).alias("base_score"), (logs + F.col("by_target")).alias("score"),
+        (logs - F.col("n_tokens") * float(np.log10(size))).alias("base_score"), (logs + F.col("by_target")).alias("score"),
     )
 
 
-_NAMES = ["row", "doc_id", "n_tokens", "n_known", "logs", "shift", "by_target", "word", "c"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
+_NAMES = ["row", "doc_id", "n_tokens", "n_known", "logs", "by_target", "words", "times"]
