@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cmp_to_key
 
 import numpy as np
@@ -14,7 +14,7 @@ from ..session import ship_package
 
 # Fixed values of the models' contract.
 THRESHOLD, BOX_SCORE, MIN_SIDE, EXPAND = 0.3, 0.5, 3, 0.3
-MAX_SIDE, MULTIPLE, LINE_HEIGHT, MAX_WIDTH, MIN_WIDTH = 960, 32, 48, 1600, 4
+MAX_SIDE, MULTIPLE, LINE_HEIGHT, MAX_WIDTH, MIN_WIDTH, MIN_CROP = 960, 32, 48, 1600, 4, 2
 
 
 def ctc_ids(steps: Column) -> Column:
@@ -55,6 +55,80 @@ def pack_lines(lines: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Rows by columns by bytes at another size, by the four nearest pixels' centres."""
+
+    def places(old: int, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0, old - 1)
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, old - 1), (at - low).astype(np.float32)
+
+    (y0, y1, fy), (x0, x1, fx) = places(image.shape[0], height), places(image.shape[1], width)
+    fx, fy = fx[None, :, None], fy[:, None, None]
+    rows = image[y0].astype(np.float32) * (1 - fy) + image[y1].astype(np.float32) * fy
+    return np.rint(rows[:, x0] * (1 - fx) + rows[:, x1] * fx).astype(np.uint8)
+
+
+def detection_input(rgba: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Planes for the detector, and the scale of columns and rows back to the image."""
+    h, w = rgba.shape[:2]
+    scale = min(1.0, MAX_SIDE / max(w, h))
+    nw, nh = (max(MULTIPLE, int(np.floor(x * scale + 0.5)) // MULTIPLE * MULTIPLE) for x in (w, h))
+    return normalise_chw(resize(rgba, nw, nh)), w / nw, h / nh
+
+
+def line_inputs(rgba: np.ndarray, boxes: list[dict]) -> list[np.ndarray]:
+    """Planes of each box's pixels at the recogniser's height; boxes with less than two pixels a side inside the image are dropped."""
+    out = []
+    for b in boxes:
+        part = rgba[b["y"] : b["y"] + b["h"], b["x"] : b["x"] + b["w"]]
+        h, w = part.shape[:2]
+        if min(h, w) >= MIN_CROP:
+            out.append(normalise_chw(resize(part, min(MAX_WIDTH, max(MIN_WIDTH, int(np.floor(w * LINE_HEIGHT / h + 0.5)))), LINE_HEIGHT)))
+    return out
+
+
+Detector = Callable[[np.ndarray], np.ndarray]
+Recogniser = Callable[[np.ndarray], np.ndarray]
+
+
+def read_image(rgba: np.ndarray, detect: Detector, recognise: Recogniser, dictionary: list[str]) -> str:
+    """Lines of text in an image. detect: planes to a map of probabilities; recognise: packed lines to logits of lines, steps, classes.
+
+    An image that can't be read gives an empty text.
+    """
+    try:
+        planes, sx, sy = detection_input(rgba)
+        lines = line_inputs(rgba, boxes_of(np.asarray(detect(planes)), sx, sy))
+        found = []
+        for steps in np.asarray(recognise(pack_lines(lines))) if lines else ():
+            best = steps.argmax(axis=1)
+            first = np.concatenate([[True], best[1:] != best[:-1]])
+            found.append("".join(dictionary[c - 1] for c in best[first & (best > 0)].tolist() if c <= len(dictionary)).strip())
+        return "\n".join(t for t in found if t)
+    except (ValueError, IndexError, TypeError, ArithmeticError, RuntimeError, OSError):  # damaged pixels, or a model that refuses them
+        return ""
+
+
+def read_images(images: DataFrame, keys: list[str], models: Callable[[], tuple[Detector, Recogniser, list[str]]]) -> DataFrame:
+    """images: keys, h, w, rgba (h * w * 4 bytes). keys, text. models is called once in each task, where the sessions are made."""
+    ship_package(images.sparkSession)
+    n = len(keys)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = None
+        for batch in batches:
+            ready = ready or models()
+            texts = []
+            for h, w, data in zip(*(c.to_pylist() for c in batch.columns[n:])):
+                whole = data is not None and h and w and len(data) == h * w * 4
+                texts.append(read_image(np.frombuffer(data, np.uint8).reshape(h, w, 4), *ready) if whole else "")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], [*keys, "text"])
+
+    key_types = ", ".join(f"{k} {images.schema[k].dataType.simpleString()}" for k in keys)
+    return images.select(*keys, "h", "w", "rgba").mapInArrow(run, f"{key_types}, text string")
+
+
 def label_components(mask: np.ndarray) -> tuple[np.ndarray, int]:
     """4-connected components by runs of rows and union of touching runs."""
     h, w = mask.shape

@@ -154,6 +154,24 @@ def latest_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.latest(_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id").select("user_id", "event_id", "event_type")
 
 
+def reconnect_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of a user as one more failed attempt to connect; users with odd numbers had been connected before."""
+    attempt = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", attempt.alias("attempt"))
+    return events.select("event_id", "attempt", live.reconnect_delay_ms(F.col("attempt"), F.col("user_id") % 2 == 1).alias("delay_ms"))
+
+
+def request_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a request that the user's next event answers if it comes within 3,600 units (seconds stand for milliseconds); whether the text is sent again."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    seconds = F.col("ts").cast("timestamp").cast("double")
+    events = _table(spark, sf_dir, "events").select("event_id", "event_type", F.lag("event_type").over(w).alias("before"), F.floor(F.lead(seconds).over(w) - seconds).alias("wait"))
+    up = F.col("event_id") % 5 != 0
+    state = live.status(F.lit(0), F.coalesce("wait", F.lit(0)), F.coalesce(F.col("wait") < 3600, F.lit(False)), up)
+    rows = events.select("event_id", "event_type", "before", "wait", state.alias("state"))
+    return rows.select("event_id", "state", live.to_send(F.col("event_type"), F.col("before"), F.col("state"), F.col("wait")).alias("action"))
+
+
 def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as requests; a third have no response, a seventh two. Only responses to a user's latest request count."""
     events = _table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("request_id"), "event_type")
@@ -298,7 +316,7 @@ def queries() -> dict[str, Query]:
         "nik_runs": nik_runs, "raw_pattern_hits": raw_pattern_hits, "context_gated": context_gated, "context_spans": context_spans, "sampled_risk": sampled_risk, "postcode_overlaps": postcode_overlaps,
         "html_text": html_text, "html_findings": html_findings, "file_routes": file_routes, "file_sets": file_sets,
         "source_groups": source_groups, "conversation_risk": conversation_risk, "risk_by_source_lang": risk_by_source_lang, "quality_vs_risk": quality_vs_risk, "windowed_findings": windowed_findings,
-        "debounced_events": debounced_events, "changed_events": changed_events, "latest_request": latest_request, "answered_requests": answered_requests, "submit_gate": submit_gate, "history_top50": history_top50,
+        "debounced_events": debounced_events, "changed_events": changed_events, "latest_request": latest_request, "answered_requests": answered_requests, "reconnect_delays": reconnect_delays, "request_states": request_states, "submit_gate": submit_gate, "history_top50": history_top50,
         "softmax_argmax": softmax_argmax, "ctc_decode": ctc_decode, "word_tags": word_tags, "bio_islands": bio_islands,
         "ocr_repair": ocr_repair, "ocr_normalized": ocr_normalized, "nearest_highlight": nearest_highlight, "utf16_offsets": utf16_offsets, "weight_by_severity": weight_by_severity,
     }
@@ -441,6 +459,8 @@ wd AS (SELECT vec_id, CAST(word_id AS INTEGER) AS word_id, tag, CASE WHEN tag =
         "debounced_events": "SELECT event_id, user_id, event_type FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) WHERE nx IS NULL OR epoch(nx) - epoch(ts) >= 3600",
         "changed_events": "SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER w AS b, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n = 1 OR b IS DISTINCT FROM event_type",
         "latest_request": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
+        "reconnect_delays": "WITH a AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events) SELECT event_id, CAST(attempt AS INTEGER) AS attempt, CAST(least(5000, (CASE WHEN user_id % 2 = 1 THEN 800 ELSE 400 END) * pow(2, least(8, greatest(attempt - 2, 0)))) AS INTEGER) AS delay_ms FROM a",
+        "request_states": "WITH a AS (SELECT event_id, event_type, lag(event_type) OVER w AS before, CAST(floor(lead(epoch(ts)) OVER w - epoch(ts)) AS BIGINT) AS wait FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT *, CASE WHEN wait < 3600 THEN 'ok' WHEN event_id % 5 = 0 THEN 'offline' WHEN coalesce(wait, 0) >= 12000 THEN 'error' ELSE 'pending' END AS state FROM a) SELECT event_id, state, CASE WHEN state IN ('offline', 'error') AND wait >= 3000 AND trim(event_type) <> '' THEN 'probe' WHEN event_type IS DISTINCT FROM before THEN 'send' ELSE 'skip' END AS action FROM b",
         "answered_requests": "WITH n AS (SELECT user_id, event_id AS request_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events), l AS (SELECT * FROM n WHERE k = 1) SELECT user_id, request_id, event_type, CAST(1 AS INTEGER) AS part FROM l WHERE request_id % 3 <> 0 UNION ALL SELECT user_id, request_id, event_type, CAST(2 AS INTEGER) FROM l WHERE request_id % 7 = 0",
         "submit_gate": found + docs + f" SELECT doc_id, CASE WHEN length({_TEXT}) = 0 THEN true WHEN doc_id % 11 = 0 THEN false WHEN doc_id % 5 IN (1, 3) THEN false WHEN doc_id % 7 = 0 AND text <> 'before' THEN false ELSE score < 20 END AS allowed FROM a",
         "history_top50": found + docs + " SELECT doc_id, score, level, finding_count FROM a WHERE finding_count > 0 ORDER BY doc_id DESC LIMIT 50",

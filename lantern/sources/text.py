@@ -136,6 +136,19 @@ def extract(files: DataFrame, readers: dict[str, Callable[[bytes], tuple[str, li
     return got.withColumn("text", js_trim(text))
 
 
+def extract_once(files: DataFrame, same: list[str], readers: dict[str, Callable[[bytes], tuple[str, list[str]]]] | None = None) -> DataFrame:
+    """``extract`` for files of which many are alike: those with equal ``same`` (columns such as label, length and time) are read once.
+
+    files: path, label, mime, content and the columns of same. Rows of the result are those of files; nulls in same count as equal.
+    Contents are shuffled once, by the key; the texts come back by a join on it.
+    """
+    keyed = files.withColumn("_key", F.sha2(F.to_json(F.struct(*same), {"ignoreNullFields": "false"}), 256))
+    first = keyed.groupBy("_key").agg(F.min_by(F.struct("label", "mime", "content"), "path").alias("_f"))
+    read = extract(first.select(F.col("_key").alias("path"), "_f.label", "_f.mime", "_f.content"), readers)
+    texts = read.select(F.col("path").alias("_key"), "route", "text", "warnings")
+    return keyed.select("path", "label", "_key").join(texts, "_key").select("path", "label", "route", "text", "warnings")
+
+
 def parse_dict(text: str) -> list[str]:
     """One entry a line; Windows line ends, entries of white space, and one empty line at the end are allowed for."""
     lines = re.split("\r?\n", text)

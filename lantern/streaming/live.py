@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 TEXT_DEBOUNCE_MS, FILE_DEBOUNCE_MS, TIMEOUT_MS, RETRY_MS = 300, 500, 12_000, 3_000
+RECONNECT_MS, MOST_RECONNECT_MS = 400, 5_000
 
 
 def debounced(events: DataFrame, key: str, ts: str, gap_seconds: float, tie: str) -> DataFrame:
@@ -45,6 +46,73 @@ def status(asked_ms: Column, now_ms: Column, answered_: Column, assessor_up: Col
     return F.when(answered_, "ok").when(~assessor_up, "offline").when(now_ms - asked_ms >= TIMEOUT_MS, "error").otherwise("pending")
 
 
+def to_send(text: Column, last_sent: Column, state: Column, since_probe_ms: Column) -> Column:
+    """send if the text isn't what was sent last, probe if it is but the assessor was away and hasn't been tried for a while, else skip."""
+    probe = (F.trim(text) != "") & state.isin("offline", "error") & (since_probe_ms >= RETRY_MS)
+    return F.when(F.coalesce(probe, F.lit(False)), "probe").when(~text.eqNullSafe(last_sent), "send").otherwise("skip")
+
+
+def reconnect_delay_ms(attempt: Column, again: Column) -> Column:
+    """Wait before the attempt (1, 2, ...) to connect; again: the lost connection was itself a reconnection, which doubles the start.
+
+    The delay is doubled after an attempt's failure has already planned the next one, so the first two waits are equal.
+    """
+    start = F.when(again, 2 * RECONNECT_MS).otherwise(RECONNECT_MS)
+    # the limit is reached after five attempts; more doublings would only run out of bits
+    doublings = F.least(F.greatest(attempt - 2, F.lit(0)), F.lit(8)).cast("int")
+    return F.least(F.lit(MOST_RECONNECT_MS), (start * F.pow(F.lit(2), doublings)).cast("int"))
+
+
+class Timeout(StatefulProcessor):
+    """Gives out ok when the latest request of a key is answered, error when it isn't in time; stale answers give nothing."""
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", StructType([StructField("request_id", LongType()), StructField("status", StringType())]))
+
+    def _forget_timers(self) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        asked, answers = [], set()
+        for frame in rows:
+            for kind, request in zip(frame["kind"].tolist(), frame["request_id"].tolist()):
+                asked.append(int(request)) if kind == "request" else answers.add(int(request))
+        newest, state = self.latest.get() if self.latest.exists() else (None, None)
+        if asked and (newest is None or max(asked) > newest):
+            newest, state = max(asked), "pending"
+            self._forget_timers()
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+            self.latest.update((newest, state))
+        if state == "pending" and newest in answers:
+            self._forget_timers()
+            self.latest.update((newest, "ok"))
+            yield pd.DataFrame({"key": [key[0]], "request_id": [newest], "status": ["ok"]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.latest.exists():
+            request, state = self.latest.get()
+            if state == "pending":
+                self.latest.update((request, "error"))
+                yield pd.DataFrame({"key": [key[0]], "request_id": [request], "status": ["error"]})
+
+    def close(self) -> None:
+        pass
+
+
+def timeout_stream(messages: DataFrame, wait_ms: int = TIMEOUT_MS) -> DataFrame:
+    """messages: key long, request_id long, kind string (request or answer). Needs the RocksDB state store."""
+    return (
+        messages.select(F.col("key").cast("long"), F.col("request_id").cast("long"), F.col("kind").cast("string"))
+        .groupBy("key")
+        .transformWithStateInPandas(Timeout(wait_ms), "key long, request_id long, status string", "Update", "ProcessingTime")
+    )
+
+
 class Debounce(StatefulProcessor):
     """Keeps the latest text of a key and gives it out when it has been left alone for a while and isn't what was given out before."""
 
