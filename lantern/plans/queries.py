@@ -233,19 +233,22 @@ def ocr_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 13-digit number in a sentence with or without a bank word near it, for each document."""
+    """Accounts in whole texts, each followed by a 13-digit number in a sentence with or without a bank word near it."""
     number = F.concat(F.lit("9"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
     word = F.element_at(F.array(*map(F.lit, ["bank account", "order", "rekening", "parcel", "BANK"])), (F.col("doc_id") % 5 + 1).cast("int"))
     gap = F.repeat(F.lit("x "), (F.col("doc_id") % 60).cast("int"))
-    docs = _documents(spark, sf_dir).select("doc_id", F.concat(word, F.lit(" "), gap, number).alias("text"))
+    docs = _documents(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), word, F.lit(" "), gap, number).alias("text"))
     found = assess.findings_rows(assess.scan(docs, patterns=_only("BANK_ACCT")), ["doc_id"])
     return found.select("doc_id", "value", "start_index")
 
 
 def postcode_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings that overlap: a national number, an account and a card that are the same digits; the earliest pattern wins."""
+    """Findings of whole texts and of a line after them that overlap: a national number, an account and a card that are the same digits; the earliest pattern wins.
+
+    sources is empty for a finding that no other overlaps.
+    """
     digits = F.concat(F.lit("4111"), F.lpad((F.col("doc_id") * 104729 % 1000000000000).cast("string"), 12, "0"))
-    docs = _documents(spark, sf_dir).select("doc_id", F.concat(F.lit("nik bank "), digits).alias("text"))
+    docs = _documents(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\nnik bank "), digits).alias("text"))
     found = assess.findings_rows(assess.assess(docs, ["doc_id"]), ["doc_id"])
     return found.select("doc_id", "type", "value", F.concat_ws(",", "detector_sources").alias("sources"))
 
@@ -275,9 +278,10 @@ def nearest_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def utf16_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of addresses in whole texts that start with some characters of two units."""
     from ..functions.dialect import to_utf16_offset
 
-    docs = _documents(spark, sf_dir).select("doc_id", F.concat(F.repeat(F.lit("😀"), (F.col("doc_id") % 4).cast("int")), F.lit("a@b.co")).alias("text"))
+    docs = _documents(spark, sf_dir).select("doc_id", F.concat(F.repeat(F.lit("😀"), (F.col("doc_id") % 4).cast("int")), F.coalesce("text", F.lit("")), F.lit(" a@b.co")).alias("text"))
     found = assess.findings_rows(assess.scan(docs, patterns=_only("EMAIL")), ["doc_id"]).join(docs, "doc_id")
     return found.select("doc_id", "start_index", to_utf16_offset(F.col("text"), F.col("start_index")).alias("utf16_index"))
 
@@ -389,6 +393,7 @@ a AS (SELECT d.*, coalesce(score, 0) AS score, coalesce(finding_count, 0) AS fin
 
 #: Trailing and leading white space doesn't occur in documents but for line breaks, which both sides trim.
 _DOCS = "documents"
+_ASTRAL = "(SELECT doc_id, repeat('😀', CAST(doc_id % 4 AS INT)) || coalesce(text, '') || ' a@b.co' AS text FROM documents)"
 _TURNS = "(SELECT conv_id, turn, conv_id || '/' || turn AS id, coalesce(text, '') || (['" + "', '".join(TAILS) + "'])[CAST(turn % 4 + 1 AS INT)] AS text FROM conversations)"
 _TEXT = "trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')"
 
@@ -436,8 +441,8 @@ wd AS (SELECT vec_id, CAST(word_id AS INTEGER) AS word_id, tag, CASE WHEN tag =
         "highlights": found + " SELECT doc_id, start_index, end_index, CASE WHEN severity IN ('critical', 'high') THEN severity ELSE 'medium' END AS bucket FROM f",
         "nik_runs": f"WITH h AS (SELECT doc_id, regexp_extract_all({_TEXT}, '[0-9]+') AS m, string_split_regex({_TEXT}, '[0-9]+') AS s FROM documents), r AS (SELECT doc_id, m[i] AS value, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS start_index FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM h)) SELECT doc_id, value, start_index FROM r WHERE length(value) = 16",
         "raw_pattern_hits": raw + " UNION ALL SELECT 'ID_NIK', CAST(sum(len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) = 16))) AS BIGINT) FROM documents",
-        "context_gated": f"SELECT doc_id, {number} AS value, CAST(length(w) + 1 + 2 * (doc_id % 60) AS INTEGER) AS start_index FROM (SELECT doc_id, (['bank account', 'order', 'rekening', 'parcel', 'BANK'])[CAST(doc_id % 5 + 1 AS INT)] AS w FROM documents) WHERE regexp_matches(substr(w || ' ' || repeat('x ', CAST(doc_id % 60 AS INT)), greatest(length(w) + 1 + 2 * (doc_id % 60) - 80, 0) + 1), '(?i)\\b(account|bank|rekening)\\b')",
-        "postcode_overlaps": f"SELECT doc_id, 'ID_NIK' AS type, {digits16} AS value, 'regex' AS sources FROM documents",
+        "context_gated": _found_sql(f"(SELECT doc_id, coalesce(text, '') || chr(10) || w || ' ' || repeat('x ', CAST(doc_id % 60 AS INT)) || {number} AS text FROM (SELECT *, (['bank account', 'order', 'rekening', 'parcel', 'BANK'])[CAST(doc_id % 5 + 1 AS INT)] AS w FROM documents))", "doc_id", _TEXT, ["BANK_ACCT"], False) + " SELECT doc_id, value, start_index FROM f",
+        "postcode_overlaps": _found_sql(f"(SELECT doc_id, coalesce(text, '') || chr(10) || 'nik bank ' || {digits16} AS text FROM documents)", "doc_id", _TEXT) + " SELECT doc_id, type, value, CASE WHEN EXISTS (SELECT 1 FROM f0 b WHERE b.doc_id = f.doc_id AND b.start_index < f.end_index AND f.start_index < b.end_index AND b.o <> f.o) THEN 'regex' ELSE '' END AS sources FROM f",
         "html_text": f"SELECT page_id, {pages_text} AS text FROM pages",
         "html_findings": _found_sql(pages, "page_id", _TEXT) + " SELECT page_id, type, value FROM f",
         "file_routes": "WITH p AS (SELECT page_id, 'f' || page_id || (['.html', '.txt', '.pdf', '.docx', '.jpeg', '.exe'])[CAST(page_id % 6 + 1 AS INT)] AS name, (['html', 'text', 'pdf', 'docx', 'image', 'unsupported'])[CAST(page_id % 6 + 1 AS INT)] AS route, length(html) * 1000 AS size FROM pages) SELECT page_id, name, route, route <> 'unsupported' AND size <= 8388608 AS admitted FROM p",
@@ -471,6 +476,6 @@ wd AS (SELECT vec_id, CAST(word_id AS INTEGER) AS word_id, tag, CASE WHEN tag =
         "ocr_repair": "SELECT doc_id, md5(translate(text, 'OoIl|!''SsBb', '00111115588')) AS repaired_md5 FROM documents",
         "ocr_normalized": f"SELECT doc_id, 'Nama NIK' || chr(10) || 'Budi3201234567' || n || chr(10) || 'HP +62.812.3456.' || substr(n, 1, 4) || chr(10) || 'NPWP: O1.234.567.8-' || substr(n, 1, 3) || '.OOO' || chr(10) || 'end' || chr(10) || chr(10) || 'OCR NORMALIZED' || chr(10) || 'NIK: 3201234567' || n || chr(10) || 'NO HP: +62 812 3456 ' || substr(n, 1, 4) || chr(10) || 'NPWP: 01.234.567.8-' || substr(n, 1, 3) || '.000' AS text FROM (SELECT doc_id, {n6} AS n FROM documents)",
         "nearest_highlight": "WITH y AS (SELECT doc_id, substr(coalesce(text, ''), 1, 101) AS a, substr(coalesce(text, ''), 102) AS b FROM documents), z AS (SELECT doc_id, length(a) - nullif(strpos(reverse(a), 'e'), 0) AS p1, 100 + nullif(strpos(b, 'e'), 0) AS p2 FROM y) SELECT doc_id, CAST(CASE WHEN p1 IS NULL OR 100 - p1 > p2 - 100 THEN p2 ELSE p1 END AS INTEGER) AS place FROM z",
-        "utf16_offsets": "SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS start_index, CAST(2 * (doc_id % 4) AS INTEGER) AS utf16_index FROM documents",
+        "utf16_offsets": _found_sql(_ASTRAL, "doc_id", _TEXT, ["EMAIL"], False) + rf", a AS (SELECT doc_id, {_TEXT} AS t FROM {_ASTRAL}) SELECT doc_id, start_index, CAST(start_index + length(regexp_replace(substr(t, 1, start_index), '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) AS INTEGER) AS utf16_index FROM f JOIN a USING (doc_id)",
         "weight_by_severity": "SELECT * FROM (VALUES ('critical', 40.0::DOUBLE, 'critical'), ('high', 25.0::DOUBLE, 'high'), ('medium', 12.0::DOUBLE, 'medium'), ('low', 5.0::DOUBLE, 'medium'), ('other', 5.0::DOUBLE, 'medium')) AS t(severity, weight, bucket)",
     }
