@@ -221,11 +221,12 @@ class ChunkEncoder:
     lowers letters: no word and no special string reaches across white space, and a word's ids are the same
     whatever punctuation follows and however its letters are written. Texts that may hold a special string go to the library whole.
 
-    Chunks are told apart by a 64-bit hash. Ids of known chunks lie one after the other in one array, from which the ids of a
-    batch are gathered at once. Of chunks over ``LONGEST`` bytes nothing is remembered, nor beyond ``REMEMBER`` chunks.
+    Chunks and words are told apart by a 64-bit hash: sorted arrays of hashes and slots, as dictionaries of a million objects would
+    take most of a worker's memory. Ids of what is known lie one after the other in one array, from which the ids of a
+    batch are gathered at once. Of chunks over ``LONGEST`` bytes nothing is remembered, nor beyond ``REMEMBER`` chunks and words.
     """
 
-    REMEMBER, LONGEST = 900_000, 48
+    REMEMBER, LONGEST = 2_000_000, 48
     ENDS = b".,!?;:"
 
     def __init__(self, path: str):
@@ -241,53 +242,71 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        #: Ids of words without their punctuation, and of punctuation.
-        self.words: dict[bytes, array] = {}
-        #: The slot of each chunk by its hash; slot i has flat[starts[i] : starts[i + 1]].
-        self.slots: dict[int, int] = {}
+        #: The hashes of known chunks and words in ascending order, and the slot of each; slot i has flat[starts[i] : starts[i + 1]].
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.starts = array("H" if self.width == 2 else "I"), array("q", [0])
 
-    def _learn(self, chunks: list[bytes]) -> Iterator[array]:
-        """The ids of each chunk."""
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.slots[at], -1)
+
+    def _append(self, ids: array) -> None:
+        self.flat.extend(ids)
+        self.starts.append(len(self.flat))
+
+    def _learn(self, chunks: list[bytes], hashes: np.ndarray, keep: int) -> tuple[np.ndarray, int]:
+        """Slots of chunks that aren't known, and how many slots there are to stay: those of the first ``keep`` chunks and of their words."""
         parts = []
         for c in chunks:
             word = c.rstrip(self.ENDS)
             # a letter may become a letter and a mark, which would go with the punctuation
             composed = 0 < len(word) < len(c) and unicodedata.normalize("NFC", word.decode()).lower()[-1].isalpha()
             parts.append((word, c[len(word) :]) if composed else (c,))
-        new = list(dict.fromkeys(w for own in parts for w in own if w not in self.words))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self.words[w] = array(self.flat.typecode, e.ids)
-        for own in parts:
-            yield self.words[own[0]] if len(own) == 1 else self.words[own[0]] + self.words[own[1]]
-        for w in new:
-            if len(w) > self.LONGEST:
-                del self.words[w]
+        words = list(dict.fromkeys(w for own in parts for w in own))
+        own_hashes = common.Words(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)])).hashes
+        slots = self._find(own_hashes)
+        new = np.flatnonzero(slots < 0).tolist()
+        ids = {words[i]: self.flat[self.starts[s] : self.starts[s + 1]] for i, s in enumerate(slots.tolist()) if s >= 0}
+        for i, e in zip(new, self.tokenizer.encode_batch_fast([words[i].decode() for i in new], add_special_tokens=False)):
+            ids[words[i]] = array(self.flat.typecode, e.ids)
+        first = len(self.starts) - 1
+        whole = [ids[own[0]] if len(own) == 1 else ids[own[0]] + ids[own[1]] for own in parts]
+        for x in whole[:keep]:
+            self._append(x)
+        # words that are no chunks of their own here
+        extra = [i for i, chunk in zip(new, np.isin(own_hashes[new], hashes).tolist()) if not chunk and len(words[i]) <= self.LONGEST]
+        for i in extra:
+            self._append(ids[words[i]])
+        for x in whole[keep:]:
+            self._append(x)
+        stay = first + keep + len(extra)
+        added = np.concatenate([hashes[:keep], own_hashes[extra]])
+        order = np.argsort(added)
+        at = np.searchsorted(self.hashes, added[order])
+        self.hashes, self.slots = np.insert(self.hashes, at, added[order]), np.insert(self.slots, at, first + order)
+        return np.concatenate([np.arange(first, first + keep), np.arange(stay, stay + len(chunks) - keep)]), stay
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where each text's begin and end), each text followed by ``end``."""
-        if len(self.slots) > self.REMEMBER:
+        if len(self.hashes) > self.REMEMBER:
             self._forget()
         words = common.Words(data, offsets)
         known, at, index = np.unique(words.hashes, return_index=True, return_inverse=True)
-        slot = np.fromiter(map(self.slots.get, known.tolist(), repeat(-1)), np.int64, len(known))
+        slot = self._find(known)
         size = words.ends[at] - words.starts[at]
         new = np.flatnonzero(slot < 0)
         new = new[np.argsort(size[new] > self.LONGEST, kind="stable")]  # those to be forgotten come last
         keep = int((size[new] <= self.LONGEST).sum())
         low = common.LOWER[data].tobytes()
         chunks = [low[a:b] for a, b in zip(words.starts[at[new]].tolist(), words.ends[at[new]].tolist())]
-        first, long_from = len(self.starts) - 1, 0
-        for i, ids in enumerate(self._learn(chunks)):
-            if i == keep:
-                long_from = len(self.flat)
-            self.flat.extend(ids)
-            self.starts.append(len(self.flat))
-        slot[new] = first + np.arange(len(new))
-        self.slots.update(zip(known[new[:keep]].tolist(), slot[new[:keep]].tolist()))
+        stay = len(self.starts) - 1
+        if len(new):
+            slot[new], stay = self._learn(chunks, known[new], keep)
         # the ends as one more chunk after each text's
-        self.flat.extend(end)
-        self.starts.append(len(self.flat))
+        self._append(end)
         order = np.insert(slot[index], words.first[1:], len(self.starts) - 2)
         starts, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat, f"u{self.flat.itemsize}")
         length = np.diff(starts)[order]
@@ -295,12 +314,8 @@ class ChunkEncoder:
         ids = flat[np.arange(reach[-1] if len(reach) else 0) + np.repeat(starts[order] - reach + length, length)]
         bounds = np.concatenate([[0], reach[words.first[1:] + np.arange(len(offsets) - 1)]]).astype(np.int64)
         del starts, flat  # the arrays can't shrink while they are looked at
-        if keep < len(new):
-            del self.flat[long_from:]
-            del self.starts[first + keep + 1 :]
-        else:
-            del self.flat[len(self.flat) - len(end) :]
-            self.starts.pop()
+        del self.flat[self.starts[stay] :]
+        del self.starts[stay + 1 :]
         return self._whole_texts(data, offsets, end, ids, bounds)
 
     def _whole_texts(self, data: np.ndarray, offsets: np.ndarray, end: list[int], ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -217,6 +218,21 @@ def test_sstable_chunks_equal_whole_texts():
     assert own.encode(np.zeros(0, np.uint8), np.zeros(3, np.int64), [7])[0].tolist() == [7, 7]
 
 
+def test_sstable_remembered_chunks_are_small():
+    """What is known takes some tens of bytes a chunk, or a worker's memory is full of it."""
+    own = sstable.ChunkEncoder(queries.WORD_VOCAB)
+    rows = [f"{i:x}g{i * 7919:x}".encode() for i in range(60_000)]
+    tracemalloc.start()
+    try:
+        for k in range(0, len(rows), 5_000):
+            data = b" ".join(rows[k : k + 5_000])
+            own.encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]), [1])
+        common.Words._up = common.Words._down = np.zeros(0, np.uint64)
+        assert tracemalloc.get_traced_memory()[0] < 100 * len(rows)
+    finally:
+        tracemalloc.stop()
+
+
 def test_sstable_one_identifier_in_many_rows(spark, tmp_path):
     """Two identifiers, one of them null, that have most rows: they take several shards."""
     rows = [(None if i % 3 else i, words(random.Random(i), 20)) for i in range(200)] + [(7, words(random.Random(i), 20)) for i in range(300)]
