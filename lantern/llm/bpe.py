@@ -19,6 +19,7 @@ doc_ids are encoded each for itself. Very long words cost time and memory in pro
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -36,7 +37,7 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 _ODD = regex.compile(r"[^\S \n]|  | \n|\n |^ | $")
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 #: Pieces and words that a worker remembers at most; then it forgets all.
-REMEMBER = 250_000
+REMEMBER = 600_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -46,6 +47,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """(decimal ids, raw ids) of pieces, by what follows the space that each begins with; a piece that isn't known is encoded."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, part: str) -> tuple[str, bytes]:
+        got = self.encode(" " + part)
+        if len(part) < 64:
+            if len(self) > REMEMBER:
+                self.clear()
+            self[part] = got
+        return got
+
+
 class ByteBpe:
     """Tables of a byte-level BPE vocabulary in the tokenizers library's JSON format."""
 
@@ -86,8 +103,8 @@ class ByteBpe:
         for token, i in usable.items():
             self.shorter[i] = next((usable[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in usable), -1)
         self._fits: dict[int, bool] = {}
-        self._words: dict[str, list[int]] = {}
-        self._pieces: dict[str, tuple[str, bytes]] = {}
+        self._words: dict[str, tuple[int, ...]] = {}  # the garbage collector passes over tuples of numbers
+        self._pieces = _Pieces(self._piece)
         self._marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def fits(self, left: int, right: int) -> bool:
@@ -131,12 +148,16 @@ class ByteBpe:
         alive = bytearray(b"\1") * (n + 1)
         out: list[int] = []
         at, token = 0, longest[0]
-        length, shorter, fits = self.length, self.shorter, self.fits
+        length, shorter, fits, known = self.length, self.shorter, self.fits, self._fits
         while at < n:
             while token >= 0:
                 end = at + length[token]
-                if alive[end] and (not out or fits(out[-1], token)):
-                    break
+                if alive[end]:
+                    if not out:
+                        break
+                    good = known.get(out[-1] << 32 | token)
+                    if fits(out[-1], token) if good is None else good:
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
@@ -152,41 +173,28 @@ class ByteBpe:
         """Ids of a piece in decimal, joined by commas, and as little-endian 32-bit integers."""
         ids: list[int] = []
         words = self._words
-        for word in WORDS.findall(piece):
+        for word in (piece,) if piece[1:].isalpha() and piece.isascii() and piece[0] == " " else WORDS.findall(piece):
             known = words.get(word)
             if known is None:
                 if len(words) > REMEMBER:
                     words.clear()
-                known = words[word] = self.encode_word(word.encode())
+                known = words[word] = tuple(self.encode_word(word.encode()))
                 if len(word) > 64:
                     del words[word]
             ids += known
-        return ",".join(map(str, ids)), np.array(ids, "<u4").tobytes()
+        return ",".join(map(str, ids)), struct.pack(f"<{len(ids)}I", *ids)
 
     def _plain(self, text: str) -> tuple[list[str], list[bytes]]:
+        """The decimal ids of all pieces, then their raw ids."""
         parts = text.split(" ") if _ODD.search(text) is None else _CUT.split(text)
-        known = self._pieces
-        csv, raw = [], []
-        first = True
-        for part in parts:
-            key = part if first else " " + part
-            first = False
-            got = known.get(key)
-            if got is None:
-                got = self._piece(key)
-                if len(key) <= 64:
-                    if len(known) > REMEMBER:
-                        known.clear()
-                    known[key] = got
-            csv.append(got[0])
-            raw.append(got[1])
-        return csv, raw
+        got = [self._piece(parts[0]), *map(self._pieces.__getitem__, parts[1:])]
+        return [csv for csv, _ in got], [raw for _, raw in got]
 
     def encode(self, text: str) -> tuple[str, bytes]:
         """The ids of a text: decimal, joined by commas; and as little-endian 32-bit integers."""
         if not text:
             return "", b""
-        if self._marks is None or self._marks.search(text) is None:
+        if not any(map(text.__contains__, self.special)):
             csv, raw = self._plain(text)
             return ",".join(csv), b"".join(raw)
         all_csv, all_raw, at = [], [], 0

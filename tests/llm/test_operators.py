@@ -181,6 +181,19 @@ def test_bpe_fuzz():
         assert bpe.byte_text(own.decode(ids)[0].tobytes()) == library.decode(ids.tolist(), skip_special_tokens=False).encode()
 
 
+def test_bpe_remembers_many_pieces(monkeypatch):
+    """Pieces of 300,000 kinds are encoded once, not each time they come."""
+    own, calls = bpe.ByteBpe(queries.BYTE_VOCAB), []
+    plain = own.encode_word
+    monkeypatch.setattr(own, "encode_word", lambda word: calls.append(1) or plain(word))
+    texts = [" ".join(f"{a:x}.{b}" for b in range(1000)) for a in range(300)]
+    first = [own.encode(t) for t in texts]
+    seen = len(calls)
+    own._words.clear()
+    assert [own.encode(t) for t in texts] == first
+    assert len(calls) - seen < 1000
+
+
 def test_sstable(spark, docs, empty):
     library = Tokenizer.from_file(queries.WORD_VOCAB)
     folder = common.scratch(spark, "sst")
