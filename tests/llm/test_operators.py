@@ -393,6 +393,13 @@ def test_language_model_by_brute_force(spark, monkeypatch):
         assert abs(want - got[i]) < 1e-3 * max(1, abs(want)), i
 
 
+def test_language_model_sends_counts_of_many_words(spark):
+    """Counts of 60,000 words go to the executors and needn't be joined for each word of each text."""
+    words = spark.range(60_000).selectExpr("cast(cast(id as string) as binary) as word", "2L as c")
+    counts = bilinear.gather(words)
+    assert len(counts.frequent) == 60_000 and counts.total == 120_000 and counts.distinct == 60_000 and counts.words == bilinear.TARGETS
+
+
 def test_language_model_learns_context(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(("aa bb", "cc dd")[rng.randrange(2)] for _ in range(30))) for i in range(300)]
