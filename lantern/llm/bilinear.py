@@ -97,7 +97,10 @@ def gather(words: DataFrame) -> Counts:
             break
         least = r.c
     chosen = words.where(F.col("c") >= least) if least is not None else words.orderBy(F.desc("c"), "word").limit(FREQUENT)
-    frequent = dict(sorted(((bytes(r.word), r.c) for r in chosen.collect()), key=lambda x: (-x[1], x[0])))
+    # as Arrow columns, since rows of Python objects would fill the driver
+    found = chosen.select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    frequent = dict(zip(found["word"].to_pylist(), found["c"].to_pylist()))
+    del found
     end = frequent.pop(END, None)
     if end is None:
         row = words.where(F.col("word") == F.lit(END)).first()
