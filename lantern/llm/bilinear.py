@@ -20,13 +20,13 @@ are never shuffled. Without training documents every target is as likely as any
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice, repeat
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,20 +37,59 @@ TARGETS, CONTEXTS, REST = 20_000, 960, 63
 WIDTH, NOISE, ROUNDS, BATCH, RATE = 64, 128, 2, 1024, 0.07
 #: Most frequent words that the executors get with their counts; the counts of all others are joined, with the same results.
 FREQUENT = 200_000
-#: Distinct words that a task holds before it sends their counts.
-HELD_WORDS = 300_000
+#: Distinct words that a task holds before it sends their counts, and bytes of words.
+HELD_WORDS, HELD_BYTES = 300_000, 64 << 20
+#: Bytes of batches that are put together where a table of words is built for each.
+GROUP_BYTES = 8 << 20
 END = b"\n"
 
 
-def rest_classes(words: Iterable[bytes]) -> np.ndarray:
+def rest_classes(words: pa.Array | list[bytes]) -> np.ndarray:
     """For each word the number of its rest, by its last three bytes."""
-    tails = np.frombuffer(b"".join([w[-3:].rjust(3, b"\0") for w in words]), np.uint8).reshape(-1, 3).astype(np.uint64)
-    number = (tails[:, 0] << np.uint64(16)) + (tails[:, 1] << np.uint64(8)) + tails[:, 2]
+    if not isinstance(words, pa.Array):
+        words = pa.array(words, pa.binary())
+    data, offsets = common.column_bytes(words)
+    start, end = offsets[:-1], offsets[1:]
+    number = np.zeros(len(words), np.uint64)
+    for back in (3, 2, 1):
+        at = end - back
+        number <<= np.uint64(8)
+        if len(data):
+            number += np.where(at < start, 0, data.take(np.maximum(at, 0)))
     return ((number * np.uint64(2654435761) >> np.uint64(16)) % np.uint64(REST)).astype(np.int32)
 
 
-def tokens_of(texts: list[bytes]) -> list[list[bytes]]:
-    return [t.lower().split() for t in texts]
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-case words of all texts (binary), and n + 1 offsets: where each text's words start among them."""
+    data, offsets = common.column_bytes(texts)
+    raw = np.frombuffer(b" ".join([b"", *common.cut_rows(data, offsets), b""]), np.uint8)  # texts are parted by spaces
+    low = raw | (((raw - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+    inside = (low != 32) & ((low - np.uint8(9)) > 4)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[0::2], edges[1::2]
+    at = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=at[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(low[inside])])
+    return words, np.searchsorted(starts, offsets + np.arange(1, len(offsets) + 1))
+
+
+def places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """For each word its place among the others, or -1."""
+    return pc.index_in(words, among).fill_null(-1).to_numpy()
+
+
+def grouped(batches: Iterable[pa.RecordBatch], limit: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, several batches at a time as long as they have at most ``limit`` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if held and size + batch.nbytes > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
 
 
 @dataclass
@@ -69,23 +108,37 @@ class Counts:
     tokens: np.ndarray
 
 
-def count_words(train: DataFrame) -> DataFrame:
-    """(word binary, c long) of all training tokens; the end token is END."""
+def merged(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of all parts, and the sum of each one's counts."""
+    found = pa.concat_arrays([words for words, _ in parts]).dictionary_encode()
+    total = np.bincount(found.indices.to_numpy(), np.concatenate([c for _, c in parts]), len(found.dictionary))
+    return found.dictionary, total.astype(np.int64)
+
+
+def word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (doc_id, text): words and their counts; a word comes again where more are held than fit."""
+    held: list[tuple[pa.Array, np.ndarray]] = []
+    rows, size, again = 0, 0, HELD_WORDS
+    for batch in common.pieces(batches):
+        found = split(batch.column(1))[0].dictionary_encode()
+        held.append((found.dictionary, np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))))
+        held.append((pa.array([END], pa.binary()), np.array([batch.num_rows])))
+        rows += len(found.dictionary)
+        size += found.dictionary.nbytes
+        if rows > again or size > HELD_BYTES:
+            held = [merged(held)]
+            rows, size = len(held[0][0]), held[0][0].nbytes
+            if rows > HELD_WORDS or size > HELD_BYTES // 2:
+                yield pa.RecordBatch.from_arrays([*map(pa.array, held[0])], ["word", "c"])
+                held, rows, size = [], 0, 0
+            again = rows + HELD_WORDS  # the distinct words so far, and as many new rows
+    if held:
+        yield pa.RecordBatch.from_arrays([*map(pa.array, merged(held))], ["word", "c"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        for batch in common.pieces(batches):
-            parts = tokens_of(common.cut_rows(*common.column_bytes(batch.column(1))))
-            for words in parts:
-                held.update(words)
-            held[END] += len(parts)
-            if len(held) > HELD_WORDS:
-                yield pa.RecordBatch.from_arrays([pa.array([*held], pa.binary()), pa.array([*held.values()], pa.int64())], ["word", "c"])
-                held.clear()
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([*held], pa.binary()), pa.array([*held.values()], pa.int64())], ["word", "c"])
 
-    return common.written(common.arrow_map(common.texts(train), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
+def count_words(train: DataFrame) -> DataFrame:
+    """(word binary, c long) of all training tokens; the end token is END."""
+    return common.written(common.arrow_map(common.texts(train), word_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
 
 
 def gather(words: DataFrame) -> Counts:
@@ -106,13 +159,14 @@ def gather(words: DataFrame) -> Counts:
         row = words.where(F.col("word") == F.lit(END)).first()
         end = row.c if row else 0
     own = dict(islice(frequent.items(), TARGETS))
+    apart = pa.array([END, *own], pa.binary())
 
     def masses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((REST + 1, 4), np.int64)  # the last row: all words
-        for batch in batches:
-            all_words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        for batch in grouped(batches):
+            all_words, c = batch.column(0), batch.column(1).to_numpy()
             found[REST, 2:] += len(c), c.sum()
-            other = np.fromiter((w != END and w not in own for w in all_words), bool, len(c))
+            other = places(all_words, apart) < 0
             rest = rest_classes(all_words)[other]
             np.add.at(found[:, 0], rest, c[other] + 1)
             np.add.at(found[:, 1], rest, c[other])
@@ -161,6 +215,22 @@ class Model:
         return cls(vectors[2:-targets].copy(), vectors[-targets:].copy(), vectors[0].copy(), vectors[1].copy(), bias)
 
 
+def summed(where: np.ndarray, rows: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers of where in ascending order, for each the sum of rows[source], and the sorted order and where in it each starts."""
+    order = np.argsort(where.astype(np.uint16) if where.max() < 1 << 16 else where, kind="stable")  # short numbers sort by radix
+    at = where.take(order)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    times = np.append(first[1:], len(at)) - first
+    pairs, source = rows.view(np.complex64), source.take(order)  # two numbers are added as one complex one, which takes half the loops
+    total = pairs.take(source.take(first), axis=0)
+    several = np.flatnonzero(times > 1)  # only these are added up
+    if len(several):
+        added = source[np.repeat(times > 1, times)]
+        times = times.take(several)
+        total[several] = np.add.reduceat(pairs.take(added, axis=0), np.cumsum(times) - times, axis=0)
+    return at.take(first), total.view(np.float32), order, first
+
+
 class Trainer:
     """Gradient steps on a model; every vector's step is divided by the root of what its gradients have been so far."""
 
@@ -170,81 +240,92 @@ class Trainer:
         self.moved = {name: np.full(len(getattr(model, name)), 1e-2, np.float32) for name in ("context", "target", "bias")}
         self.moved |= {name: np.full(1, 1e-2, np.float32) for name in ("near", "far")}
 
-    def _move(self, where: np.ndarray, **rows: np.ndarray) -> None:
-        """Add up the rows of each named part by where, and go that way."""
-        order = np.argsort(where.astype(np.uint16 if len(self.model.target) < 1 << 16 else np.int32), kind="stable")  # short numbers sort by radix
-        at = where[order]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        at = at[first]
-        for name, values in rows.items():
-            value, moved = getattr(self.model, name), self.moved[name]
-            if values.ndim == 2:  # two numbers are added as one complex one, which takes half the loops
-                total = np.add.reduceat(values.view(np.complex64).take(order, axis=0), first, axis=0).view(np.float32)
-            else:
-                total = np.add.reduceat(values.take(order), first)
-            moved[at] += np.einsum("ij,ij->i", total, total) / WIDTH if total.ndim == 2 else total * total
-            scale = self.rate / np.sqrt(moved[at])
-            total *= scale[:, None] if total.ndim == 2 else scale
-            value[at] += total
+    def _move(self, name: str, at: np.ndarray | slice, total: np.ndarray) -> None:
+        """Go the way of the summed gradients of the named part's rows ``at``; a row whose sum is 0 stays as it is."""
+        value, moved = getattr(self.model, name), self.moved[name]
+        moved[at] += np.einsum("ij,ij->i", total, total) / WIDTH if total.ndim == 2 else total * total
+        scale = self.rate / np.sqrt(moved[at])
+        total *= scale[:, None] if total.ndim == 2 else scale
+        value[at] += total
 
     def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, noise: np.ndarray) -> None:
         """one, two: the context before and the one before that; noise: drawn targets, shared by the batch."""
         m, log_noise, n = self.model, self.log_noise, len(target)
-        a, b = m.context.take(one, axis=0), m.context.take(two, axis=0)
-        predicted = a * m.near
-        predicted += b * m.far
-        q, drawn = m.target.take(target, axis=0), m.target[noise]
-        real = np.einsum("ij,ij->i", predicted, q) + (m.bias[target] - log_noise[target])
-        down = predicted @ -drawn.T
-        down -= m.bias[noise] - log_noise[noise]
+        predicted = (m.context * m.near).take(one, axis=0)
+        predicted += (m.context * m.far).take(two, axis=0)
+        # gradients: of the targets, of the noise, of what is predicted
+        rows = np.empty((n + len(noise) + n, WIDTH), np.float32)
+        to_target, to_noise, to_predicted = rows[:n], rows[n:-n], rows[-n:]
+        q, drawn = m.target.take(target, axis=0), m.target.take(noise, axis=0)
+        real = np.einsum("ij,ij->i", predicted, q)
+        real += m.bias.take(target) - log_noise.take(target)
+        down = predicted @ drawn.T
+        np.subtract(log_noise.take(noise) - m.bias.take(noise), down, out=down)
         with np.errstate(over="ignore"):  # an infinite exponential is a share of 0
             up = 1 / (1 + np.exp(real))  # towards 1
             np.exp(down, out=down)
         down += 1
         np.reciprocal(down, out=down)  # towards 0
-        q *= up[:, None]
-        to_predicted = np.subtract(q, down @ drawn, out=q)
-        rows = np.empty((n + len(noise), WIDTH), np.float32)
-        np.matmul(down.T, -predicted, out=rows[n:])
-        np.multiply(up[:, None], predicted, out=rows[:n])
-        near, far = np.einsum("ij,ij->j", to_predicted, a), np.einsum("ij,ij->j", to_predicted, b)
-        both = np.empty((2 * n, WIDTH), np.float32)
-        np.multiply(to_predicted, m.near, out=both[:n])
-        np.multiply(to_predicted, m.far, out=both[n:])
-        self._move(np.concatenate([target, noise]), target=rows, bias=np.concatenate([up, -down.sum(axis=0)]))
-        self._move(np.concatenate([one, two]), context=both)
-        for name, way in (("near", near), ("far", far)):
+        np.multiply(up[:, None], predicted, out=to_target)
+        np.negative(np.matmul(down.T, predicted, out=to_noise), out=to_noise)
+        np.multiply(up[:, None], q, out=to_predicted)
+        to_predicted -= down @ drawn
+        # sums for each target, each context one before and each context two before
+        targets, contexts = len(m.target), len(m.context)
+        where = np.concatenate([target, noise, one + targets, two + (targets + contexts)])
+        at, total, order, first = summed(where, rows, np.concatenate([np.arange(len(rows)), np.arange(len(rows) - n, len(rows))]))
+        a, b = np.searchsorted(at, (targets, targets + contexts))
+        bias = np.zeros(len(where), np.float32)
+        bias[:n] = up
+        bias[n : n + len(noise)] = -(np.ones(n, np.float32) @ down)
+        self._move("bias", at[:a], np.add.reduceat(bias.take(order), first)[:a])
+        self._move("target", at[:a], total[:a])
+        # by place, as the place's diagonal is the same for all of a context's tokens
+        to_context, ways = np.zeros_like(m.context), []
+        for chosen, sums, diagonal in ((at[a:b] - targets, total[a:b], m.near), (at[b:] - (targets + contexts), total[b:], m.far)):
+            ways.append(np.einsum("ij,ij->j", sums, m.context.take(chosen, axis=0)))
+            sums *= diagonal
+            to_context[chosen] += sums
+        self._move("context", slice(None), to_context)
+        for name, way in zip(("near", "far"), ways):
             self.moved[name] += way @ way / WIDTH
             value = getattr(m, name)
             value += self.rate / 10 * way / np.sqrt(self.moved[name])
 
 
 class Codes:
-    """Numbers of the frequent words, and target and context of each; those of any other word are worked out."""
+    """The words that are targets, and the target and context of each; those of any other word are worked out."""
 
     def __init__(self, counts: Counts):
-        self.number = {w: i for i, w in enumerate(counts.frequent)}
-        rest = rest_classes(counts.frequent or [b""])
-        at = np.arange(len(rest), dtype=np.int32)
+        self.words = pa.array([*islice(counts.frequent, counts.words)], pa.binary())
         self.targets, self.contexts = counts.words, min(CONTEXTS, counts.words)
-        # the last two stand for the end and for what is worked out
-        self.target = np.append(np.where(at < self.targets, at + 1, 1 + self.targets + rest), 0).astype(np.int32)
-        self.context = np.append(np.where(at < self.contexts, at + 1, 1 + self.contexts + rest), 0).astype(np.int32)
-        self.logs = np.append(np.log10(np.array([*counts.frequent.values()] or [0], np.float64) + 1), np.log10(counts.end + 1))
-
-    def tokens(self, parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Of all texts' tokens, each text with its end: numbers (-1: the end, -2: not frequent), targets, contexts, where texts start; and the words that aren't frequent."""
-        words = [w for p in parts for w in p]
-        got = np.fromiter(map(self.number.get, words, repeat(-2)), np.int64, len(words))
-        ends = np.cumsum([len(p) for p in parts])
-        numbers = np.insert(got, ends, -1)
-        rare = [words[i] for i in np.flatnonzero(got == -2).tolist()]
-        unknown = numbers == -2
-        target, context = self.target[numbers], self.context[numbers]
+        at = np.arange(self.targets, dtype=np.int32)
+        self.context = np.where(at < self.contexts, at + 1, 1 + self.contexts + rest_classes(self.words))
+
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of all texts' tokens, each text with its end: targets, contexts, where texts start; and the words that aren't targets themselves."""
+        words, ends = split(texts)
+        at = places(words, self.words)
+        other = at < 0
+        rare = words.filter(pa.array(other))
         rest = rest_classes(rare)
-        target[unknown] = 1 + self.targets + rest
-        context[unknown] = 1 + self.contexts + rest
-        return numbers, target, context, np.concatenate([[0], ends + np.arange(1, len(parts) + 1)]), rare
+        context = np.append(self.context, np.int32(0)).take(at)  # -1: the last one
+        context[other] = 1 + self.contexts + rest
+        target = at + np.int32(1)
+        target[other] = 1 + self.targets + rest
+        starts = ends + np.arange(len(ends))
+        return np.insert(target, ends[1:], 0), np.insert(context, ends[1:], 0), starts, rare
+
+
+class Logs:
+    """log10(c + 1) of the targets and of the other frequent words."""
+
+    def __init__(self, counts: Counts):
+        words, c = [*counts.frequent], np.array([*counts.frequent.values()], np.float64)
+        logs = np.log10(c + 1)
+        #: For each target; 0 for rests, whose words each have their own.
+        self.target = np.concatenate([[np.log10(counts.end + 1)], logs[: counts.words], np.zeros(REST)])
+        self.words, self.other = pa.array(words[counts.words :], pa.binary()), np.append(logs[counts.words :], 0.0)
 
 
 def before(context: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,12 +359,13 @@ def train_model(train: DataFrame, counts: Counts) -> Model:
             rng = np.random.Generator(np.random.PCG64(31 + round_))
             seen = 0
             for batch in common.pieces(batches):
-                _, target, context, starts, _ = codes.tokens(tokens_of(common.cut_rows(*common.column_bytes(batch.column(1)))))
+                target, context, starts, _ = codes.tokens(batch.column(1))
                 one, two = before(context, starts)
                 order = rng.permutation(len(target))
+                one, two, target = one.take(order), two.take(order), target.take(order)
                 draws = np.minimum(np.searchsorted(edges, rng.random((len(target) // BATCH + 1, NOISE))), targets - 1)
                 for k, a in enumerate(range(0, len(target), BATCH)):
-                    at = order[a : a + BATCH]
+                    at = slice(a, a + BATCH)
                     trainer.step(one[at], two[at], target[at], draws[k])
                 seen += len(target)
             if seen:
@@ -354,30 +436,32 @@ def score_with(docs: DataFrame, learned: Learned) -> DataFrame:
     """``score`` by what ``learn`` gave."""
     counts, model = learned.counts, learned.model
     size = counts.total + counts.distinct + 1
-    log_mass = np.log10(counts.mass)
+    log_mass, end_known = np.log10(counts.mass), counts.end > 0
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast((model, normalisers(model), log_mass, Codes(counts)))
+    sent = docs.sparkSession.sparkContext.broadcast((model, normalisers(model), log_mass, Codes(counts), Logs(counts)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, norm, log_mass, codes = sent.value
-        for batch in common.pieces(batches):
-            parts = tokens_of(common.cut_rows(*common.column_bytes(batch.column(2))))
-            numbers, target, context, starts, rare = codes.tokens(parts)
+        model, norm, log_mass, codes, known_logs = sent.value
+        for batch in common.pieces(grouped(batches), limit=GROUP_BYTES):
+            target, context, starts, rare = codes.tokens(batch.column(2))
             one, two = before(context, starts)
             by_target = log_shares(model, norm, one, two, target) / np.log(10) - log_mass[target]
             # log10(c + 1) of each token: here for frequent words, by a join for the others
-            unknown = numbers == -2
-            logs = np.where(unknown, 0.0, codes.logs[numbers])
-            known = ~unknown & ((numbers >= 0) | (counts.end > 0))
+            found = rare.dictionary_encode()
+            which, at = found.indices.to_numpy(), places(found.dictionary, known_logs.words)
+            in_rest = target > codes.targets
+            logs = known_logs.target[target]
+            logs[in_rest] = known_logs.other[at[which]]
+            unknown = np.zeros(len(target), bool)
+            unknown[in_rest] = at[which] < 0
+            known = ~unknown & ((target > 0) | end_known)
             first = starts[:-1]
             sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), logs, by_target)]
             n = np.diff(starts)
-            # rare words by text: each text's distinct ones and how often they stand there
-            numbered: dict[bytes, int] = {}
-            which = np.fromiter((numbered.setdefault(w, len(numbered)) for w in rare), np.int64, len(rare))
-            keys, times = np.unique((np.repeat(np.arange(len(n)), n)[unknown] << 32) + which, return_counts=True)
+            # the words left over, by text: each text's distinct ones and how often they stand there
+            keys, times = np.unique((np.repeat(np.arange(len(n)), n)[unknown] << 32) + which[at[which] < 0], return_counts=True)
             edges = pa.array(np.searchsorted(keys >> 32, np.arange(len(n) + 1)), pa.int32())
-            words = pa.ListArray.from_arrays(edges, pa.array([*numbered], pa.binary()).take(pa.array(keys & 0xFFFFFFFF)))
+            words = pa.ListArray.from_arrays(edges, found.dictionary.take(pa.array(keys & 0xFFFFFFFF)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (n, *sums)), words, pa.ListArray.from_arrays(edges, pa.array(times))], _NAMES)
 
     parts = common.written(common.arrow_map(rows, run, "row long, doc_id long, n_tokens long, n_known long, logs double, by_target double, words array<binary>, times array<long>"), "scores")

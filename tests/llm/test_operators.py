@@ -3,12 +3,15 @@
 import hashlib
 import math
 import random
+import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -400,6 +403,70 @@ def test_language_model_sends_counts_of_many_words(spark):
     assert len(counts.frequent) == 60_000 and counts.total == 120_000 and counts.distinct == 60_000 and counts.words == bilinear.TARGETS
 
 
+def test_language_model_words_are_those_of_the_contract():
+    """Words, their numbers and counts by brute force: odd bytes, words at the edges of texts, empty texts, words held a few at a time."""
+    rng = random.Random(10)
+    signs = ["a", "Z", "[", "@", "`", "{", "é", "\u00a0", "\u3000", "\x00", "\x08", "\x0e", "\x1c", "\x1f", "\x7f", *" \t\n\v\f\r"]
+    for _ in range(200):
+        texts = ["".join(rng.choices(signs, k=rng.randrange(8))) for _ in range(rng.randrange(6))]
+        want = [re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) for t in texts]
+        words, first = bilinear.split(pa.array(["cut off", *texts], pa.string())[1:])
+        assert words.to_pylist() == [w for ws in want for w in ws]
+        assert np.diff(first).tolist() == [len(ws) for ws in want] and first[0] == 0
+        tails = [int.from_bytes(w[-3:], "big") * 2654435761 % 2**64 // 2**16 % bilinear.REST for ws in want for w in ws]
+        assert bilinear.rest_classes(words).tolist() == bilinear.rest_classes(words.to_pylist()).tolist() == tails
+        c = Counter(w for ws in want for w in ws)
+        parts = [(words.slice(i, 2), np.ones(len(words.slice(i, 2)), np.int64)) for i in range(0, len(words), 2)] + [(pa.array([b"zz"], pa.binary()), np.array([3]))]
+        found, total = bilinear.merged(parts)
+        assert dict(zip(found.to_pylist(), total.tolist())) == {**c, b"zz": 3}
+    batches = [pa.record_batch({"n": [i] * k}) for i, k in enumerate((3, 1, 40, 2, 2))]
+    got = [*bilinear.grouped(batches, 50)]
+    assert pa.Table.from_batches(got) == pa.Table.from_batches(batches) and [g.num_rows for g in got] == [4, 40, 4]
+
+
+def test_language_model_counts_when_few_words_are_held(monkeypatch):
+    rng = random.Random(13)
+    rows = [words(rng, rng.randrange(40), 30) for _ in range(120)]
+    batches = [pa.record_batch({"doc_id": range(i, i + 8), "text": rows[i : i + 8]}) for i in range(0, 120, 8)]
+    want = Counter(w for t in rows for w in [*t.encode().split(), b"\n"])
+    for limit, size in ((300_000, 1 << 20), (45, 1 << 20), (20, 1 << 20), (300_000, 1000), (300_000, 1)):
+        monkeypatch.setattr(bilinear, "HELD_WORDS", limit)
+        monkeypatch.setattr(bilinear, "HELD_BYTES", size)
+        got = [b.to_pydict() for b in bilinear.word_counts(iter(batches))]
+        assert sum((Counter(dict(zip(g["word"], g["c"]))) for g in got), Counter()) == want
+        assert len(got) == (1 if limit > 31 and size > 999 else 15)
+    assert [*bilinear.word_counts(iter([]))] == []
+
+
+def test_language_model_looks_words_up_without_python_objects():
+    """Numbers of all words take less than 2.5 times what Python needs to split texts alone (1.4 times when this was written, 4.2 with a dictionary)."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    known = [b"w%d" % i for i in range(bilinear.TARGETS + 30_000)]
+    at = (rng.pareto(0.3, 400_000).clip(0, 1e12) * 20).astype(np.int64) % (3 * len(known))
+    texts = pa.array([" ".join(["w%d" % i for i in part]) for part in np.split(at, 400)], pa.string())
+    zeros = np.zeros(1 + bilinear.TARGETS + bilinear.REST)
+    codes = bilinear.Codes(bilinear.Counts(1, 1, 1, dict.fromkeys(known, 1), bilinear.TARGETS, zeros, zeros))
+
+    def seconds(function):
+        start = time.process_time()
+        function()
+        return time.process_time() - start
+
+    alone = min(seconds(lambda: [t.lower().split() for t in common.cut_rows(*common.column_bytes(texts))]) for _ in range(5))
+    assert min(seconds(lambda: codes.tokens(texts)) for _ in range(5)) < 2.5 * alone
+
+
+def test_language_model_sums_of_gradients():
+    """Sums by target and context are those of a loop, with numbers that stand once, often, and beyond 16 bits."""
+    rng = np.random.Generator(np.random.PCG64(12))
+    for top in (1, 5, 300, 70_000, 1 << 20):
+        where = np.minimum(rng.geometric(2 / (top + 1), 500), top).astype(np.int32)
+        rows, source = rng.normal(size=(90, 64)).astype(np.float32), rng.integers(0, 90, 500)
+        at, total, order, first = bilinear.summed(where, rows, source)
+        assert at.tolist() == sorted(set(where.tolist())) and where[order][first].tolist() == at.tolist()
+        assert np.allclose(total, [rows[source[where == k]].sum(axis=0) for k in at], atol=1e-4)
+
+
 def test_language_model_learns_context(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(("aa bb", "cc dd")[rng.randrange(2)] for _ in range(30))) for i in range(300)]
