@@ -40,7 +40,7 @@ FREQUENT = 200_000
 #: Distinct words that a task holds before it sends their counts, and bytes of words.
 HELD_WORDS, HELD_BYTES = 300_000, 64 << 20
 #: Bytes of batches that are put together where a table of words is built for each.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 END = b"\n"
 
 
